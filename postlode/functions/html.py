@@ -216,12 +216,10 @@ def json_ld(page: Column) -> Column:
 
 
 def references(value: Column, names: list[str]) -> Column:
-    """``href`` (else ``src``) of the named elements in page order; comments and script text are skipped.
-
-    Pass the raw page: an element opened by a script tag still counts, its text does not.
-    """
-    shown = F.regexp_replace(value, r"(?is)<!--.*?(?:-->|\z)|(?<=>)[^<]*+(?=</script)", "")
-    shown = F.regexp_replace(shown, r"(?is)(<(script|style)\b[^>]*>).*?(?:</\2\s*>|\z)", "$1")
+    """``href`` (else ``src``) of the named elements in page order.  Script tags count, their text does not."""
+    shown = F.regexp_replace(
+        value, r"(?is)<!--.*?(?:-->|\z)|(<(script|style)\b[^>]*>).*?(?:</\2\s*>|\z)", "$1"
+    )
     tags = F.regexp_extract_all(shown, F.lit(rf"(?is)<(?:{'|'.join(names)})(?![\w-]){_REST}"), F.lit(0))
     refs = F.transform(tags, lambda t: first_filled(attribute(t, "href"), attribute(t, "src")))
     return F.filter(refs, lambda r: r != "")
