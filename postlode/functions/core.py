@@ -29,7 +29,7 @@ def text_or_empty(value: Column) -> Column:
 
 def first_filled(*values: Column) -> Column:
     """First value that is neither NULL nor empty, else the empty string."""
-    return F.coalesce(*[F.nullif(v, F.lit("")) for v in values], F.lit(""))
+    return F.coalesce(*[let(v, lambda x: F.when(x != "", x)) for v in values], F.lit(""))
 
 
 def trim_ws(value: Column) -> Column:
@@ -50,13 +50,6 @@ def at_least_words(value: Column, n: int) -> Column:
     return value.rlike(rf"(?U)^[{WS}]*(?:[^{WS}]+[{WS}]+){{{n - 1}}}[^{WS}]")
 
 
-def any_match(value: Column, patterns: list[str]) -> Column:
-    hits = F.lit(False)
-    for p in patterns:
-        hits = hits | value.rlike(p)
-    return hits
-
-
 def tidy_array(value: Column) -> Column:
     """Array of strings without NULL elements; NULL becomes the empty array."""
     return F.coalesce(F.array_compact(value), F.array().cast("array<string>"))

@@ -97,13 +97,12 @@ def _decode_piece(piece: Column) -> Column:
 
 def html_unescape(value: Column) -> Column:
     """Decode character references once, left to right.  Text without ``&`` is passed through untouched."""
-    decoded = let(
-        F.split(value, "&"),
-        lambda p: F.concat(
-            F.get(p, F.lit(0)), F.array_join(F.transform(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), _decode_piece), "")
-        ),
-    )
-    return F.when(value.contains("&"), decoded).otherwise(value)
+
+    def decode(pieces: Column) -> Column:
+        later = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
+        return F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(later, _decode_piece), ""))
+
+    return let(value, lambda v: F.when(v.contains("&"), let(F.split(v, "&"), decode)).otherwise(v))
 
 
 def html_escape(value: Column) -> Column:
@@ -114,7 +113,7 @@ def html_escape(value: Column) -> Column:
 
 def strip_hidden(value: Column) -> Column:
     """Remove comments, scripts and styles, whichever opens first winning."""
-    return F.when(value.contains("<"), F.regexp_replace(value, _HIDDEN, "")).otherwise(value)
+    return let(value, lambda v: F.when(v.contains("<"), F.regexp_replace(v, _HIDDEN, "")).otherwise(v))
 
 
 def collapse_lines(value: Column) -> Column:
@@ -126,8 +125,12 @@ def collapse_lines(value: Column) -> Column:
 
 def visible_text(value: Column) -> Column:
     """Text of markup whose hidden parts are already gone."""
-    stripped = F.regexp_replace(F.regexp_replace(value, _BLOCK, "\n"), _TAG, "")
-    return collapse_lines(html_unescape(F.when(value.contains("<"), stripped).otherwise(value)))
+
+    def untagged(v: Column) -> Column:
+        stripped = F.regexp_replace(F.regexp_replace(v, _BLOCK, "\n"), _TAG, "")
+        return F.when(v.contains("<"), stripped).otherwise(v)
+
+    return collapse_lines(html_unescape(let(value, untagged)))
 
 
 def html_to_text(value: Column) -> Column:
@@ -172,10 +175,14 @@ def balanced(from_tag: Column) -> Column:
         )
         return F.array_join(F.slice(pieces, F.lit(1), steps), "")
 
-    name = F.regexp_extract(from_tag, r"^<([a-zA-Z][a-zA-Z0-9]*)", 1)
-    pieces = F.split(from_tag, F.concat(F.lit("(?i)(?=</?"), name, F.lit(r"(?![\w-]))")))
-    inner = F.regexp_replace(let(pieces, cut_at), r"(?s)\A<[a-zA-Z]" + _REST, "")
-    return F.when(from_tag == "", F.lit("")).otherwise(inner)
+    def inner(tag: Column) -> Column:
+        name = F.regexp_extract(tag, r"^<([a-zA-Z][a-zA-Z0-9]*)", 1)
+        pieces = F.split(tag, F.concat(F.lit("(?i)(?=</?"), name, F.lit(r"(?![\w-]))")))
+        return F.when(tag == "", "").otherwise(
+            F.regexp_replace(let(pieces, cut_at), r"(?s)\A<[a-zA-Z]" + _REST, "")
+        )
+
+    return let(from_tag, inner)
 
 
 def element(value: Column, condition: str) -> Column:

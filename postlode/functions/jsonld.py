@@ -57,26 +57,28 @@ def _scalar(value: Column) -> Column:
 
 def as_text(value: Column) -> Column:
     """Flatten a value to text; list items are joined by ``; ``."""
-    items = F.array(value)
-    for _ in range(DEPTH):
-        items = F.flatten(F.transform(items, _open))
-    shown = F.filter(F.transform(items, _scalar), lambda t: t != "")
-    return F.when(value.isNull(), "").otherwise(
-        F.when(kind(value).isin("ARRAY", "OBJECT"), F.array_join(shown, "; ")).otherwise(_scalar(value))
-    )
+
+    def flatten(v: Column) -> Column:
+        items = F.array(v)
+        for _ in range(DEPTH):
+            items = F.flatten(F.transform(items, _open))
+        return F.array_join(F.filter(F.transform(items, _scalar), lambda t: t != ""), "; ")
+
+    nested = lambda v: kind(v).isin("ARRAY", "OBJECT")
+    return let(value, lambda v: F.when(nested(v), flatten(v)).otherwise(_scalar(v)))
 
 
 def location_text(value: Column) -> Column:
     """``locality, region, country`` of each place, distinct, joined by ``; ``."""
 
     def place(p: Column) -> Column:
-        raw = member(p, "address")
-        address = F.when(raw.isNull() & (kind(p) == "OBJECT"), p).when(kind(p) == "OBJECT", raw).otherwise(p)
-        parts = F.filter(F.array(*[as_text(member(address, k)) for k in rules.ADDRESS_KEYS]), lambda t: t != "")
-        joined = F.array_join(parts, ", ")
-        return F.when(
-            kind(address) == "OBJECT", let(joined, lambda j: F.when(j != "", j).otherwise(as_text(p)))
-        ).otherwise(as_text(address))
+        def written(address: Column) -> Column:
+            parts = F.transform(F.array(*[member(address, k) for k in rules.ADDRESS_KEYS]), as_text)
+            joined = F.array_join(F.filter(parts, lambda t: t != ""), ", ")
+            return let(joined, lambda j: F.when(j != "", j).otherwise(as_text(p)))
+
+        address = F.coalesce(F.when(kind(p) == "OBJECT", member(p, "address")), p)
+        return let(address, lambda a: F.when(kind(a) == "OBJECT", written(a)).otherwise(as_text(a)))
 
     places = F.when(kind(value) == "ARRAY", elements(value)).otherwise(F.array(value))
     places = F.filter(places, lambda p: _filled(p).isNotNull())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .core import text_or_empty, trim_ws
+from .core import let, text_or_empty, trim_ws
 
 _NUMBER = r"^\s*[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?\s*$"
 
@@ -24,10 +24,20 @@ def _shown(value: Column) -> Column:
 
 def salary_text(low: Column, high: Column, currency: Column, unit: Column) -> Column:
     """``USD 90,000-120,000 per year``; equal bounds collapse, text that is no number is kept as it is."""
-    low, high = _given(low.cast("string")), _given(high.cast("string"))
-    same = F.coalesce(_number(low) == _number(high), low == high)
-    amount = F.when(low.isNotNull() & high.isNotNull() & ~same, F.concat(_shown(low), F.lit("-"), _shown(high))) \
-        .otherwise(_shown(F.coalesce(low, high)))
-    text = trim_ws(F.concat(text_or_empty(currency), F.lit(" "), amount))
-    unit = F.lower(text_or_empty(unit))
-    return F.coalesce(F.when(unit != "", F.concat(text, F.lit(" per "), unit)).otherwise(text), F.lit(""))
+
+    def render(given: Column) -> Column:
+        lo, hi = given["low"], given["high"]
+        same = F.coalesce(_number(lo) == _number(hi), lo == hi)
+        amount = F.when(
+            lo.isNotNull() & hi.isNotNull() & ~same, F.concat(_shown(lo), F.lit("-"), _shown(hi))
+        ).otherwise(_shown(F.coalesce(lo, hi)))
+        return F.concat(
+            trim_ws(F.concat(given["currency"], F.lit(" "), amount)),
+            F.when(given["unit"] != "", F.concat(F.lit(" per "), given["unit"])).otherwise(""),
+        )
+
+    bounds = [
+        let(v.cast("string"), _given).alias(n) for v, n in ((low, "low"), (high, "high"))
+    ]
+    labels = [text_or_empty(currency).alias("currency"), F.lower(text_or_empty(unit)).alias("unit")]
+    return F.coalesce(let(F.struct(*bounds, *labels), render), F.lit(""))

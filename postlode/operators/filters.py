@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import rules
 from ..functions import urls as U
-from ..functions.core import WS, any_match, text_or_empty
+from ..functions.core import WS, text_or_empty
 from ..functions.dates import parse_date
 from ..schema import HYBRID, REMOTE
 
@@ -27,9 +27,14 @@ def _patterns(terms: list[str]) -> list[str]:
     return [rules.term_pattern(t) for t in terms if t.strip()]
 
 
+def _one_of(patterns: list[str]) -> str:
+    """One alternation for a whole term list: the text is read once, however many terms there are."""
+    return "|".join(f"(?:{p})" for p in patterns)
+
+
 def match_any(text: Column, terms: list[str]) -> Column:
     patterns = _patterns(terms)
-    return any_match(text, patterns) if patterns else F.lit(True)
+    return text.rlike(_one_of(patterns)) if patterns else F.lit(True)
 
 
 def match_all(text: Column, terms: list[str]) -> Column:
@@ -40,7 +45,8 @@ def match_all(text: Column, terms: list[str]) -> Column:
 
 
 def match_none(text: Column, terms: list[str]) -> Column:
-    return ~any_match(text, _patterns(terms))
+    patterns = _patterns(terms)
+    return ~text.rlike(_one_of(patterns)) if patterns else F.lit(True)
 
 
 def remote_pred(include_hybrid: bool = False) -> Column:
