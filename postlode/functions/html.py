@@ -7,7 +7,6 @@ an element by counting its own tag, so nested elements are kept whole.
 from __future__ import annotations
 
 import html as _entities
-import json
 from functools import lru_cache
 from html.entities import html5
 
@@ -22,77 +21,78 @@ _HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)"
 _TAG = r"(?s)<(?:/?[a-zA-Z]|[!?])" + _REST
 _BLOCK = r"(?is)</?(?:" + "|".join(rules.BLOCK_TAGS + ["br"]) + r")(?![\w-])" + _REST
 _REFERENCE = r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
-_COMMON = {"amp;": "&", "lt;": "<", "gt;": ">", "quot;": '"', "nbsp;": " ", "#39;": "'", "apos;": "'"}
+# References that lead the table, because a look-up reads it from the front.
+_FREQUENT = ["amp;", "lt;", "gt;", "quot;", "nbsp;", "apos;", "rsquo;", "lsquo;", "ldquo;", "rdquo;", "ndash;",
+             "mdash;", "bull;", "middot;", "hellip;", "copy;", "reg;", "trade;"]
 
 
 @lru_cache(maxsize=1)
-def _named() -> str:
-    return json.dumps(html5)
+def _references() -> str:
+    """Every named reference, and every number that does not stand for its own code point, as one text.
+
+    Entries read ``\x01key\x02value``.  A text literal is far cheaper for the optimizer to carry around than a map
+    with two thousand entries.
+    """
+    numbers = [*range(0xA0), *range(0xFDD0, 0xFDF0)]
+    numbers += [plane * 0x10000 + low for plane in range(17) for low in (0xFFFE, 0xFFFF)]
+    odd = {f"#{n}": _entities.unescape(f"&#{n};") for n in numbers}
+    table = {name: html5[name] for name in _FREQUENT} | html5
+    table |= {k: v for k, v in odd.items() if v != chr(int(k[1:]))}
+    return "".join(f"\x01{k}\x02{v}" for k, v in table.items()) + "\x01"
+
+
+def _find(key: Column) -> Column:
+    """Text of a reference, NULL when the table does not hold it."""
+    mark = F.concat(F.lit("\x01"), key, F.lit("\x02"))
+    return let(
+        F.position(mark, F.lit(_references())),
+        lambda at: F.when(
+            at > 0,
+            F.substring_index(F.substring(F.lit(_references()), at + F.length(key) + 2, F.lit(3)), "\x01", 1),
+        ),
+    )
 
 
 @lru_cache(maxsize=1)
 def _legacy_names() -> str:
-    """Alternation of the names that count without a semicolon, longest first."""
+    """Pattern of the names that count without a semicolon, longest first."""
     names = sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)
     return "^(" + "|".join(names) + ")"
 
 
-@lru_cache(maxsize=1)
-def _odd_numbers() -> str:
-    """Numeric references that do not stand for their own code point, as HTML5 defines them."""
-    candidates = [*range(0xA0), *range(0xFDD0, 0xFDF0)]
-    candidates += [plane * 0x10000 + low for plane in range(17) for low in (0xFFFE, 0xFFFF)]
-    odd = {str(n): _entities.unescape(f"&#{n};") for n in candidates}
-    return json.dumps({k: v for k, v in odd.items() if v != chr(int(k))})
-
-
-def _literal_map(text: str) -> Column:
-    return F.from_json(F.lit(text), "map<string,string>")
-
-
-def _code_point(digits: Column, is_hex: Column) -> Column:
-    trimmed = F.ltrim(digits, F.lit("0"))
-    number = F.when(F.length(trimmed) > 7, F.lit(0x110000)).otherwise(
-        F.when(is_hex, F.conv(F.concat(F.lit("0"), trimmed), 16, 10)).otherwise(F.concat(F.lit("0"), trimmed))
-        .cast("int")
+def _code_point(ref: Column) -> Column:
+    """Text of a numeric reference."""
+    digits = F.regexp_extract(ref, "^#[xX]?0*([0-9a-fA-F]*)", 1)
+    base = F.when(ref.rlike("^#[xX]"), 16).otherwise(10)
+    number = F.when(F.length(digits) > 7, 0x110000).otherwise(
+        F.call_function("conv", F.concat(F.lit("0"), digits), base, F.lit(10)).cast("int")
     )
     return let(
         number,
-        lambda n: F.when((n > 0x10FFFF) | n.between(0xD800, 0xDFFF), F.lit("�")).otherwise(
+        lambda n: F.when((n > 0x10FFFF) | n.between(0xD800, 0xDFFF), "�").otherwise(
             F.coalesce(
-                F.element_at(_literal_map(_odd_numbers()), n.cast("string")),
-                F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"),
+                _find(F.concat(F.lit("#"), n)), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
             )
         ),
     )
 
 
 def _decode_piece(piece: Column) -> Column:
-    """Text of what followed one ampersand."""
-
-    def uncommon(ref: Column) -> Column:
-        rest = F.substring(piece, F.length(ref) + 1, F.length(piece))
-        digits = F.regexp_extract(ref, r"^#[xX]?([0-9a-fA-F]+)", 1)
-        prefix = F.regexp_extract(ref, _legacy_names(), 1)
-        names = _literal_map(_named())
-        return F.coalesce(
-            F.when(ref == "", F.concat(F.lit("&"), piece)),
-            F.when(ref.startswith("#"), F.concat(_code_point(digits, ref.rlike("^#[xX]")), rest)),
-            F.concat(F.element_at(names, ref), rest),
-            let(
-                prefix,
-                lambda p: F.when(
-                    p != "",
-                    F.concat(F.element_at(names, p), F.substring(piece, F.length(p) + 1, F.length(piece))),
-                ),
-            ),
-            F.concat(F.lit("&"), piece),
+    """Text of what followed one ampersand: a reference, a known name without semicolon, or nothing special."""
+
+    def read(ref: Column) -> Column:
+        exact = F.when(ref.startswith("#"), _code_point(ref)).otherwise(_find(ref))
+        legacy = let(F.regexp_extract(ref, _legacy_names(), 1), lambda p: F.struct(_find(p).alias("text"), p.alias("ref")))
+        return let(
+            exact,
+            lambda text: F.when(text.isNotNull(), F.struct(text.alias("text"), ref.alias("ref"))).otherwise(legacy),
         )
 
-    common = F.when(piece == "", F.lit("&"))
-    for name, char in _COMMON.items():
-        common = common.when(piece.startswith(name), F.concat(F.lit(char), F.substring(piece, len(name) + 1, 1 << 30)))
-    return common.otherwise(let(F.regexp_extract(piece, _REFERENCE, 1), uncommon))
+    def put(found: Column) -> Column:
+        tail = F.substring(piece, F.length(found["ref"]) + 1, F.length(piece))
+        return F.coalesce(F.concat(found["text"], tail), F.concat(F.lit("&"), piece))
+
+    return let(let(F.regexp_extract(piece, _REFERENCE, 1), read), put)
 
 
 def html_unescape(value: Column) -> Column:
@@ -138,17 +138,31 @@ def html_to_text(value: Column) -> Column:
     return visible_text(strip_hidden(text_or_empty(value)))
 
 
-def inline_text(value: Column) -> Column:
-    """Text pieces of a fragment, each stripped, joined by one space."""
-    marked = html_unescape(F.regexp_replace(value, _TAG, "\x01"))
+def pieces_text(marked: Column) -> Column:
+    """Text whose pieces are separated by ``\x01``: each stripped, joined by one space."""
     pieces = F.transform(F.split(marked, "\x01"), trim_ws)
     return F.array_join(F.filter(pieces, lambda p: p != ""), " ")
 
 
-def attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute inside one opening tag, decoded; empty when absent."""
+def mark_pieces(fragment: Column) -> Column:
+    """Markup with every tag replaced by the piece separator."""
+    return F.regexp_replace(fragment, _TAG, "\x01")
+
+
+def inline_text(fragment: Column) -> Column:
+    """Text pieces of a fragment, each stripped, joined by one space."""
+    return pieces_text(html_unescape(mark_pieces(fragment)))
+
+
+def raw_attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute inside one opening tag as written; empty when absent."""
     pattern = rf"""(?is)[\s"'/]{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
-    return html_unescape(F.regexp_replace(F.regexp_extract(tag, pattern, 1), r"""^["']|["']\z""", ""))
+    return F.regexp_replace(F.regexp_extract(tag, pattern, 1), r"""^["']|["']\z""", "")
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute with its character references decoded."""
+    return html_unescape(raw_attribute(tag, name))
 
 
 def opening_tag(value: Column, condition: str) -> Column:
@@ -243,13 +257,15 @@ def meta_tags(value: Column) -> Column:
 
 
 def meta(tags: Column, names: list[str]) -> Column:
-    """First filled ``content`` over ``names``; a tag found by ``property`` hides one found by ``name``."""
+    """First filled ``content`` over ``names``, undecoded; a tag found by ``property`` hides one found by ``name``."""
 
-    def content(name: str) -> Column:
+    def content(name: Column) -> Column:
         def having(attr: str) -> Column:
-            quoted = rf"""(?is)[\s"'/]{attr}\s*=\s*["']?{name}(?=["'\s/>])"""
-            return F.get(F.filter(tags, lambda t: t.rlike(quoted)), F.lit(0))
+            lead = rf"""(?is)[\s"'/]{attr}\s*=\s*["']?"""
+            quoted = F.concat(F.lit(lead), name, F.lit(r"""(?=["'\s/>])"""))
+            return F.get(F.filter(tags, lambda t: F.rlike(t, quoted)), F.lit(0))
 
-        return trim_ws(attribute(F.coalesce(having("property"), having("name"), F.lit("")), "content"))
+        return trim_ws(raw_attribute(F.coalesce(having("property"), having("name"), F.lit("")), "content"))
 
-    return first_filled(*[content(n) for n in names])
+    contents = F.transform(F.array(*map(F.lit, names)), content)
+    return F.coalesce(F.get(F.filter(contents, lambda c: c != ""), F.lit(0)), F.lit(""))

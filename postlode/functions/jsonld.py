@@ -12,7 +12,7 @@ from .. import rules
 from .core import empty_array, let, text_or_empty, trim_ws
 from .salary import salary_text
 
-DEPTH = 6
+DEPTH = 5
 _EMPTY = ["", "0", "0.0", "false", "null", "{}", "[]"]
 
 
@@ -29,14 +29,14 @@ def elements(value: Column) -> Column:
     return F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array().cast("array<variant>"))
 
 
-def _filled(value: Column) -> Column:
+def filled(value: Column) -> Column:
     """The value unless it is missing, empty, zero or false."""
     return F.when(~F.coalesce(value.cast("string"), F.lit("")).isin(_EMPTY), value)
 
 
 def _open(value: Column) -> Column:
     """One step towards scalars: list items, or the first filled naming member of an object."""
-    named = F.coalesce(*[_filled(member(value, k)) for k in rules.TEXT_KEYS])
+    named = F.coalesce(*[filled(member(value, k)) for k in rules.TEXT_KEYS])
     k = kind(value)
     return (
         F.when(k == "ARRAY", elements(value))
@@ -73,15 +73,18 @@ def location_text(value: Column) -> Column:
 
     def place(p: Column) -> Column:
         def written(address: Column) -> Column:
-            parts = F.transform(F.array(*[member(address, k) for k in rules.ADDRESS_KEYS]), as_text)
-            joined = F.array_join(F.filter(parts, lambda t: t != ""), ", ")
-            return let(joined, lambda j: F.when(j != "", j).otherwise(as_text(p)))
+            whole = F.when(kind(address) == "OBJECT", p).otherwise(address)
+            members = F.array(*[member(address, k) for k in rules.ADDRESS_KEYS], whole)
+            return let(F.transform(members, as_text), chosen)
 
-        address = F.coalesce(F.when(kind(p) == "OBJECT", member(p, "address")), p)
-        return let(address, lambda a: F.when(kind(a) == "OBJECT", written(a)).otherwise(as_text(a)))
+        def chosen(texts: Column) -> Column:
+            parts = F.array_join(F.filter(F.slice(texts, 1, 3), lambda t: t != ""), ", ")
+            return F.when(parts != "", parts).otherwise(F.get(texts, F.lit(3)))
+
+        return let(F.coalesce(F.when(kind(p) == "OBJECT", member(p, "address")), p), written)
 
     places = F.when(kind(value) == "ARRAY", elements(value)).otherwise(F.array(value))
-    places = F.filter(places, lambda p: _filled(p).isNotNull())
+    places = F.filter(places, lambda p: filled(p).isNotNull())
     names = F.filter(F.transform(places, place), lambda t: t != "")
     return F.when(value.isNull(), "").otherwise(F.array_join(F.array_distinct(names), "; "))
 
@@ -89,17 +92,20 @@ def location_text(value: Column) -> Column:
 def salary_of(value: Column) -> Column:
     """Salary text of a monetary amount given as object, number or text."""
     amount = member(value, "value")
-    currency = as_text(member(value, "currency"))
-    low = F.coalesce(member(amount, "minValue"), member(amount, "value"))
 
     def bound(v: Column) -> Column:
         return F.when(kind(v) != "VOID", v.try_cast("string"))
 
-    nested = salary_text(bound(low), bound(member(amount, "maxValue")), currency, as_text(member(amount, "unitText")))
-    single = salary_text(bound(amount), F.lit(None).cast("string"), currency, F.lit(""))
-    return F.when(
-        kind(value) == "OBJECT", F.when(kind(amount) == "OBJECT", nested).otherwise(single)
-    ).otherwise(as_text(value))
+    ranged = kind(amount) == "OBJECT"
+    low = F.when(ranged, F.coalesce(member(amount, "minValue"), member(amount, "value"))).otherwise(amount)
+    texts = F.transform(F.array(value, member(value, "currency"), member(amount, "unitText")), as_text)
+    return let(
+        texts,
+        lambda t: F.when(
+            kind(value) == "OBJECT",
+            salary_text(bound(low), bound(member(amount, "maxValue")), F.get(t, F.lit(1)), F.get(t, F.lit(2))),
+        ).otherwise(F.get(t, F.lit(0))),
+    )
 
 
 def months_as_years(months: Column) -> Column:

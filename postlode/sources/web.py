@@ -43,36 +43,36 @@ def normalize_jsonld(pages: DataFrame) -> DataFrame:
     def value(name: str) -> Column:
         return J.member(F.col("obj"), name)
 
-    def either(a: str, b: str) -> Column:
-        return F.coalesce(J._filled(value(a)), value(b))
-
-    # Text members are read once, in their own projection, because several output fields use each of them.
-    texts = {
-        "education": J.as_text(value("educationRequirements")),
-        "experience": J.as_text(value("experienceRequirements")),
-    }
-    rows = rows.withColumns({f"_{k}": v for k, v in texts.items()})
+    # Text members are flattened in one pass over an array of them, then decoded and stripped in a second
+    # projection: each expression exists once in the plan, and nothing is read twice.
+    flat = ["hiringOrganization", "url", "datePosted", "employmentType", "industry", "occupationalCategory",
+            "educationRequirements", "experienceRequirements", "qualifications", "skills", "description"]
+    title = F.coalesce(J.filled(value("title")), value("name"))
+    rows = rows.withColumn("_t", F.transform(F.array(title, *map(value, flat)), J.as_text))
+    text = {n: F.get("_t", F.lit(i)) for i, n in enumerate(["title", *flat])}
+    rows = rows.withColumns({
+        "_plain": F.transform(F.array(text["title"], text["hiringOrganization"]), H.html_unescape),
+        "_html": F.transform(
+            F.array(first_filled(text["qualifications"], text["skills"]), text["description"]), H.html_to_text
+        ),
+        "_education": text["educationRequirements"], "_experience": text["experienceRequirements"],
+    })
     months = F.when(
         J.kind(value("experienceRequirements")) == "OBJECT",
         J.months_as_years(J.member(value("experienceRequirements"), "monthsOfExperience")),
     )
-    found = H.html_to_text(first_filled(J.as_text(value("qualifications")), J.as_text(value("skills"))))
     page_no = F.col("page_no") if "page_no" in rows.columns else F.col("page_id")
     return as_postings(
         rows, sequence_of(_rank(rows), F.lit(""), page_no, F.col("item_pos")),
-        title=H.html_unescape(J.as_text(either("title", "name"))),
-        company=H.html_unescape(J.as_text(value("hiringOrganization"))),
+        title=F.get("_plain", F.lit(0)), company=F.get("_plain", F.lit(1)),
         location=J.location_text(value("jobLocation")),
         remote=F.when(F.upper(text_or_empty(value("jobLocationType").try_cast("string"))) == "TELECOMMUTE", REMOTE)
         .otherwise(UNKNOWN),
-        url=U.join_url(F.col("url"), first_filled(J.as_text(value("url")), F.col("url"))),
+        url=U.join_url(F.col("url"), first_filled(text["url"], F.col("url"))),
         source=_page_source(rows),
-        posted_date=F.substring(J.as_text(value("datePosted")), 1, 10),
-        employment_type=J.as_text(value("employmentType")),
+        posted_date=F.substring(text["datePosted"], 1, 10), employment_type=text["employmentType"],
         salary=J.salary_of(value("baseSalary")),
-        tags=F.filter(
-            F.array(J.as_text(value("industry")), J.as_text(value("occupationalCategory"))), lambda t: t != ""
-        ),
+        tags=F.filter(F.array(text["industry"], text["occupationalCategory"]), lambda t: t != ""),
         education=first_filled(
             detect_education(F.col("_education")), F.substring("_education", 1, rules.RAW_TEXT_CHARS)
         ),
@@ -81,9 +81,9 @@ def normalize_jsonld(pages: DataFrame) -> DataFrame:
             F.substring("_experience", 1, rules.RAW_TEXT_CHARS),
         ),
         requirements=F.slice(
-            F.filter(split_lines(found), lambda x: x != ""), 1, rules.MAX_REQUIREMENTS
+            F.filter(split_lines(F.get("_html", F.lit(0))), lambda x: x != ""), 1, rules.MAX_REQUIREMENTS
         ),
-        description=H.html_to_text(J.as_text(value("description"))),
+        description=F.get("_html", F.lit(1)),
     )
 
 
@@ -137,20 +137,30 @@ def page_features(pages: DataFrame) -> DataFrame:
     )
     out = shown.select(
         *kept,
-        H.meta(F.col("_meta"), ["og:site_name"]).alias("site_name"),
-        H.meta(F.col("_meta"), ["og:title"]).alias("og_title"),
-        H.meta(F.col("_meta"), rules.POSTED_META).alias("meta_posted"),
-        H.inline_text(H.element(page, r"h1(?![\w-])")).alias("h1"),
-        H.inline_text(H.element(page, r"title(?![\w-])")).alias("title_tag"),
+        F.array(
+            H.meta(F.col("_meta"), ["og:site_name"]), H.meta(F.col("_meta"), ["og:title"]),
+            H.meta(F.col("_meta"), rules.POSTED_META),
+            H.mark_pieces(H.element(page, r"h1(?![\w-])")), H.mark_pieces(H.element(page, r"title(?![\w-])")),
+        ).alias("_raw"),
         H.opening_tag(body, r"time(?![\w-])").alias("_time"),
         container.alias("_container"), "_body",
     )
+    # All short texts are decoded by one expression over an array of them.
+    out = out.select(
+        *kept, "_container", "_body",
+        F.transform(
+            F.concat("_raw", F.array(
+                H.raw_attribute(F.regexp_extract("_time", r"(?s)^<[^>]*>", 0), "datetime"),
+                H.mark_pieces(H.balanced(F.col("_time"))),
+            )),
+            lambda raw: H.pieces_text(H.html_unescape(raw)),
+        ).alias("_texts"),
+    )
+    names = ["site_name", "og_title", "meta_posted", "h1", "title_tag", "time_attr", "time_text"]
+    texts = {n: F.get("_texts", F.lit(i)) for i, n in enumerate(names)}
     return out.select(
-        *kept, "site_name", "og_title", "meta_posted", "h1", "title_tag",
-        first_filled(
-            H.attribute(F.regexp_extract("_time", r"(?s)^<[^>]*>", 0), "datetime"),
-            H.inline_text(H.balanced(F.col("_time"))),
-        ).alias("time_posted"),
+        *kept, *[texts[n].alias(n) for n in names[:5]],
+        first_filled(texts["time_attr"], texts["time_text"]).alias("time_posted"),
         H.visible_text(
             F.when(F.col("_container") != "", H.balanced(F.col("_container"))).otherwise(F.col("_body"))
         ).alias("main_text"),
@@ -167,18 +177,22 @@ def normalize_html_page(pages: DataFrame) -> DataFrame:
     title = page_title(F.col("main_text"), F.col("h1"), F.col("title_tag"), F.col("og_title"))
     feats = feats.withColumn("_t", split_title(title, F.col("site_name"), F.col("url"))).where("_t.title <> ''")
     page_no = F.col("page_no") if "page_no" in feats.columns else F.col("page_id")
+    names = F.array(F.col("_t.title"), first_filled(F.col("_t.company"), F.col("site_name")))
+    feats = feats.withColumn("_names", F.transform(names, H.html_unescape))
     return as_postings(
         feats, sequence_of(_rank(feats), F.lit(""), page_no, F.lit(0)),
-        title=H.html_unescape(F.col("_t.title")),
-        company=H.html_unescape(first_filled(F.col("_t.company"), F.col("site_name"))),
+        title=F.get("_names", F.lit(0)), company=F.get("_names", F.lit(1)),
         url=U.drop_fragment(F.col("url")), source=_page_source(feats),
         posted_date=page_posted(F.col("meta_posted"), F.col("time_posted"), F.col("main_text")),
         description=F.col("main_text"),
     )
 
 
-def _class_text(fragment: Column, name: str) -> Column:
-    return H.inline_text(H.element(fragment, H.has_class(name)))
+def _opening_of_class(fragment: Column, name: Column) -> Column:
+    """``opening_tag`` for a class name that is itself a column."""
+    before, after = H.has_class("\x00").split("\x00")
+    pattern = F.concat(F.lit(r"(?is)<" + before), name, F.lit(after + ".*"))
+    return F.call_function("regexp_extract", fragment, pattern, F.lit(0))
 
 
 def _pieces(page: Column, condition: str) -> Column:
@@ -213,15 +227,22 @@ def linkedin_cards(pages: DataFrame) -> DataFrame:
         "job_id", U.linkedin_job_id(H.attribute(tag, "data-entity-urn"), F.col("_href"))
     )
     time = H.opening_tag(card, r"time(?![\w-])")
+    classes = ["base-search-card__title", "base-search-card__subtitle", "job-search-card__location",
+               "job-search-card__salary-info"]
+    cards = cards.withColumn(
+        "_texts",
+        F.transform(
+            F.array(
+                *[H.mark_pieces(H.element(card, H.has_class(c))) for c in classes],
+                H.raw_attribute(F.regexp_extract(time, r"(?s)^<[^>]*>", 0), "datetime"), H.mark_pieces(H.balanced(time)),
+            ),
+            lambda raw: H.pieces_text(H.html_unescape(raw)),
+        ),
+    )
+    texts = [F.get("_texts", F.lit(i)) for i in range(6)]
     cards = cards.select(
-        *kept, "item_pos", "job_id",
-        _class_text(card, "base-search-card__title").alias("title"),
-        _class_text(card, "base-search-card__subtitle").alias("company"),
-        _class_text(card, "job-search-card__location").alias("location"),
-        _class_text(card, "job-search-card__salary-info").alias("salary"),
-        first_filled(
-            H.attribute(F.regexp_extract(time, r"(?s)^<[^>]*>", 0), "datetime"), H.inline_text(H.balanced(time))
-        ).alias("posted"),
+        *kept, "item_pos", "job_id", texts[0].alias("title"), texts[1].alias("company"), texts[2].alias("location"),
+        texts[3].alias("salary"), first_filled(texts[4], texts[5]).alias("posted"),
         F.when(
             F.col("job_id") != "",
             F.concat(F.lit("https://www.linkedin.com/jobs/view/"), F.col("job_id"), F.lit("/")),
@@ -239,13 +260,17 @@ def linkedin_details(pages: DataFrame) -> DataFrame:
         H.opening_tag(page, H.has_class("show-more-less-html__markup")),
         H.opening_tag(page, H.has_class("description__text")),
     )
+    # Heading and value of every criteria item, decoded by one expression.
+    parts = ["description__job-criteria-subheader", "description__job-criteria-text"]
     items = F.transform(
         _pieces(page, H.has_class("description__job-criteria-item")),
-        lambda p: F.struct(
-            F.lower(_class_text(p, "description__job-criteria-subheader")).alias("header"),
-            _class_text(p, "description__job-criteria-text").alias("value"),
+        lambda p: F.transform(
+            F.transform(F.array(*map(F.lit, parts)), lambda c: H.mark_pieces(let(_opening_of_class(p, c), H.balanced))),
+            lambda raw: H.pieces_text(H.html_unescape(raw)),
         ),
     )
+    items = F.transform(items, lambda t: F.struct(
+        F.lower(F.get(t, F.lit(0))).alias("header"), F.get(t, F.lit(1)).alias("value")))
     rows = shown.select(
         "job_id", H.html_to_text(H.balanced(markup)).alias("detail_text"),
         F.filter(items, lambda i: i["value"] != "").alias("_items"),
