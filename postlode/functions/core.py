@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Unicode white space plus the separators U+001C..U+001F, and the subset that ends a line.
 WS = r"\s\x1c-\x1f"
@@ -55,5 +55,15 @@ def tidy_array(value: Column) -> Column:
     return F.coalesce(F.array_compact(value), F.array().cast("array<string>"))
 
 
+def keep_rows(df: DataFrame, condition: Callable[[Column], Column]) -> DataFrame:
+    """``df.where`` for conditions on costly computed columns.
+
+    The optimizer moves a plain filter below the projection that computes its columns, which evaluates them once
+    for the filter and once more for the output.  Here every column is computed once and then tested.
+    """
+    row = F.struct(*df.columns)
+    return df.select(F.inline(F.filter(F.array(row), condition)))
+
+
 def empty_array() -> Column:
     return F.array().cast("array<string>")

@@ -139,7 +139,7 @@ def term_matches(df: DataFrame, terms: DataFrame, text: Column, id_col: str = "p
             ),
         )
     )
-    keyed = tokenized.where(F.size("tokens") > 0).select(id_col, F.explode(runs).alias("key"))
+    keyed = tokenized.select(id_col, F.explode(runs).alias("key"))
     keyed = keyed.unionByName(rows.select(id_col, F.lit("").alias("key")))
     # Most runs are no term: drop them before duplicates are removed.  The term list is joined twice, by key
     # alone first, so the text is fetched only for rows that still have a candidate.

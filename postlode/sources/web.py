@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import rules
 from ..functions import html as H, jsonld as J, urls as U
-from ..functions.core import first_filled, let, split_lines, text_or_empty, trim_ws
+from ..functions.core import first_filled, keep_rows, let, split_lines, text_or_empty, trim_ws
 from ..functions.detect import detect_education, detect_experience
-from ..schema import HYBRID, REMOTE, UNKNOWN
+from ..schema import REMOTE, UNKNOWN
 from .postings import as_postings, sequence_of
 
 
@@ -87,7 +87,7 @@ def normalize_jsonld(pages: DataFrame) -> DataFrame:
     )
 
 
-def page_title(page: Column, h1: Column, title_tag: Column, og_title: Column) -> Column:
+def page_title(h1: Column, title_tag: Column, og_title: Column) -> Column:
     """``og:title``, else the title tag when it contains the heading, else heading, else title tag."""
     return first_filled(
         og_title, F.when((h1 != "") & title_tag.contains(h1), title_tag).otherwise(first_filled(h1, title_tag))
@@ -173,9 +173,11 @@ def page_posted(meta_posted: Column, time_posted: Column, text: Column) -> Colum
 
 def normalize_html_page(pages: DataFrame) -> DataFrame:
     """At most one posting per page without structured data; thin or untitled pages give none."""
-    feats = page_features(pages).where(F.length("main_text") >= rules.MIN_PAGE_TEXT)
-    title = page_title(F.col("main_text"), F.col("h1"), F.col("title_tag"), F.col("og_title"))
-    feats = feats.withColumn("_t", split_title(title, F.col("site_name"), F.col("url"))).where("_t.title <> ''")
+    title = page_title(F.col("h1"), F.col("title_tag"), F.col("og_title"))
+    feats = page_features(pages).withColumn("_t", split_title(title, F.col("site_name"), F.col("url")))
+    feats = keep_rows(
+        feats, lambda r: (F.length(r["main_text"]) >= rules.MIN_PAGE_TEXT) & (r["_t"]["title"] != "")
+    )
     page_no = F.col("page_no") if "page_no" in feats.columns else F.col("page_id")
     names = F.array(F.col("_t.title"), first_filled(F.col("_t.company"), F.col("site_name")))
     feats = feats.withColumn("_names", F.transform(names, H.html_unescape))
@@ -248,7 +250,7 @@ def linkedin_cards(pages: DataFrame) -> DataFrame:
             F.concat(F.lit("https://www.linkedin.com/jobs/view/"), F.col("job_id"), F.lit("/")),
         ).otherwise(F.split_part("_href", F.lit("?"), F.lit(1))).alias("card_url"),
     )
-    return cards.where("title <> '' AND card_url <> ''")
+    return keep_rows(cards, lambda r: (r["title"] != "") & (r["card_url"] != ""))
 
 
 def linkedin_details(pages: DataFrame) -> DataFrame:

@@ -333,11 +333,11 @@ ROBOTS = f"""
 
 
 def crawl() -> str:
-    """Three unrolled levels over the link formula of the site pages; six pages per site."""
+    """Three unrolled levels over the link formula of the site pages; eight pages per site."""
     link = lambda pos, dst, cond: f"SELECT page_id, origin, {pos} AS pos, {dst} AS dst FROM s WHERE {cond}"
     base = f"""WITH s AS ({SITE_PAGES}),
     raw_links AS ({link(1, 'page_id * 2 + 3', 'page_id % 2 = 0')} UNION ALL {link(2, 'page_id * 2 + 6', 'page_id % 2 = 0')}
-      UNION ALL {link(3, 'page_id + 3', 'page_id % 6 < 4')} UNION ALL {link(4, 'page_id + 15', 'page_id % 6 < 4')}),
+      UNION ALL {link(3, 'page_id + 3', 'page_id % 6 < 4')} UNION ALL {link(4, 'page_id + 15', 'true')} UNION ALL {link(5, 'page_id + 30', 'true')}),
     one AS (SELECT page_id, origin, dst, min(pos) AS pos FROM raw_links WHERE dst <> page_id GROUP BY ALL),
     link AS (SELECT origin AS site, origin || '/jobs/' || CAST(page_id AS VARCHAR) AS url, origin || '/jobs/' || CAST(dst AS VARCHAR) AS dst, pos FROM one),
     page AS (SELECT url, page_id % 4 = 1 AS structured FROM s),
@@ -355,7 +355,7 @@ def crawl() -> str:
         coalesce(sum(CASE WHEN page.url IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY q.site ORDER BY pr, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
         FROM q{d} q LEFT JOIN page ON page.url = q.url WINDOW w AS (PARTITION BY q.site ORDER BY pr, pos)),
     used{d} AS (SELECT site, sum(CASE WHEN got THEN 1 ELSE 0 END) AS n FROM ({seen}) x GROUP BY site),
-    l{d} AS (SELECT r.site, r.url, {d} AS depth, rank, got, structured FROM r{d} r LEFT JOIN used{d} u ON u.site = r.site WHERE before + coalesce(n, 0) < 6)"""
+    l{d} AS (SELECT r.site, r.url, {d} AS depth, rank, got, structured FROM r{d} r LEFT JOIN used{d} u ON u.site = r.site WHERE before + coalesce(n, 0) < 8)"""
         base += nxt
         seen = f"{seen} UNION ALL SELECT site, url, depth, rank, got FROM l{d}"
         base += f"""
@@ -472,7 +472,10 @@ def oracle_sql() -> dict[str, str]:
           CASE posting_id % 4 WHEN 0 THEN '3+ years' ELSE '5 years' END AS experience, {DESC} AS description FROM p WHERE posting_id % 2 = 0""",
         "html_text": f"SELECT page_id, {page_text('html')} AS text FROM pages",
         "page_links": f"WITH {LINKS} SELECT page_id, pos, link FROM ranked WHERE pos < 50",
-        "html_page_postings": f"""SELECT page_id, title, '' AS company, regexp_replace(url, '#.*$', '') AS url, {page_host} AS source, '' AS posted_date, description
+        "html_page_postings": f"""SELECT page_id, CASE WHEN contains(title, ' : ') THEN trim(split_part(title, ' : ', 1))
+            WHEN regexp_matches(title, '\\s+at\\s+') THEN trim(regexp_extract(title, '^(.*?)\\s+at\\s', 1)) ELSE title END AS title,
+            CASE WHEN contains(title, ' : ') THEN trim(substr(title, strpos(title, ' : ') + 3))
+            WHEN regexp_matches(title, '\\s+at\\s+') THEN trim(regexp_extract(title, '^.*?\\s+at\\s+(.*)$', 1)) ELSE '' END AS company, regexp_replace(url, '#.*$', '') AS url, {page_host} AS source, '' AS posted_date, description
           FROM (SELECT page_id, url, trim(CASE WHEN {H1} <> '' AND contains({TITLE_TAG}, {H1}) THEN {TITLE_TAG} WHEN {H1} <> '' THEN {H1} ELSE {TITLE_TAG} END) AS title,
             {page_text('body', True)} AS description FROM (SELECT *, {ARTICLE} AS body FROM pages)) WHERE length(description) >= 100 AND title <> ''""",
         "page_titles": f"""SELECT page_id, 'Engineer ' || {pid} AS title,

@@ -459,7 +459,7 @@ def site_seeds(spark, sf) -> DataFrame:
 
 
 def crawl_reachable(spark, sf):
-    visits = C.crawl(site_pages(spark, sf), site_seeds(spark, sf), max_pages=6)
+    visits = C.crawl(site_pages(spark, sf), site_seeds(spark, sf), max_pages=8)
     return visits.select("site", F.col("depth").cast("bigint").alias("depth"), F.col("rank").cast("bigint").alias("rank"), "url", "role")
 
 
