@@ -19,8 +19,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def col_of(value) -> Column:
-    return F.col(value) if isinstance(value, str) else value
+def sql_text(text: str) -> str:
+    """``text`` as a SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def apply_sql(value: Column, function: str) -> Column:
+    """Apply a SQL lambda such as ``v -> upper(v)`` to a value.
+
+    Long expressions are written this way because Spark parses them in one step; built call by call from Python
+    they would take longer to construct than a small query takes to run.
+    """
+    return F.get(F.call_function("transform", F.array(value), F.expr(function)), F.lit(0))
 
 
 def text_or_empty(value: Column) -> Column:

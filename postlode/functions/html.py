@@ -13,7 +13,7 @@ from html.entities import html5
 from pyspark.sql import Column, functions as F
 
 from .. import rules
-from .core import BREAKS, WS, first_filled, let, text_or_empty, trim_ws
+from .core import BREAKS, WS, apply_sql, first_filled, let, sql_text, text_or_empty, trim_ws
 
 # The rest of a tag after its name: values in quotes may contain '>'.
 _REST = r"""[^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+')?+[^>=]*+)*+>"""
@@ -41,68 +41,32 @@ def _references() -> str:
     return "".join(f"\x01{k}\x02{v}" for k, v in table.items()) + "\x01"
 
 
-def _find(key: Column) -> Column:
-    """Text of a reference, NULL when the table does not hold it."""
-    mark = F.concat(F.lit("\x01"), key, F.lit("\x02"))
-    return let(
-        F.position(mark, F.lit(_references())),
-        lambda at: F.when(
-            at > 0,
-            F.substring_index(F.substring(F.lit(_references()), at + F.length(key) + 2, F.lit(3)), "\x01", 1),
-        ),
-    )
-
-
 @lru_cache(maxsize=1)
-def _legacy_names() -> str:
-    """Pattern of the names that count without a semicolon, longest first."""
-    names = sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)
-    return "^(" + "|".join(names) + ")"
-
-
-def _code_point(ref: Column) -> Column:
-    """Text of a numeric reference."""
-    digits = F.regexp_extract(ref, "^#[xX]?0*([0-9a-fA-F]*)", 1)
-    base = F.when(ref.rlike("^#[xX]"), 16).otherwise(10)
-    number = F.when(F.length(digits) > 7, 0x110000).otherwise(
-        F.call_function("conv", F.concat(F.lit("0"), digits), base, F.lit(10)).cast("int")
-    )
-    return let(
-        number,
-        lambda n: F.when((n > 0x10FFFF) | n.between(0xD800, 0xDFFF), "�").otherwise(
-            F.coalesce(
-                _find(F.concat(F.lit("#"), n)), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
-            )
-        ),
-    )
-
-
-def _decode_piece(piece: Column) -> Column:
-    """Text of what followed one ampersand: a reference, a known name without semicolon, or nothing special."""
-
-    def read(ref: Column) -> Column:
-        exact = F.when(ref.startswith("#"), _code_point(ref)).otherwise(_find(ref))
-        legacy = let(F.regexp_extract(ref, _legacy_names(), 1), lambda p: F.struct(_find(p).alias("text"), p.alias("ref")))
-        return let(
-            exact,
-            lambda text: F.when(text.isNotNull(), F.struct(text.alias("text"), ref.alias("ref"))).otherwise(legacy),
-        )
-
-    def put(found: Column) -> Column:
-        tail = F.substring(piece, F.length(found["ref"]) + 1, F.length(piece))
-        return F.coalesce(F.concat(found["text"], tail), F.concat(F.lit("&"), piece))
-
-    return let(let(F.regexp_extract(piece, _REFERENCE, 1), read), put)
+def _unescape_lambda() -> str:
+    """The decoder as SQL: what follows each ampersand is a reference, a known name without semicolon, or text."""
+    legacy = sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)
+
+    def find(key: str) -> str:
+        return f"""transform(array(position(concat('\x01', {key}, '\x02'), tbl)), at ->
+            CASE WHEN at > 0 THEN substring_index(substr(tbl, at + length({key}) + 2, 3), '\x01', 1) END)[0]"""
+
+    number = f"""transform(array(regexp_extract(ref, '^#[xX]?0*([0-9a-fA-F]*)', 1)), digits ->
+        transform(array(CASE WHEN length(digits) > 7 THEN 1114112
+            ELSE cast(conv(concat('0', digits), CASE WHEN ref rlike '^#[xX]' THEN 16 ELSE 10 END, 10) AS int) END), n ->
+          CASE WHEN n > 1114111 OR n BETWEEN 55296 AND 57343 THEN '\ufffd'
+            ELSE coalesce({find("concat('#', n)")}, decode(unhex(lpad(hex(n), 8, '0')), 'UTF-32')) END)[0])[0]"""
+    piece = f"""transform(array(regexp_extract(p, {sql_text(_REFERENCE)}, 1)), ref ->
+        transform(array(CASE WHEN startswith(ref, '#') THEN {number} ELSE {find("ref")} END), found ->
+          CASE WHEN found IS NOT NULL THEN concat(found, substr(p, length(ref) + 1))
+            ELSE transform(array(regexp_extract(ref, {sql_text("^(" + "|".join(legacy) + ")")}, 1)), name ->
+              coalesce(concat({find("name")}, substr(p, length(name) + 1)), concat('&', p)))[0] END)[0])[0]"""
+    return f"""v -> CASE WHEN contains(v, '&') THEN transform(array({sql_text(_references())}), tbl ->
+        array_join(transform(split(v, '&'), (p, i) -> CASE WHEN i = 0 THEN p ELSE {piece} END), ''))[0] ELSE v END"""
 
 
 def html_unescape(value: Column) -> Column:
     """Decode character references once, left to right.  Text without ``&`` is passed through untouched."""
-
-    def decode(pieces: Column) -> Column:
-        later = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
-        return F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(later, _decode_piece), ""))
-
-    return let(value, lambda v: F.when(v.contains("&"), let(F.split(v, "&"), decode)).otherwise(v))
+    return apply_sql(value, _unescape_lambda())
 
 
 def html_escape(value: Column) -> Column:

@@ -6,10 +6,12 @@ Recursion is unrolled to ``DEPTH`` levels; each level opens the lists and object
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, functions as F
 
 from .. import rules
-from .core import empty_array, let, text_or_empty, trim_ws
+from .core import WS, apply_sql, let, sql_text
 from .salary import salary_text
 
 DEPTH = 5
@@ -34,38 +36,33 @@ def filled(value: Column) -> Column:
     return F.when(~F.coalesce(value.cast("string"), F.lit("")).isin(_EMPTY), value)
 
 
-def _open(value: Column) -> Column:
-    """One step towards scalars: list items, or the first filled naming member of an object."""
-    named = F.coalesce(*[filled(member(value, k)) for k in rules.TEXT_KEYS])
-    k = kind(value)
-    return (
-        F.when(k == "ARRAY", elements(value))
-        .when(k == "OBJECT", F.array_compact(F.array(named)))
-        .otherwise(F.array(value))
-    )
+def _kind_sql(v: str) -> str:
+    return f"regexp_extract(schema_of_variant({v}), '^([A-Z]+)', 1)"
 
 
-def _scalar(value: Column) -> Column:
-    k = kind(value)
-    text = value.try_cast("string")
-    return (
-        F.when(value.isNull() | k.isin("VOID", "ARRAY", "OBJECT"), "")
-        .when(k == "BOOLEAN", F.initcap(text))
-        .otherwise(trim_ws(text_or_empty(text)))
-    )
+@lru_cache(maxsize=1)
+def _as_text_lambda() -> str:
+    """Open lists and objects ``DEPTH`` times, then join the scalars.
+
+    A list opens into its items, an object into the first filled one of its naming members.
+    """
+    members = [f"try_variant_get(x, '$[\"{k}\"]', 'variant')" for k in rules.TEXT_KEYS]
+    empty = ", ".join(sql_text(e) for e in _EMPTY)
+    filled = ", ".join(f"CASE WHEN coalesce(cast({m} AS string), '') NOT IN ({empty}) THEN {m} END" for m in members)
+    opened = f"""x -> CASE {_kind_sql("x")} WHEN 'ARRAY' THEN try_variant_get(x, '$', 'array<variant>')
+        WHEN 'OBJECT' THEN array_compact(array(coalesce({filled}))) ELSE array(x) END"""
+    scalar = f"""CASE WHEN y IS NULL OR {_kind_sql("y")} IN ('VOID', 'ARRAY', 'OBJECT') THEN ''
+        WHEN {_kind_sql("y")} = 'BOOLEAN' THEN initcap(cast(y AS string))
+        ELSE regexp_replace(coalesce(try_cast(y AS string), ''), {sql_text(rf"(?U)^[{WS}]+|[{WS}]+" + chr(92) + "z")}, '') END"""
+    items = "array(v)"
+    for _ in range(DEPTH):
+        items = f"flatten(transform({items}, {opened}))"
+    return f"v -> array_join(filter(transform({items}, y -> {scalar}), t -> t <> ''), '; ')"
 
 
 def as_text(value: Column) -> Column:
     """Flatten a value to text; list items are joined by ``; ``."""
-
-    def flatten(v: Column) -> Column:
-        items = F.array(v)
-        for _ in range(DEPTH):
-            items = F.flatten(F.transform(items, _open))
-        return F.array_join(F.filter(F.transform(items, _scalar), lambda t: t != ""), "; ")
-
-    nested = lambda v: kind(v).isin("ARRAY", "OBJECT")
-    return let(value, lambda v: F.when(nested(v), flatten(v)).otherwise(_scalar(v)))
+    return apply_sql(value, _as_text_lambda())
 
 
 def location_text(value: Column) -> Column:
