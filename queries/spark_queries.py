@@ -27,11 +27,18 @@ from postlode.streaming.ingest import stream_postings
 
 from .views import AS_OF, POSTINGS, SITE_PAGES
 
-TODAY = F.lit(AS_OF).cast("date")
 SPEC = dict(as_of=date.fromisoformat(AS_OF))
 PAGE_LINKS = r"/[A-Za-z]"
 
 
+def today() -> Column:
+    return F.lit(AS_OF).cast("date")
+
+
+def board_name() -> Column:
+    return F.concat(F.lit("board"), (F.floor(F.col("posting_id") / 10) % 4).cast("string"))
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -78,10 +85,10 @@ def remote_filter(spark, sf):
 
 
 def posted_parse(spark, sf):
-    day = D.parse_date(F.col("posted_raw"), TODAY)
+    day = D.parse_date(F.col("posted_raw"), today())
     return posting_view(spark, sf).select(
         "posting_id", F.date_format(day, "yyyy-MM-dd").alias("posted_on"),
-        D.normalize_date(F.col("posted_raw"), TODAY).alias("posted_date"),
+        D.normalize_date(F.col("posted_raw"), today()).alias("posted_date"),
     )
 
 
@@ -110,7 +117,7 @@ def _mined(name: str, value: Callable[[Column], Column]):
 
 
 def enriched(spark, sf):
-    out = enrich(canonical(spark, sf), TODAY)
+    out = enrich(canonical(spark, sf), today())
     return out.select(
         "seq", "title", "remote", "posted_date", "education", "experience", *joined("certifications", "clearance", "requirements")
     )
@@ -148,7 +155,7 @@ def search(spark, sf):
 
 def filtered(spark, sf):
     """The whole predicate of a search on enriched postings, without duplicate removal."""
-    out = enrich(canonical(spark, sf), TODAY).where(postings_filter(search_spec()))
+    out = enrich(canonical(spark, sf), today()).where(postings_filter(search_spec()))
     return out.select("seq", "title", "remote", "posted_date")
 
 
@@ -195,9 +202,6 @@ def _shown(df: DataFrame) -> DataFrame:
                      "salary", *joined("tags"), "description")
 
 
-BOARD = F.concat(F.lit("board"), (F.floor(F.col("posting_id") / 10) % 4).cast("string"))
-
-
 def remoteok(spark, sf):
     item = F.struct(
         F.col("posting_id").alias("id"),
@@ -251,7 +255,7 @@ def greenhouse(spark, sf):
         F.array(F.struct(F.lit("Security").alias("name")), F.struct(F.lit("").alias("name"))).alias("departments"),
         H.html_escape(_markup(F.col("description"))).alias("content"),
     )
-    raw = _payloads(spark, sf, "greenhouse", item, lambda x: F.concat(F.lit('{"jobs":['), x, F.lit("]}")), BOARD)
+    raw = _payloads(spark, sf, "greenhouse", item, lambda x: F.concat(F.lit('{"jobs":['), x, F.lit("]}")), board_name())
     return _shown(B.normalize_greenhouse(raw))
 
 
@@ -268,7 +272,7 @@ def lever(spark, sf):
         F.struct(F.lit(90000).alias("min"), (90000 + F.col("posting_id") % 3 * 500).alias("max"), F.lit("USD").alias("currency"),
                  F.lit("per-year-salary").alias("interval")).alias("salaryRange"),
     )
-    raw = _payloads(spark, sf, "lever", item, lambda x: F.concat(F.lit("["), x, F.lit("]")), BOARD)
+    raw = _payloads(spark, sf, "lever", item, lambda x: F.concat(F.lit("["), x, F.lit("]")), board_name())
     return _shown(B.normalize_lever(raw))
 
 
@@ -307,14 +311,14 @@ def _workday_raw(spark, sf) -> DataFrame:
 
 
 def workday(spark, sf):
-    return _shown(B.normalize_workday(_workday_raw(spark, sf), TODAY))
+    return _shown(B.normalize_workday(_workday_raw(spark, sf), today()))
 
 
 def select_by_name(spark, sf):
     """Payload rows of chosen sources, ranked in the order they were named."""
     raw = posting_view(spark, sf).select(
         F.element_at(F.array(*[F.lit(n) for n, _, _ in rules.SOURCES] + [F.lit("greenhouse")]), (F.col("posting_id") % 6 + 1).cast("int")).alias("provider"),
-        BOARD.alias("board"), "posting_id",
+        board_name().alias("board"), "posting_id",
     )
     chosen = G.select_sources(raw, ["https://www.remotive.com", "remoteok", "remotive"], {"greenhouse": ["board1"]})
     return chosen.select("posting_id", "provider", "board", F.col("source_rank").cast("bigint").alias("source_rank"))
@@ -333,7 +337,7 @@ def _landed(spark, sf) -> DataFrame:
     """Payload rows of which some are broken JSON."""
     v = posting_view(spark, sf)
     return v.select(
-        F.col("source").alias("provider"), BOARD.alias("board"), F.col("posting_id").cast("int").alias("request_no"), "url",
+        F.col("source").alias("provider"), board_name().alias("board"), F.col("posting_id").cast("int").alias("request_no"), "url",
         F.when((F.col("posting_id") % 10 == 7) & (F.col("posting_id") > 60), F.concat(F.lit("{bad "), "title"))
         .otherwise(F.to_json(F.struct("title"))).alias("payload"),
         F.lit(None).cast("timestamp").alias("fetched_at"),
@@ -515,8 +519,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "remote_class": remote_class,
         "remote_filter": remote_filter,
         "posted_parse": posted_parse,
-        "posted_within": _where(lambda: P.posted_within(F.col("posted_raw"), 5, TODAY)),
-        "posted_within_or_undated": _where(lambda: P.posted_within(F.col("posted_raw"), 5, TODAY, True)),
+        "posted_within": _where(lambda: P.posted_within(F.col("posted_raw"), 5, today())),
+        "posted_within_or_undated": _where(lambda: P.posted_within(F.col("posted_raw"), 5, today(), True)),
         "location_any": _where(lambda: P.location_any(["austin", "BERLIN"])),
         "domain_allow": _where(lambda: P.domain_pred(F.col("url"), allow=["https://www.example.com/x"])),
         "domain_deny": _where(lambda: P.domain_pred(F.col("url"), deny=["example.com", ".other.test"])),
