@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import rules
 from ..functions import html as H, jsonld as J, urls as U
-from ..functions.core import let
+from ..functions.core import let, unnest
 from ..session import cut
 from ..sources.web import normalize_html_page, normalize_jsonld
 from .distinct import distinct_first
@@ -65,12 +65,12 @@ def board_links(page: Column, url: Column) -> Column:
 def discover_job_links(pages: DataFrame, pattern: str = rules.JOB_LINK, limit: int = rules.LINKS_PER_PAGE) -> DataFrame:
     """``(page_id, pos, link)``; row-local, no shuffle."""
     links = job_links(F.col("html"), F.col("url"), pattern, limit)
-    return pages.select("page_id", F.posexplode(links).alias("pos", "link"))
+    return unnest(pages, ["page_id"], links, "link", "pos")
 
 
 def discover_boards(pages: DataFrame) -> DataFrame:
     """``(page_id, source, provider, board, board_url)``."""
-    found = pages.select("page_id", F.explode(board_links(F.col("html"), F.col("url"))).alias("b"))
+    found = unnest(pages, ["page_id"], board_links(F.col("html"), F.col("url")), "b")
     return found.select("page_id", "b.source", "b.provider", "b.board", F.col("b.url").alias("board_url"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import rules
 from ..functions import urls as U
-from ..functions.core import WS, text_or_empty
+from ..functions.core import WS, fold_case, holds_any, let, text_or_empty, unnest
 from ..functions.dates import parse_date
 from ..schema import HYBRID, REMOTE
 
@@ -23,30 +23,36 @@ def search_text(title_only: bool = False) -> Column:
     )
 
 
-def _patterns(terms: list[str]) -> list[str]:
-    return [rules.term_pattern(t) for t in terms if t.strip()]
+def _term_hits(text: Column, terms: list[str]) -> Column:
+    """Array with one truth value per term.
 
+    A term's pattern is tried only on texts that contain its longest word, so terms absent from a text cost one
+    byte search each, however many there are.
+    """
+
+    def hit(v: Column, term: str) -> Column:
+        word = max(re.split(r"[\s-]+", term.strip()), key=len)
+        found = v["text"].rlike(rules.term_pattern(term))
+        return holds_any(v["folded"], [word.upper().lower()]) & found if word else found
 
-def _one_of(patterns: list[str]) -> str:
-    """One alternation for a whole term list: the text is read once, however many terms there are."""
-    return "|".join(f"(?:{p})" for p in patterns)
+    return let(
+        let(text, lambda t: F.struct(t.alias("text"), fold_case(t).alias("folded"))),
+        lambda v: F.array(*[hit(v, t) for t in terms]),
+    )
 
 
 def match_any(text: Column, terms: list[str]) -> Column:
-    patterns = _patterns(terms)
-    return text.rlike(_one_of(patterns)) if patterns else F.lit(True)
+    terms = [t for t in terms if t.strip()]
+    return F.exists(_term_hits(text, terms), lambda hit: hit) if terms else F.lit(True)
 
 
 def match_all(text: Column, terms: list[str]) -> Column:
-    found = F.lit(True)
-    for p in _patterns(terms):
-        found = found & text.rlike(p)
-    return found
+    terms = [t for t in terms if t.strip()]
+    return F.forall(_term_hits(text, terms), lambda hit: hit) if terms else F.lit(True)
 
 
 def match_none(text: Column, terms: list[str]) -> Column:
-    patterns = _patterns(terms)
-    return ~text.rlike(_one_of(patterns)) if patterns else F.lit(True)
+    return ~match_any(text, terms) if any(t.strip() for t in terms) else F.lit(True)
 
 
 def remote_pred(include_hybrid: bool = False) -> Column:
@@ -103,51 +109,48 @@ def term_matches(df: DataFrame, terms: DataFrame, text: Column, id_col: str = "p
 
     A term splits into word groups at characters other than word characters, space and hyphen.  Wherever the term
     matches, its longest group appears in the text as a run of whole words, so runs of words are joined to groups
-    by equality and only those pairs are checked with the term's pattern.  Terms without any word character are
-    checked by the same route under the empty key.
+    by equality.  For a term that is a single group the run alone decides.  Only terms with other characters are
+    checked against the text, fetched for the rows that hold their longest group or, if a term has no word
+    character at all, its first symbol.
     """
-    squeezed = lambda c: F.lower(F.regexp_replace(c, _SEPARATORS, ""))
-    groups = F.transform(F.split(F.trim("term"), rf"(?U)[^\w{WS}-]+"), squeezed)
-    longest = F.array_max(F.transform(groups, lambda g: F.struct(F.length(g).alias("n"), g.alias("g"))))["g"]
-    words = F.size(F.filter(F.split(F.trim("term"), rf"(?U)[^\w]+"), lambda w: w != ""))
-    body = F.array_join(
-        F.transform(
-            F.filter(F.split(F.trim("term"), rf"(?U)[{WS}-]+"), lambda w: w != ""),
-            lambda w: F.regexp_replace(w, r"([^\p{L}\p{N}_])", r"\\$1"),
-        ),
-        r"[\s-]*",
+    parts = F.filter(F.split(F.trim("term"), _SEPARATORS), lambda w: w != "")
+    body = F.array_join(F.transform(parts, lambda w: F.regexp_replace(w, r"([^\p{L}\p{N}_])", r"\\$1")), r"[\s-]*")
+    groups = F.transform(
+        F.split(F.trim("term"), rf"(?U)[^\w{WS}-]+"), lambda g: F.lower(F.regexp_replace(g, _SEPARATORS, ""))
     )
-    pattern = F.concat(F.lit(r"(?iU)(?<!\w)"), body, F.lit(r"(?!\w)"))
+    longest = F.array_max(F.transform(groups, lambda g: F.struct(F.length(g).alias("n"), g.alias("g"))))["g"]
+    # Symbols are keyed apart from words; a term of hyphens alone has no symbol and is tried on every row.
+    symbol = F.concat(F.lit("\x00"), F.regexp_extract("term", rf"(?U)[^\w{WS}-]", 0))
     listed = terms.where(F.trim("term") != "").select(
-        "term", longest.alias("key"), pattern.alias("pattern"), words.alias("words")
+        "term", F.when(longest == "", symbol).otherwise(longest).alias("key"), body.alias("body"), ((F.size(groups) == 1) & (longest != "")).alias("plain"),
+        F.size(F.filter(F.split(F.trim("term"), r"(?U)\W+"), lambda w: w != "")).alias("words"),
     ).distinct()
     # One number, computed by Spark: how many neighbouring words a run may need.
     longest_run = F.greatest(listed.agg(F.max("words")).scalar(), F.lit(1))
 
-    rows = df.select(F.col(id_col), text.alias("text")).withColumn("longest_run", longest_run)
-    stretches = rows.select(
-        id_col, "text", "longest_run", F.explode(F.split("text", rf"(?U)[^\w{WS}-]+")).alias("stretch")
-    )
-    tokens = F.filter(F.split("stretch", _SEPARATORS), lambda w: w != "")
-    tokenized = stretches.select(id_col, "longest_run", F.transform(tokens, lambda w: F.lower(w)).alias("tokens"))
-    runs = F.flatten(
-        F.transform(
-            F.col("tokens"),
-            lambda _, i: F.transform(
-                F.sequence(F.lit(1), F.least(F.col("longest_run"), F.size("tokens") - i)),
-                lambda n: F.array_join(F.slice("tokens", i + 1, n), ""),
-            ),
-        )
+    rows = df.select(F.col(id_col), text.alias("text"))
+    stretches = F.transform(
+        F.split("text", rf"(?U)[^\w{WS}-]+"),
+        lambda s: F.filter(F.split(F.lower(s), _SEPARATORS), lambda w: w != ""),
     )
-    keyed = tokenized.select(id_col, F.explode(runs).alias("key"))
-    keyed = keyed.unionByName(rows.select(id_col, F.lit("").alias("key")))
-    # Most runs are no term: drop them before duplicates are removed.  The term list is joined twice, by key
-    # alone first, so the text is fetched only for rows that still have a candidate.
-    candidates = keyed.join(listed.select("key").distinct(), "key", "left_semi").distinct()
-    pairs = candidates.join(listed, "key")
-    return (
-        pairs.join(rows.select(id_col, "text"), id_col)
-        .where(F.expr("text rlike pattern"))
-        .select(id_col, "term")
-        .distinct()
+
+    def runs_of(tokens: Column, most: Column) -> Column:
+        return F.flatten(F.transform(tokens, lambda _, i: F.transform(
+            F.sequence(F.lit(1), F.least(most, F.size(tokens) - i)), lambda n: F.array_join(F.slice(tokens, i + 1, n), " ")
+        )))
+
+    # Repeats inside a row go before anything is exploded.
+    runs = F.flatten(F.transform(stretches, lambda t: runs_of(t, F.col("most"))))
+    symbols = F.transform(
+        F.concat(F.array(F.lit("")), F.regexp_extract_all("text", F.lit(rf"(?U)[^\w{WS}-]"), F.lit(0))),
+        lambda c: F.concat(F.lit("\x00"), c),
     )
+    runs = F.array_distinct(F.concat(runs, symbols))
+    found = unnest(rows.withColumn("most", longest_run), [id_col], runs, "run")
+    keyed = found.withColumn("key", F.replace("run", F.lit(" "), F.lit("")))
+    hits = keyed.join(listed, "key")
+    plain = hits.where("plain").where(F.expr("run rlike concat('(?iU)^', body, '$')")).select(id_col, "term")
+
+    checked = hits.where("NOT plain").select(id_col, "term", "body").distinct().join(rows, id_col)
+    pattern = F.concat(F.lit(r"(?iU)(?<!\w)"), F.col("body"), F.lit(r"(?!\w)"))
+    return plain.unionByName(checked.where(F.rlike("text", pattern)).select(id_col, "term")).distinct()

@@ -158,6 +158,26 @@ CERTIFICATIONS = [
     ("ISO 27001 Auditor/Implementer", r"(?U)\bISO\s?27001 (?i:(?:lead )?(?:auditor|implementer))"),
 ]
 
+# Lower-case pieces of text without which a rule cannot match; they are looked for before its pattern is tried.
+# A rule that is one bounded word needs no entry.
+NEEDS = {
+    "Doctorate": ["ph", "doctor"], "Master's": ["master", "mba", "m.s.", "msc"],
+    "Bachelor's": ["bachelor", "b.s.", "b.a.", "bsc", "undergraduate", "year degree"], "Associate's": ["associate", "year degree"],
+    "High school diploma/GED": ["high school", "ged"],
+    "CEH": ["ceh", "c|eh", "ethical hacker"], "OSCE": ["osce"], "CompTIA Security+": ["+"], "CompTIA Network+": ["+"],
+    "CompTIA A+": ["a+"], "CompTIA PenTest+": ["pentest"], "CompTIA Linux+": ["linux"], "CompTIA Cloud+": ["cloud"],
+    "AWS Certification": ["aws"], "Azure Certification": ["az-", "azure"], "Google Cloud Certification": ["google cloud", "gcp"],
+    "Certified ScrumMaster": ["csm", "scrum"], "Six Sigma": ["six sigma"], "DoD 8570/8140": ["8570", "8140"],
+    "ISO 27001 Auditor/Implementer": ["27001"],
+    "TS/SCI": ["sci"], "Top Secret": ["secret"], "Secret": ["secret"], "Public Trust": ["public trust"], "Polygraph": ["poly"],
+}
+EQUIVALENT_NEEDS = ["equivalent", "in lieu"]
+GENERIC_DEGREE_NEEDS = ["degree"]
+GENERIC_CLEARANCE_NEEDS = ["clearance"]
+EXPERIENCE_NEEDS = ["exp"]
+NOT_REMOTE_NEEDS = ["remote", "only"]
+REMOTE_LONG_NEEDS = ["remote", "work", "telecommut"]
+
 # Clearances.
 CLEARANCES = [
     ("TS/SCI", r"(?U)\bTS\s*/\s*SCI\b"),
@@ -282,5 +302,9 @@ def expand_fields(names: list[str]) -> list[str]:
 
 def term_pattern(term: str) -> str:
     """Whole-word, case-insensitive pattern in which space and hyphen runs of ``term`` match any run or none."""
-    words = [w for w in re.split(r"[\s-]+", term.strip()) if w]
-    return r"(?iU)(?<!\w)" + r"[\s-]*".join(re.escape(w) for w in words) + r"(?!\w)"
+    words = [re.escape(w) for w in re.split(r"[\s-]+", term.strip()) if w]
+    if not words:
+        return r"(?iU)(?<!\w)(?!\w)"
+    # The look-behind stands after the first word, so that it is tried where the word was found, not everywhere.
+    first = words[0]
+    return rf"(?iU){first}(?<!\w{first})" + "".join(rf"[\s-]*{w}" for w in words[1:]) + r"(?!\w)"

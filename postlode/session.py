@@ -25,6 +25,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input that Spark would read in only a few tasks, such as one small file.
+
+    Mining text costs far more than moving a small input once.  An input with at least as many splits as there
+    are cores, which is every large one, is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so later steps start from stored, sized data.
 

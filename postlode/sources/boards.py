@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import rules
-from ..functions.core import first_filled, let, text_or_empty, tidy_array
+from ..functions.core import first_filled, let, text_or_empty, tidy_array, unnest
 from ..functions.dates import date_from_epoch, parse_date
 from ..functions.detect import map_workplace
 from ..functions.html import html_escape, html_to_text, html_unescape
@@ -25,9 +25,7 @@ def _of(raw: DataFrame, provider: str) -> DataFrame:
 
 
 def _explode(raw: DataFrame, items: Column) -> DataFrame:
-    return raw.select(
-        "source_rank", "board", "request_no", F.posexplode(items).alias("item_pos", "item")
-    )
+    return unnest(raw, ["source_rank", "board", "request_no"], items, "item", "item_pos")
 
 
 def _listed(raw: DataFrame, member: str, ddl: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import rules
 from ..functions import html as H, jsonld as J, urls as U
-from ..functions.core import first_filled, keep_rows, let, split_lines, text_or_empty, trim_ws
+from ..functions.core import first_filled, keep_rows, let, split_lines, text_or_empty, trim_ws, unnest
 from ..functions.detect import detect_education, detect_experience
 from ..schema import REMOTE, UNKNOWN
 from .postings import as_postings, sequence_of
@@ -25,11 +25,11 @@ def _page_source(pages: DataFrame) -> Column:
 def jsonld_objects(pages: DataFrame) -> DataFrame:
     """One row per JSON-LD posting object: all page columns but the markup, plus ``item_pos`` and ``obj``."""
     kept = [c for c in pages.columns if c != "html"]
-    scripts = pages.where(F.col("html").contains("ld+json")).select(
-        *kept, F.posexplode(H.json_ld(F.col("html"))).alias("script_pos", "script")
+    scripts = unnest(
+        pages.where(F.col("html").contains("ld+json")), kept, H.json_ld(F.col("html")), "script", "script_pos"
     ).where(F.col("script").contains("JobPosting"))
     parsed = scripts.select(*kept, "script_pos", F.try_parse_json("script").alias("doc"))
-    found = parsed.select(*kept, "script_pos", F.posexplode(J.objects(F.col("doc"))).alias("obj_pos", "obj"))
+    found = unnest(parsed, [*kept, "script_pos"], J.objects(F.col("doc")), "obj", "obj_pos")
     # Positions inside one page: scripts first, then objects; a script never holds a million objects.
     return found.where(J.is_posting(F.col("obj"))).withColumn(
         "item_pos", F.col("script_pos") * 1_000_000 + F.col("obj_pos")
@@ -209,10 +209,8 @@ def linkedin_cards(pages: DataFrame) -> DataFrame:
     shown = pages.select(*kept, H.strip_hidden(F.col("html")).alias("_shown"))
     by_urn = _pieces(F.col("_shown"), H.attr_matches("data-entity-urn", "jobPosting"))
     by_class = _pieces(F.col("_shown"), H.has_class("base-card"))
-    cards = shown.select(
-        *kept,
-        F.posexplode(let(by_urn, lambda c: F.when(F.size(c) > 0, c).otherwise(by_class))).alias("item_pos", "_piece"),
-    )
+    pieces = let(by_urn, lambda c: F.when(F.size(c) > 0, c).otherwise(by_class))
+    cards = unnest(shown, kept, pieces, "_piece", "item_pos")
     opening = F.regexp_extract("_piece", r"(?s)^<[^>]*>", 0)
     cards = cards.select(*kept, "item_pos", opening.alias("_tag"), H.balanced(F.col("_piece")).alias("_card"))
     card, tag = F.col("_card"), F.col("_tag")

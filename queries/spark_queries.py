@@ -19,7 +19,7 @@ from postlode.operators.distinct import distinct_first
 from postlode.operators.enrich import enrich
 from postlode.plans.search import SearchSpec, first_matches, postings_filter, search_postings
 from postlode.schema import PAGES_DDL, UNKNOWN
-from postlode.session import shared_dir
+from postlode.session import shared_dir, spread
 from postlode.sinks.write import cap_cells, to_sheet_rows
 from postlode.sources import boards as B, raw as L, registry as G, web as W
 from postlode.sources.postings import FIELDS, as_postings, sequence_of, union_sources
@@ -40,7 +40,7 @@ def board_name() -> Column:
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
 def view(spark: SparkSession, sf: str, sql: str, name: str) -> DataFrame:
