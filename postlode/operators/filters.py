@@ -11,6 +11,7 @@ from ..functions import urls as U
 from ..functions.core import WS, fold_case, holds_any, let, text_or_empty, unnest
 from ..functions.dates import parse_date
 from ..schema import HYBRID, REMOTE
+from ..session import cut
 
 
 def search_text(title_only: bool = False) -> Column:
@@ -148,7 +149,8 @@ def term_matches(df: DataFrame, terms: DataFrame, text: Column, id_col: str = "p
     runs = F.array_distinct(F.concat(runs, symbols))
     found = unnest(rows.withColumn("most", longest_run), [id_col], runs, "run")
     keyed = found.withColumn("key", F.replace("run", F.lit(" "), F.lit("")))
-    hits = keyed.join(listed, "key")
+    # Stored once, because two checks follow; its size then decides how the texts are joined to it.
+    hits = cut(keyed.join(listed, "key").select(id_col, "run", "term", "body", "plain"), "term-hits")
     plain = hits.where("plain").where(F.expr("run rlike concat('(?iU)^', body, '$')")).select(id_col, "term")
 
     checked = hits.where("NOT plain").select(id_col, "term", "body").distinct().join(rows, id_col)
