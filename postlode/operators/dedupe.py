@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.core import text_or_empty, trim_ws
 from ..functions.urls import url_key
@@ -116,10 +116,9 @@ def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _finish_tail(rest: DataFrame) -> DataFrame:
     """Decide at most ``TAIL_ROWS`` nodes in one ordered pass.  Earlier rounds already removed their rivals."""
-    numbered = rest.withColumn("pos", F.xxhash64("ord", "u", "t", "s"))
-    verdicts = numbered.repartition(1).sortWithinPartitions("ord").select("pos", "u", "t", "s").mapInPandas(
-        _replay, "pos BIGINT, keep BOOLEAN"
-    )
+    numbered = rest.withColumn("pos", F.row_number().over(Window.orderBy("ord")).cast("bigint"))
+    ordered = numbered.select("pos", "u", "t", "s").repartition(1).sortWithinPartitions("pos")
+    verdicts = ordered.mapInPandas(_replay, "pos BIGINT, keep BOOLEAN")
     return numbered.join(verdicts, "pos").select("ord", "u", "t", "s", "rows", (~F.col("keep")).alias("drop"))
 
 

@@ -122,10 +122,11 @@ def term_matches(df: DataFrame, terms: DataFrame, text: Column, id_col: str = "p
     longest = F.array_max(F.transform(groups, lambda g: F.struct(F.length(g).alias("n"), g.alias("g"))))["g"]
     # Symbols are keyed apart from words; a term of hyphens alone has no symbol and is tried on every row.
     symbol = F.concat(F.lit("\x00"), F.regexp_extract("term", rf"(?U)[^\w{WS}-]", 0))
-    listed = terms.where(F.trim("term") != "").select(
+    # Stored, so that its size is known: a short list is broadcast and the runs of the texts are not moved.
+    listed = cut(terms.where(F.trim("term") != "").select(
         "term", F.when(longest == "", symbol).otherwise(longest).alias("key"), body.alias("body"), ((F.size(groups) == 1) & (longest != "")).alias("plain"),
         F.size(F.filter(F.split(F.trim("term"), r"(?U)\W+"), lambda w: w != "")).alias("words"),
-    ).distinct()
+    ).distinct(), "terms")
     # One number, computed by Spark: how many neighbouring words a run may need.
     longest_run = F.greatest(listed.agg(F.max("words")).scalar(), F.lit(1))
 

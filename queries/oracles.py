@@ -332,7 +332,7 @@ ROBOTS = f"""
    FROM (SELECT *, substr(url, length(origin) + 1) AS path FROM s) s JOIN o USING (origin))"""
 
 
-def crawl() -> str:
+def crawl(final: str = "SELECT site, CAST(depth AS BIGINT) AS depth, rank, url, role FROM visits") -> str:
     """Three unrolled levels over the link formula of the site pages; eight pages per site."""
     link = lambda pos, dst, cond: f"SELECT page_id, origin, {pos} AS pos, {dst} AS dst FROM s WHERE {cond}"
     base = f"""WITH s AS ({SITE_PAGES}),
@@ -366,8 +366,18 @@ def crawl() -> str:
     x{d} AS (SELECT l.*, CASE WHEN structured THEN 'postings' WHEN coalesce(n, 0) >= 3 OR ({d} = 0 AND coalesce(n, 0) > 0)
         THEN {"'listing'" if d < 2 else "'deep_listing'"} ELSE 'page' END AS role FROM l{d} l LEFT JOIN c{d} c ON c.site = l.site AND c.rank = l.rank WHERE got),
     f{d + 1} AS (SELECT n.site, n.dst AS url, n.rank AS pr, n.pos FROM n{d} n JOIN x{d} x ON x.site = n.site AND x.rank = n.rank WHERE x.role = 'listing')"""
-        outs.append(f"SELECT site, CAST(depth AS BIGINT) AS depth, rank, url, role FROM x{d}")
-    return base + "\n" + " UNION ALL ".join(outs)
+        outs.append(f"SELECT site, depth, rank, url, role FROM x{d}")
+    return f"{base}\n, visits AS ({' UNION ALL '.join(outs)}) {final}"
+
+
+def html_postings(source: str) -> str:
+    """Title, company and main text of pages that have enough of both."""
+    return f"""SELECT *, CASE WHEN contains(full_title, ' : ') THEN trim(split_part(full_title, ' : ', 1))
+        WHEN regexp_matches(full_title, '\\s+at\\s+') THEN trim(regexp_extract(full_title, '^(.*?)\\s+at\\s', 1)) ELSE full_title END AS title,
+      CASE WHEN contains(full_title, ' : ') THEN trim(substr(full_title, strpos(full_title, ' : ') + 3))
+        WHEN regexp_matches(full_title, '\\s+at\\s+') THEN trim(regexp_extract(full_title, '^.*?\\s+at\\s+(.*)$', 1)) ELSE '' END AS company
+      FROM (SELECT *, trim(CASE WHEN {H1} <> '' AND contains({TITLE_TAG}, {H1}) THEN {TITLE_TAG} WHEN {H1} <> '' THEN {H1} ELSE {TITLE_TAG} END) AS full_title,
+        {page_text('body', True)} AS description FROM (SELECT *, {ARTICLE} AS body FROM {source})) WHERE length(description) >= 100 AND full_title <> ''"""
 
 
 def where(condition: str) -> str:
@@ -472,12 +482,8 @@ def oracle_sql() -> dict[str, str]:
           CASE posting_id % 4 WHEN 0 THEN '3+ years' ELSE '5 years' END AS experience, {DESC} AS description FROM p WHERE posting_id % 2 = 0""",
         "html_text": f"SELECT page_id, {page_text('html')} AS text FROM pages",
         "page_links": f"WITH {LINKS} SELECT page_id, pos, link FROM ranked WHERE pos < 50",
-        "html_page_postings": f"""SELECT page_id, CASE WHEN contains(title, ' : ') THEN trim(split_part(title, ' : ', 1))
-            WHEN regexp_matches(title, '\\s+at\\s+') THEN trim(regexp_extract(title, '^(.*?)\\s+at\\s', 1)) ELSE title END AS title,
-            CASE WHEN contains(title, ' : ') THEN trim(substr(title, strpos(title, ' : ') + 3))
-            WHEN regexp_matches(title, '\\s+at\\s+') THEN trim(regexp_extract(title, '^.*?\\s+at\\s+(.*)$', 1)) ELSE '' END AS company, regexp_replace(url, '#.*$', '') AS url, {page_host} AS source, '' AS posted_date, description
-          FROM (SELECT page_id, url, trim(CASE WHEN {H1} <> '' AND contains({TITLE_TAG}, {H1}) THEN {TITLE_TAG} WHEN {H1} <> '' THEN {H1} ELSE {TITLE_TAG} END) AS title,
-            {page_text('body', True)} AS description FROM (SELECT *, {ARTICLE} AS body FROM pages)) WHERE length(description) >= 100 AND title <> ''""",
+        "html_page_postings": f"""SELECT page_id, title, company, regexp_replace(url, '#.*$', '') AS url, {page_host} AS source, '' AS posted_date, description
+          FROM ({html_postings('pages')})""",
         "page_titles": f"""SELECT page_id, 'Engineer ' || {pid} AS title,
           CASE page_id % 3 WHEN 0 THEN 'Acme' WHEN 1 THEN 'Beta Corp' ELSE '' END AS company FROM pages""",
         "board_links": f"""SELECT page_id, source, provider, board, board_url FROM (
@@ -488,6 +494,9 @@ def oracle_sql() -> dict[str, str]:
         "route_urls": "SELECT page_id, " + ", ".join(f"{v} AS {k}" for k, v in route_cols.items()) + " FROM pages",
         "robots_filter": f"WITH {ROBOTS} SELECT page_id, url FROM verdict WHERE ok",
         "crawl_reachable": crawl(),
+        "crawl_postings": crawl(f"""SELECT 'Job ' || CAST(s.page_id AS VARCHAR) AS title, '' AS company, v.url, v.site AS source, '' AS description
+            FROM visits v JOIN s ON s.url = v.url WHERE role = 'postings'
+          UNION ALL SELECT title, company, h.url, v.site, description FROM visits v JOIN ({html_postings('s')}) h ON h.url = v.url WHERE role = 'page'"""),
         "linkedin_postings": f"""SELECT 'SOC & Analyst ' || {pid} AS title, 'Acme Inc' AS company, 'United States' AS location, 'Remote' AS remote,
           'https://www.linkedin.com/jobs/view/40' || lpad({pid}, 8, '0') || '/' AS url, 'linkedin' AS source, '2026-10-06' AS posted_date,
           CASE WHEN page_id % 3 <> 0 THEN 'Full-time' ELSE '' END AS employment_type, CASE WHEN page_id % 3 <> 0 THEN 'Entry level' ELSE '' END AS tags FROM pages""",

@@ -468,10 +468,10 @@ def crawl_reachable(spark, sf):
 
 
 def crawl_found(spark, sf):
-    """Postings read on a robots-aware crawl of every site."""
+    """Postings read on a crawl of every site."""
     pages = site_pages(spark, sf)
-    visits = C.crawl(pages, site_seeds(spark, sf), robots_table(spark, sf), max_pages=6)
-    return C.crawl_postings(pages, visits).select("title", "url", "source", F.length("description").cast("bigint").alias("chars"))
+    visits = C.crawl(pages, site_seeds(spark, sf), max_pages=8)
+    return C.crawl_postings(pages, visits).select("title", "company", "url", "source", "description")
 
 
 def linkedin(spark, sf):
