@@ -139,7 +139,11 @@ def crawl(pages: DataFrame, seeds: DataFrame, robots: DataFrame | None = None, a
             queue = robots_verdicts(queue, robots, agent)
         else:
             queue = queue.withColumn("allowed", F.lit(True))
-        found = queue.join(outline, "url", "left")
+        # A round's queue is small beside the outline.  Stored, its size is known, so Spark can send it to the
+        # outline instead of moving the outline; only the pages asked for come back.
+        queue = cut(queue, "crawl-queue")
+        asked = outline.join(queue.select("url").distinct(), "url", "left_semi")
+        found = queue.join(asked, "url", "left")
         read = F.col("allowed") & F.col("is_html").isNotNull()
         found = found.withColumns({
             "rank": F.row_number().over(in_order),
@@ -200,16 +204,17 @@ def board_payloads(visits: DataFrame, raw: DataFrame) -> DataFrame:
     """Landed payloads of the boards a crawl ran into, detail documents included."""
     wanted = crawl_boards(visits).select("provider", "board").distinct()
     details = wanted.where("provider = 'workday'").select(F.lit("workday_detail").alias("provider"), "board")
-    return raw.join(wanted.unionByName(details), ["provider", "board"], "left_semi")
+    # Stored for its size: a short board list is sent to the payloads, which then stay where they are.
+    return raw.join(cut(wanted.unionByName(details), "boards"), ["provider", "board"], "left_semi")
 
 
 def crawl_postings(pages: DataFrame, visits: DataFrame) -> DataFrame:
     """Postings on the crawled pages: structured data where present, else the page itself."""
     order = F.col("depth") * 1_000_000_000 + F.col("rank")
     wanted = visits.where("role IN ('postings', 'page')").select("site", "url", "role", order.alias("page_no"))
-    first = distinct_first(pages.select("url", "page_id"), ["url"], "page_id")
-    chosen = wanted.join(first, "url")
-    # The markup moves once, to the narrow list of chosen pages.
+    landed = pages.select("url", "page_id").join(wanted.select("url").distinct(), "url", "left_semi")
+    # Stored for its size: the list of chosen pages goes to the markup if it is short enough.
+    chosen = cut(wanted.join(distinct_first(landed, ["url"], "page_id"), "url"), "chosen-pages")
     rows = pages.drop("url").join(chosen, "page_id")
     structured = normalize_jsonld(rows.where("role = 'postings'").drop("role"))
     plain = normalize_html_page(rows.where("role = 'page'").drop("role"))

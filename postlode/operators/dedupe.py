@@ -142,21 +142,16 @@ def dedupe_postings(df: DataFrame, order_by: str = "seq", tail_rows: int = TAIL_
                     hot_rows: int = HOT_ROWS) -> DataFrame:
     """``df`` without duplicate postings.  ``order_by`` must differ between rows; it decides who comes first.
 
-    Full rows are shuffled once at the end: those with a URL by their own unique order value, against the narrow
-    list of kept representatives; those without one by title and source, whose verdict they follow.
+    Everything is decided on keys.  Full rows are read once, at the end, and joined by their own unique order value
+    to the stored list of kept ones.
     """
-    nodes = cut(key_nodes(posting_keys(df, order_by)), "dedupe-nodes")
+    keys = posting_keys(df, order_by)
+    nodes = cut(key_nodes(keys), "dedupe-nodes")
     total, no_url_rows = nodes.agg(F.count("*"), F.sum(F.when(F.col("u").isNull(), F.col("rows")))).first()
     dropped = dropped_nodes(nodes, total, tail_rows, hot_rows)
-    kept_urls = nodes.where("u IS NOT NULL").select("ord").join(dropped.select("ord"), "ord", "left_anti")
-    lost = dropped.where("u IS NULL").select(
-        F.col("t").alias("_t"), F.col("s").alias("_s"), F.lit(True).alias("_lost"), F.col("rows").alias("n")
-    )
-
-    u = url_key(F.col("url"))
-    with_url = df.where(u.isNotNull()).join(kept_urls, F.col(order_by) == F.col("ord"), "left_semi")
-    no_url = df.where(u.isNull()).withColumns(
-        {"_t": title_key(F.col("title"), F.col("company")), "_s": text_or_empty(F.col("source"))}
-    )
-    judged = lookup(no_url, lost, ["_t", "_s"], F.col(order_by), no_url_rows or 0, hot_rows)
-    return with_url.unionByName(judged.where("_lost IS NULL").select(*df.columns))
+    kept = nodes.where("u IS NOT NULL").select("ord").join(dropped.select("ord"), "ord", "left_anti")
+    # Rows without a URL follow the verdict on their title and source.
+    lost = dropped.where("u IS NULL").select("t", "s", F.lit(True).alias("lost"), F.col("rows").alias("n"))
+    judged = lookup(keys.where("u IS NULL"), lost, ["t", "s"], F.col("ord"), no_url_rows or 0, hot_rows)
+    kept = cut(kept.unionByName(judged.where("lost IS NULL").select("ord")), "dedupe-kept")
+    return df.join(kept, F.col(order_by) == F.col("ord"), "left_semi")

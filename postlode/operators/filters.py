@@ -89,16 +89,17 @@ def html_only(pages: DataFrame) -> DataFrame:
     return pages.where(F.coalesce(F.col("content_type").contains("html"), F.lit(True)))
 
 
-def domain_table_filter(df: DataFrame, domains: DataFrame, deny: bool = False, id_col: str = "posting_id") -> DataFrame:
+def domain_table_filter(df: DataFrame, domains: DataFrame, deny: bool = False) -> DataFrame:
     """Keep (or drop) rows whose host is in, or under, a domain of the ``domains`` table.
 
-    The host's parent domains are exploded next to the row id, so the suffix test becomes an equality join that
-    Spark can hash on either side; only ids and names travel, and a popular host is first reduced to one row.
+    Hosts are reduced to one row each, however popular, and their parent domains exploded beside them, so the
+    suffix test becomes an equality join of two narrow tables.
     """
     hosts = df.select(U.host(F.col("url")).alias("host")).distinct()
     names = hosts.select("host", F.explode(U.host_suffixes(F.concat(F.lit("//"), F.col("host")))).alias("domain"))
     listed = domains.select(U.domain_column(F.col("domain")).alias("domain")).where("domain <> ''")
     hit = names.join(listed, "domain", "left_semi").select(F.col("host").alias("_host")).distinct()
+    hit = cut(hit, "domain-hosts")  # its size decides whether the rows have to move
     return df.join(hit, U.host(F.col("url")) == F.col("_host"), "left_anti" if deny else "left_semi")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import urls as U
 from ..functions.core import BREAKS, let, text_or_empty, trim_ws
+from ..session import cut
 from .skew import lookup
 
 _RULES = "array<struct<path:string,allow:boolean>>"
@@ -118,4 +119,5 @@ def robots_verdicts(urls: DataFrame, robots: DataFrame, agent: str) -> DataFrame
 def robots_filter(pages: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
     """Pages whose robots file permits ``agent`` to read them."""
     denied = robots_verdicts(pages.select("url").distinct(), robots, agent).where("NOT allowed").select("url")
+    denied = cut(denied, "denied-urls")
     return pages.join(denied, "url", "left_anti")
