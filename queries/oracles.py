@@ -501,6 +501,6 @@ def oracle_sql() -> dict[str, str]:
           'https://www.linkedin.com/jobs/view/40' || lpad({pid}, 8, '0') || '/' AS url, 'linkedin' AS source, '2026-10-06' AS posted_date,
           CASE WHEN page_id % 3 <> 0 THEN 'Full-time' ELSE '' END AS employment_type, CASE WHEN page_id % 3 <> 0 THEN 'Entry level' ELSE '' END AS tags FROM pages""",
         "sheet_rows": f"""{WITH} SELECT {sheet_title} AS title, company, array_to_string(tags, '; ') AS tags, 'a | b' AS requirements, url,
-          substr(CASE WHEN regexp_matches({sheet_text}, '^ *[=+\\-@\\t\\r]') THEN '''' || {sheet_text} ELSE {sheet_text} END, 1, 2000) AS description FROM p""",
+          substr(CASE WHEN regexp_matches({sheet_text}, '^ *[=+\\-@\\t\\r]') THEN '''' || {sheet_text} ELSE {sheet_text} END, 1, 32767) AS description FROM p""",
     }
     return out

@@ -504,7 +504,7 @@ def sheet_rows(spark, sf):
         "title": F.when(F.col("seq") % 4 == 0, F.concat(F.lit("  =1+"), "title")).when(F.col("seq") % 4 == 1, F.concat(F.lit("-\x01"), "title")).otherwise(F.col("title")),
         "requirements": F.array(F.lit("a"), F.lit("b")),
     })
-    return cap_cells(to_sheet_rows(rows, include_description=True), 2000).select("title", "company", "tags", "requirements", "url", "description")
+    return cap_cells(to_sheet_rows(rows, include_description=True)).select("title", "company", "tags", "requirements", "url", "description")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
