@@ -15,7 +15,7 @@ WITH = f"WITH p AS ({POSTINGS})"
 TODAY = f"DATE '{AS_OF}'"
 SEARCH_TEXT = "(title || chr(10) || array_to_string(tags, ' ') || chr(10) || description)"
 
-# ---------------------------------------------------------------- vocabulary, written for this pattern dialect
+# ---------------------------------------------------------------- fixed values, written for this pattern dialect
 CYBER = ["cybersecurity", "cyber security", "cyber", "information security", "infosec", "security engineer",
          "security analyst", "security architect", "SOC", "SOC analyst", "security operations", "penetration tester",
          "penetration testing", "pentest", "application security", "appsec", "network security", "cloud security",

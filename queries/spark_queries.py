@@ -18,11 +18,10 @@ from postlode.operators.dedupe import dedupe_postings
 from postlode.operators.distinct import distinct_first
 from postlode.operators.enrich import enrich
 from postlode.plans.search import SearchSpec, first_matches, postings_filter, search_postings
-from postlode.schema import PAGES_DDL, UNKNOWN
 from postlode.session import shared_dir, spread
 from postlode.sinks.write import cap_cells, to_sheet_rows
 from postlode.sources import boards as B, raw as L, registry as G, web as W
-from postlode.sources.postings import FIELDS, as_postings, sequence_of, union_sources
+from postlode.sources.postings import as_postings, sequence_of, union_sources
 from postlode.streaming.ingest import stream_postings
 
 from .views import AS_OF, POSTINGS, SITE_PAGES

@@ -1,6 +1,5 @@
 from urllib.parse import urldefrag, urljoin
 
-from pyspark.sql import functions as F
 
 from postlode.functions.urls import bare_host, host, host_suffixes, on_domain, resolve, route, url_key
 
