@@ -106,8 +106,9 @@ def robots_verdicts(urls: DataFrame, robots: DataFrame, agent: str) -> DataFrame
     A NULL status in ``robots`` stands for a failed read, an origin without a row for one never tried.
     """
     rows = urls.withColumn("_origin", U.origin(F.col("url")))
-    parsed = robots.dropDuplicates(["origin"]).select(
-        F.col("origin").alias("_origin"), F.col("status").alias("_status"), rules_for(F.col("body"), agent).alias("_rules")
+    once = robots.groupBy("origin").agg(F.min(F.struct("status", "body")).alias("r"))
+    parsed = once.select(
+        F.col("origin").alias("_origin"), F.col("r.status").alias("_status"), rules_for(F.col("r.body"), agent).alias("_rules")
     )
     facts = rows.groupBy("_origin").agg(F.count("*").alias("n")).join(parsed, "_origin")
     judged = lookup(rows, facts, ["_origin"], F.col("url"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from .. import rules
 from ..schema import ARRAY_COLUMNS
@@ -54,11 +54,23 @@ def _csv_options(fmt: str) -> dict:
     }
 
 
-def read_postings(spark, path: str, fmt: str | None = None) -> DataFrame:
-    """Read back what ``write_postings`` wrote."""
+def stored_columns(spark: SparkSession, path: str, fmt: str) -> list[str]:
+    """Columns of an earlier output, read from its first record; empty when there is none."""
+    try:
+        if fmt != "json":
+            return spark.read.options(**_csv_options(fmt)).csv(path).columns
+        first = spark.read.text(path).limit(1).select(F.json_object_keys("value").alias("keys")).first()
+        return first.keys if first else []
+    except AnalysisException:
+        return []
+
+
+def read_postings(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
+    """Read back what ``write_postings`` wrote, without a pass over it to infer the schema."""
     fmt = infer_format(path, fmt)
     if fmt == "json":
-        return spark.read.json(path)
+        names = stored_columns(spark, path, fmt)
+        return spark.read.schema(", ".join(f"{c} {'ARRAY<STRING>' if c in ARRAY_COLUMNS else 'STRING'}" for c in names)).json(path)
     return spark.read.options(**_csv_options(fmt), multiLine=True, nullValue="\x00").csv(path)
 
 
@@ -72,11 +84,8 @@ def write_postings(df: DataFrame, path: str, fmt: str | None = None, include_des
     fmt = infer_format(path, fmt)
     rows = project_postings(df, include_description) if fmt == "json" else to_sheet_rows(df, include_description)
     if append:
-        try:
-            stored = read_postings(df.sparkSession, path, fmt).columns
-        except AnalysisException:
-            stored = []
-        if stored and (sorted(stored) if fmt == "json" else stored) != (sorted(rows.columns) if fmt == "json" else rows.columns):
+        stored = stored_columns(df.sparkSession, path, fmt)
+        if stored and stored != rows.columns:
             raise ValueError("Cannot append: the stored columns do not match")
     seen = Observation("written")
     writer = rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append" if append else "overwrite")

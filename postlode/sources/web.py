@@ -8,6 +8,7 @@ from .. import rules
 from ..functions import html as H, jsonld as J, urls as U
 from ..functions.core import first_filled, keep_rows, let, split_lines, text_or_empty, trim_ws, unnest
 from ..functions.detect import detect_education, detect_experience
+from ..operators.distinct import distinct_first
 from ..schema import REMOTE, UNKNOWN
 from .postings import as_postings, sequence_of
 
@@ -252,9 +253,10 @@ def linkedin_cards(pages: DataFrame) -> DataFrame:
 
 
 def linkedin_details(pages: DataFrame) -> DataFrame:
-    """Description, employment type and further tags per ``job_id``."""
+    """Description, employment type and further tags per ``job_id``; of several copies the first page counts."""
     job_id = F.regexp_extract("url", r"/jobPosting/(\d+)", 1)
-    shown = pages.select(job_id.alias("job_id"), H.strip_hidden(F.col("html")).alias("_shown")).where("job_id <> ''")
+    landed = pages.select(job_id.alias("job_id"), "page_id", "html").where("job_id <> ''")
+    shown = distinct_first(landed, ["job_id"], "page_id").select("job_id", H.strip_hidden(F.col("html")).alias("_shown"))
     page = F.col("_shown")
     markup = first_filled(
         H.opening_tag(page, H.has_class("show-more-less-html__markup")),
@@ -281,8 +283,6 @@ def linkedin_details(pages: DataFrame) -> DataFrame:
         "job_id", "detail_text",
         F.coalesce(F.get(types, F.size(types) - 1), F.lit("")).alias("detail_type"),
         F.transform(F.filter("_items", lambda i: ~is_type(i)), lambda i: i["value"]).alias("detail_tags"),
-    ).groupBy("job_id").agg(
-        *[F.any_value(c).alias(c) for c in ("detail_text", "detail_type", "detail_tags")]
     )
 
 
