@@ -34,7 +34,7 @@ def _term_hits(text: Column, terms: list[str]) -> Column:
     def hit(v: Column, term: str) -> Column:
         word = max(re.split(r"[\s-]+", term.strip()), key=len)
         found = v["text"].rlike(rules.term_pattern(term))
-        return holds_any(v["folded"], [word.upper().lower()]) & found if word else found
+        return holds_any(v["folded"], [word.replace("\u0130", "i").upper().lower()]) & found if word else found
 
     return let(
         let(text, lambda t: F.struct(t.alias("text"), fold_case(t).alias("folded"))),
