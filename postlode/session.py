@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,28 +10,11 @@ _CONF = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
-
-    A machine-local folder is picked only for a local master with nothing configured, as in the tests.
-    """
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or else a folder inside the warehouse."""
     path = spark.conf.get(_CONF, None)
     if path:
         return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {_CONF} to a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="postlode-")
-    spark.conf.set(_CONF, path)
-    return path
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input that Spark would read in only a few tasks, such as one small file.
-
-    Mining text costs far more than moving a small input once.  An input with at least as many splits as there
-    are cores, which is every large one, is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stored"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -41,7 +23,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     The stored table survives lost executors, and its size on disk lets Spark choose broadcast or shuffle joins
     from facts rather than from estimates made through a long lineage.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return stored(df, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(spark: SparkSession, path: str) -> None:
+    """Remove a stored table whose consumers are done."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
