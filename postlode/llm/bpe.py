@@ -26,8 +26,8 @@ from .common import whole_text
 
 DICTIONARY = 200_000
 WORD_BYTES = 48
-PAIR_BUCKETS = 1 << 16
-WORD_BUCKETS = 1 << 14
+PAIR_BUCKETS = 1 << 18
+WORD_BUCKETS = 1 << 18
 NONE = (1 << 31) - 1  # ranks of pairs that don't merge
 WIDTH = 1 << 17       # a pair of ids is kept as left * WIDTH + right
 
@@ -141,7 +141,8 @@ class Tokenizer:
 
     def words(self, docs: DataFrame) -> DataFrame:
         """Every distinct piece of the corpus that is short enough for a dictionary, with its count."""
-        piece = docs.select(F.explode(self.pieces(whole_text())).alias("word"))
+        # The outer form, as the inner one makes the optimizer split the text twice, once for a filter by the array's size.
+        piece = docs.select(F.explode_outer(self.pieces(whole_text())).alias("word"))
         return piece.where(F.octet_length("word") <= WORD_BYTES).groupBy("word").agg(F.count("*").alias("n"))
 
     def dictionary(self, docs: DataFrame, size: int = DICTIONARY) -> Column:

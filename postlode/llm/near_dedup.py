@@ -7,9 +7,9 @@ a key of the second collection: HALVES * HALVES tables from 2 * HALVES * ROWS mi
 (2 * (1 - 0.75**3)**18).
 
 Equal sets are one class from the start and are never compared.  Keys of one collection that a class shares with no
-other are dropped before any table is formed.  In a table's bucket, a few pivots are compared with all members of other
-components; the components that the confirmed links make are then taken into account, the pivots leave the bucket, and
-buckets with a single component are done.  This is repeated until no bucket is left, so every pair that meets in a
+other are dropped before any table is formed.  In a table's bucket, two pivots are compared with all other members;
+the components that the confirmed links make are then taken into account, the pivots leave the bucket, and buckets with a
+single component are done.  In the others, members outside the largest component become pivots, some in each round.  This is repeated until no bucket is left, so every pair that meets in a
 bucket is either compared or already connected, and a group of near copies costs a few comparisons for each member.
 
 Links are confirmed on the full sets, taken from whole texts.
@@ -36,6 +36,7 @@ SHINGLE = 5
 PERCENT = 75
 HALVES = 18
 ROWS = 3
+PIVOTS = 32  # of a bucket in one round
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[list(b" \t\n\r\x0b\x0c")] = True
@@ -161,11 +162,30 @@ def components(links: DataFrame) -> DataFrame:
     labels = cut(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("x")).alias("label")), "near-labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("y"), "label"), "y").groupBy(F.col("x").alias("node")).agg(F.min("label").alias("near"))
-        step = cut(labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was")), "near-labels")
-        jump = step.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
-        labels = cut(step.join(jump, "label", "left").select("node", F.least("label", F.coalesce("beyond", "label")).alias("label"), "was"), "near-labels")
+        step = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
+        labels = cut(step.join(jump, "label").select("node", F.least("label", "beyond").alias("label"), "was"), "near-labels")
         if labels.where("label != was").isEmpty():
             return labels.select("node", "label")
+        labels = labels.select("node", "label")
+
+
+def first_pivots(active: DataFrame) -> DataFrame:
+    """Two members of each bucket, found by partial minima: the first of two orders."""
+    own, other = (F.struct(h.alias("h"), F.col("node").alias("node"), F.col("n").alias("n"), F.col("label").alias("label")) for h in (F.col("node"), F.xxhash64("node")))
+    return active.groupBy("bucket").agg(F.array_distinct(F.array(F.min(own), F.min(other))).alias("p"))
+
+
+def later_pivots(active: DataFrame) -> DataFrame:
+    """Up to ``PIVOTS`` members of each bucket outside its largest component.
+
+    When all of these have been pivots, what is left in the bucket is one component.
+    """
+    sizes = active.groupBy("bucket", "label").agg(F.count("*").alias("c"))
+    top = cut(sizes.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("t")).select("bucket", F.col("t.label").alias("top")), "near-top")
+    minor = active.join(top, "bucket").where("label != top")
+    ranked = minor.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("node"))).where(F.col("r") <= PIVOTS)
+    return ranked.groupBy("bucket").agg(F.collect_list(F.struct("node", "n", "label")).alias("p"))
 
 
 def near_duplicates(docs: DataFrame, banding: Banding | None = None, percent: int = PERCENT) -> DataFrame:
@@ -192,11 +212,8 @@ def near_duplicates(docs: DataFrame, banding: Banding | None = None, percent: in
 
     links = labels = None
     while not active.isEmpty():
-        # Four pivots of each bucket, all found by partial minima: the ends of two orders.
-        other = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("node"), F.col("n").alias("n"), F.col("label").alias("label"))
-        own = F.struct(F.col("node").alias("h"), F.col("node").alias("node"), F.col("n").alias("n"), F.col("label").alias("label"))
-        pivots = active.groupBy("bucket").agg(F.array_distinct(F.array(F.min(own), F.min(other), F.max(other), F.max(own))).alias("p"))
-        dealt = active.join(cut(pivots, "near-pivots"), "bucket")
+        pivots = cut(first_pivots(active) if links is None else later_pivots(active), "near-pivots")
+        dealt = active.join(pivots, "bucket")
         pairs = dealt.select("node", "n", "label", F.explode_outer("p").alias("q")).where(
             (F.col("label") != F.col("q.label")) & (100 * F.least("n", "q.n") >= percent * F.greatest("n", "q.n")))
         pairs = pairs.select(F.least("node", "q.node").alias("x"), F.greatest("node", "q.node").alias("y")).distinct()
