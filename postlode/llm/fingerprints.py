@@ -18,24 +18,29 @@ K = 128
 SHINGLE = 5
 
 
-def with_sketch(df: DataFrame, text: str, out: str, k: int = K, size: int = SHINGLE) -> DataFrame:
-    """Add the sketch of column ``text`` as ``out``.  The helper columns are dropped again.
+def with_sketch(df: DataFrame, text: str, out: str, k: int = K, size: int = SHINGLE, known: str | None = None, same: str | None = None) -> DataFrame:
+    """Add the sketch of column ``text`` as ``out``, and the hashes of its shingles as ``out``_hashes.
 
-    Each step is a column of its own: an expression that a lambda mentions would be computed anew for each element.
+    Where the first words of a text are those of another, ``known`` names that one's hashes and ``same`` the number of
+    words, so that the hashes they share are not computed again.  Each step is a column of its own: an expression that a
+    lambda mentions would be computed anew for each element.
     """
-    words, n, hashes = f"_{out}_words", f"_{out}_n", f"_{out}_hashes"
+    words, n, hashes, start = f"_{out}_words", f"_{out}_n", f"{out}_hashes", f"_{out}_start"
     word = F.col(words)
     df = df.withColumn(words, F.array_remove(F.split(F.lower(F.col(text)), r"\s+"), ""))
     df = df.withColumn(n, F.size(words))
-    rolled = F.transform(F.sequence(F.lit(0), F.col(n) - size), lambda i: F.xxhash64(*[F.get(word, i + j) for j in range(size)]))
+    df = df.withColumn(start, F.least(F.greatest(F.col(same) - size + 1, F.lit(0)), F.greatest(F.col(n) - size, F.lit(0))) if same else F.lit(0))
+    rolled = F.transform(F.sequence(F.col(start), F.col(n) - size), lambda i: F.xxhash64(*[F.get(word, i + j) for j in range(size)]))
+    if known:
+        rolled = F.concat(F.slice(F.col(known), F.lit(1), F.col(start)), rolled)
     short = F.when(F.col(n) == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(word)))
     df = df.withColumn(hashes, F.when(F.col(n) >= size, rolled).otherwise(short))
-    return df.withColumn(out, F.slice(F.sort_array(F.array_distinct(hashes)), 1, k)).drop(words, n, hashes)
+    return df.withColumn(out, F.slice(F.sort_array(F.array_distinct(hashes)), 1, k)).drop(words, n, start)
 
 
 def as_text(sketch: Column) -> Column:
-    """Sixteen hex digits per hash."""
-    return F.array_join(F.transform(sketch, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
+    """The hashes in decimal, joined by commas."""
+    return F.array_join(sketch.cast("array<string>"), ",")
 
 
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
@@ -76,7 +81,7 @@ def merge_sketches(parts: DataFrame, by: list[str], sketch: str, k: int = K) ->
 
 def fingerprint(docs: DataFrame, k: int = K, size: int = SHINGLE) -> DataFrame:
     """doc_id, text and the ``sketch`` of each row of ``docs``."""
-    return with_sketch(docs.select("doc_id", whole_text().alias("text")), "text", "sketch", k, size)
+    return with_sketch(docs.select("doc_id", whole_text().alias("text")), "text", "sketch", k, size).drop("sketch_hashes")
 
 
 def edited_fingerprints(docs: DataFrame, k: int = K, size: int = SHINGLE) -> DataFrame:
@@ -104,7 +109,10 @@ def edited_fingerprints(docs: DataFrame, k: int = K, size: int = SHINGLE) -> Dat
     out = rows.join(nexts, ["k1", "k2"]).withColumn("n_chars", F.char_length("text").cast("long"))
     keep = (F.col("n_chars") - F.expr("n_chars div 2")).cast("int")
     out = out.withColumn("edited", F.concat(F.col("text").substr(F.lit(1), keep), "head"))
-    out = with_sketch(with_sketch(out, "text", "sketch", k, size), "edited", "edited_sketch", k, size)
+    # The words of the kept half but its last, which may be cut, are those of the whole text.
+    out = out.withColumn("same", F.greatest(F.size(F.array_remove(F.split(F.lower(F.col("text").substr(F.lit(1), keep)), r"\s+"), "")) - 1, F.lit(0)))
+    out = with_sketch(out, "text", "sketch", k, size)
+    out = with_sketch(out, "edited", "edited_sketch", k, size, known="sketch_hashes", same="same")
     return out.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
         as_text(F.col("sketch")).alias("fingerprint"), as_text(F.col("edited_sketch")).alias("edited_fingerprint"),

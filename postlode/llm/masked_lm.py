@@ -33,8 +33,8 @@ WORDS = SIZE - HASHED
 SIDE = 2
 DIM = 24
 ROUNDS = 2
-MASK_ONE_IN = 7
-BATCH = 1024
+MASK_ONE_IN = 16
+BATCH = 2048
 CHUNK = 4096
 
 
@@ -109,8 +109,8 @@ class Network:
 
     def gradient(self, around: np.ndarray, word: np.ndarray) -> dict[str, np.ndarray]:
         """Gradient of the mean negative log probability; that of ``embed`` has a row per entry of ``around``."""
-        h, n = self.hidden(around), len(word)
-        kind, place, rows = word // CLASSES, word % CLASSES, np.arange(n)
+        h, n = self.hidden(around), np.float32(len(word))
+        kind, place, rows = word // CLASSES, word % CLASSES, np.arange(len(word))
         g = {k: np.zeros_like(v) for k, v in self.w.items() if k != "embed"}
         d = self._soft(h @ self.w["class_w"] + self.w["class_b"])
         d[rows, kind] -= 1
@@ -138,9 +138,9 @@ class Trainer:
     def step(self, around: np.ndarray, word: np.ndarray) -> None:
         for k, g in self.net.gradient(around, word).items():
             if k == "embed":
-                rows, where = np.unique(around.ravel(), return_inverse=True)
-                total = np.zeros((len(rows), DIM), dtype=np.float32)
-                np.add.at(total, where, g.reshape(-1, DIM))
+                order = np.argsort(around, axis=None, kind="stable")
+                rows, starts = np.unique(around.ravel()[order], return_index=True)
+                total = np.add.reduceat(g.reshape(-1, DIM)[order], starts, axis=0)
                 self.sums[k][rows] += total**2
                 self.net.w[k][rows] -= self.rate * total / np.sqrt(self.sums[k][rows])
             else:
@@ -200,16 +200,31 @@ def fit_masked_lm(docs: DataFrame, rounds: int = ROUNDS) -> tuple[dict[bytes, in
 
 
 def document_scores(texts: list[str], known: dict[bytes, int], net: Network, at_once: int = 16_384) -> list[tuple[int, float]]:
-    """(number of words, summed log probability) of each text, every word predicted from both sides."""
-    out = []
-    for text in texts:
+    """(number of words, summed log probability) of each text, every word predicted from both sides.
+
+    Texts are scored together, with edges between them, and long ones in pieces.
+    """
+    sizes, sums, held, waiting = [], np.zeros(len(texts)), [], 0
+
+    def flush() -> None:
+        around, word, owner = (np.concatenate(x) for x in zip(*held))
+        for k in range(0, len(word), at_once):
+            part = slice(k, k + at_once)
+            np.add.at(sums, owner[part], net.log_prob(around[part], word[part]))
+
+    for i, text in enumerate(texts):
         ids = ids_of(words_of(text), known)
-        total = 0.0
+        sizes.append(len(ids))
         for k in range(0, len(ids), at_once):
             at = np.arange(k, min(k + at_once, len(ids)))
-            total += float(net.log_prob(contexts(ids, at), ids[at]).sum(dtype=float))
-        out.append((len(ids), total))
-    return out
+            held.append((contexts(ids, at), ids[at], np.full(len(at), i)))
+            waiting += len(at)
+            if waiting >= at_once:
+                flush()
+                held, waiting = [], 0
+    if held:
+        flush()
+    return list(zip(sizes, sums.tolist()))
 
 
 def score_documents(docs: DataFrame, model: tuple[dict[bytes, int], np.ndarray]) -> DataFrame:

@@ -96,7 +96,7 @@ def page_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
                      F.concat(F.lit("GET "), F.coalesce(F.nullif(F.regexp_replace("uri", r"^[a-zA-Z]+://[^/]*", ""), F.lit("")), F.lit("/")), F.lit(" HTTP/1.1\r\n\r\n")))
     metadata = record("metadata", {"WARC-Record-ID": rid("metadata"), **shared, "WARC-Concurrent-To": own, "Content-Type": F.lit("application/warc-fields")},
                       F.concat(F.when(F.col("page_id").isNull(), F.lit("")).otherwise(F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit("\r\n"))), F.lit("copies: "), F.col("copies").cast("string"), F.lit("\r\n")))
-    return full.select(F.explode(F.array(F.when(F.col("of").isNull(), response).otherwise(revisit), request, metadata)).alias("value"))
+    return full.select(F.explode_outer(F.array(F.when(F.col("of").isNull(), response).otherwise(revisit), request, metadata)).alias("value"))
 
 
 def write_warc(records: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
