@@ -117,15 +117,22 @@ def _tree(g: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _grid(g: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray]:
-    """Values of a tree with one cut on each side of a pair's table, and what it gains over no cut."""
-    (_, i), (_, j) = _cut(g.sum(1), h.sum(1)), _cut(g.sum(0), h.sum(0))
-    out, gain = np.zeros_like(g), -g.sum() ** 2 / (h.sum() + 1)
-    for rows in (slice(None, i), slice(i, None)):
-        for cols in (slice(None, j), slice(j, None)):
-            gs, hs = g[rows, cols].sum(), h[rows, cols].sum()
-            out[rows, cols] = _leaf(gs, hs)
-            gain += gs**2 / (hs + 1)
-    return float(gain), out
+    """Values of the best tree with one cut on each side of a pair's table, and what it gains over no cut."""
+    if min(g.shape) < 2:
+        return 0.0, np.full_like(g, _leaf(g.sum(), h.sum()))
+
+    def quarters(x: np.ndarray) -> list[np.ndarray]:
+        c = x.cumsum(0).cumsum(1)
+        corner, rows, cols = c[:-1, :-1], c[:-1, -1:], c[-1:, :-1]
+        return [corner, rows - corner, cols - corner, c[-1, -1] - rows - cols + corner]
+
+    gain = sum(u**2 / (v + 1) for u, v in zip(quarters(g), quarters(h)))
+    i, j = np.unravel_index(int(np.argmax(gain)), gain.shape)
+    out = np.zeros_like(g)
+    for rows in (slice(None, i + 1), slice(i + 1, None)):
+        for cols in (slice(None, j + 1), slice(j + 1, None)):
+            out[rows, cols] = _leaf(g[rows, cols].sum(), h[rows, cols].sum())
+    return float(gain[i, j] - g.sum() ** 2 / (h.sum() + 1)), out
 
 
 def fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, step: float = 0.15, n_bins: int = 32, n_pairs: int = 6) -> Additive:
