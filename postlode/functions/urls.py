@@ -154,7 +154,7 @@ def route(url: Column) -> Column:
         parts = F.filter(F.split(path(full), "/"), lambda s: s != "")
         first = F.coalesce(F.get(parts, F.lit(0)), F.lit(""))
         asked = F.regexp_extract(full, r"^[^#]*?[?&]for=([^&#]+)", 1)
-        asked = F.url_decode(asked)
+        asked = F.coalesce(F.try_url_decode(asked), asked)
         board = first_filled(asked, F.when(first != "embed", first).otherwise(""))
         located = F.when(first.rlike(r"^[a-z]{2}(?:-[A-Z]{2})?$"), F.get(parts, F.lit(1))).otherwise(F.get(parts, F.lit(0)))
         site = F.when(~F.coalesce(located, F.lit("")).isin("", "job", "details"), located)

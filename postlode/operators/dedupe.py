@@ -12,22 +12,15 @@ task, and rows are first reduced to one node per (URL, title, source), which is
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.core import text_or_empty, trim_ws
 from ..functions.urls import url_key
 from ..session import cut
 from .skew import HOT_ROWS, lookup
 
-# Chains of alternating URL and title rivals need one round per two links.  Once this few rows are undecided,
-# one task replays the rule for them directly.
-TAIL_ROWS = 100_000
-TAIL_AFTER = 3
-
 
 def title_key(title: Column, company: Column) -> Column:
     """Key of title and company; NULL without a company."""
@@ -35,12 +28,15 @@ def title_key(title: Column, company: Column) -> Column:
     return F.when(who != "", F.concat(F.lower(trim_ws(text_or_empty(title))), F.lit("|"), who))
 
 
-def posting_keys(df: DataFrame, order_by: str) -> DataFrame:
-    """``(ord, u, t, s)``: order, URL key, title key, source."""
-    return df.select(
-        F.col(order_by).alias("ord"), url_key(F.col("url")).alias("u"),
-        title_key(F.col("title"), F.col("company")).alias("t"), text_or_empty(F.col("source")).alias("s"),
-    )
+def posting_keys(df: DataFrame, order_by: str, row_id: str | None = None) -> DataFrame:
+    """``(ord, u, t, s)``: order, URL key, title key, source.
+
+    Rows of equal ``order_by`` are told apart by a hash of their keys, and copies by ``row_id``.
+    """
+    u, s = url_key(F.col("url")), text_or_empty(F.col("source"))
+    t = title_key(F.col("title"), F.col("company"))
+    ties = [F.xxhash64("url", "title", "company", "source").alias("h")] + ([F.col(row_id).alias("id")] if row_id else [])
+    return df.select(F.struct(F.col(order_by).alias("at"), *ties).alias("ord"), u.alias("u"), t.alias("t"), s.alias("s"))
 
 
 def key_nodes(keys: DataFrame) -> DataFrame:
@@ -71,11 +67,11 @@ def _leads(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return by_url, by_title
 
 
-def _lead_nodes(nodes: DataFrame, total: int, hot_rows: int) -> DataFrame:
+def _lead_nodes(nodes: DataFrame, hot_rows: int) -> DataFrame:
     """Undecided nodes with ``keep`` set on those that no undecided rival precedes."""
     by_url, by_title = _leads(nodes)
-    seen = lookup(nodes, by_url, ["u"], F.col("ord"), total, hot_rows)
-    seen = lookup(seen, by_title, ["t"], F.col("ord"), total, hot_rows)
+    seen = lookup(nodes, by_url, ["u"], F.col("ord"), hot_rows)
+    seen = lookup(seen, by_title, ["t"], F.col("ord"), hot_rows)
     first_url = F.col("u").isNull() | (F.col("ord") == F.col("u_first"))
     leads_title = F.col("t").isNull() | (
         (F.col("s") == F.col("lead_s")) & (F.col("rival").isNull() | (F.col("ord") < F.col("rival")))
@@ -83,7 +79,7 @@ def _lead_nodes(nodes: DataFrame, total: int, hot_rows: int) -> DataFrame:
     return seen.select("ord", "u", "t", "s", "rows", (first_url & leads_title).alias("keep"))
 
 
-def _drop_rivals(marked: DataFrame, total: int, hot_rows: int) -> DataFrame:
+def _drop_rivals(marked: DataFrame, hot_rows: int) -> DataFrame:
     """Set ``drop`` on the rivals of the nodes kept in this round."""
     urls = marked.where("u IS NOT NULL").groupBy("u").agg(
         F.bool_or("keep").alias("u_kept"), F.count("*").alias("n")
@@ -91,67 +87,45 @@ def _drop_rivals(marked: DataFrame, total: int, hot_rows: int) -> DataFrame:
     owners = marked.where("t IS NOT NULL").groupBy("t").agg(
         F.min(F.when(F.col("keep"), F.col("s"))).alias("owner"), F.count("*").alias("n")
     ).where("owner IS NOT NULL")
-    seen = lookup(marked, urls, ["u"], F.col("ord"), total, hot_rows)
-    seen = lookup(seen, owners, ["t"], F.col("ord"), total, hot_rows)
+    seen = lookup(marked, urls, ["u"], F.col("ord"), hot_rows)
+    seen = lookup(seen, owners, ["t"], F.col("ord"), hot_rows)
     rival = F.coalesce(F.col("u_kept"), F.lit(False)) | F.coalesce(F.col("owner") != F.col("s"), F.lit(False))
     return seen.select("ord", "u", "t", "s", "rows", "keep", (~F.col("keep") & rival).alias("drop"))
 
 
-def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The rule itself, row by row, over a bounded remainder that arrives in order."""
-    urls: set[str] = set()
-    owner: dict[str, str] = {}
-    for batch in batches:
-        verdict = []
-        for u, t, s in zip(batch["u"], batch["t"], batch["s"]):
-            ok = (u is None or u not in urls) and (t is None or owner.get(t, s) == s)
-            if ok:
-                if u is not None:
-                    urls.add(u)
-                if t is not None:
-                    owner.setdefault(t, s)
-            verdict.append(ok)
-        yield pd.DataFrame({"pos": batch["pos"], "keep": verdict})
-
-
-def _finish_tail(rest: DataFrame) -> DataFrame:
-    """Decide at most ``TAIL_ROWS`` nodes in one ordered pass.  Earlier rounds already removed their rivals."""
-    numbered = rest.withColumn("pos", F.row_number().over(Window.orderBy("ord")).cast("bigint"))
-    ordered = numbered.select("pos", "u", "t", "s").repartition(1).sortWithinPartitions("pos")
-    verdicts = ordered.mapInPandas(_replay, "pos BIGINT, keep BOOLEAN")
-    return numbered.join(verdicts, "pos").select("ord", "u", "t", "s", "rows", (~F.col("keep")).alias("drop"))
-
-
-def dropped_nodes(nodes: DataFrame, left: int, tail_rows: int = TAIL_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Nodes the rule drops, found in rounds over stored tables; ``left`` is how many there are."""
+def dropped_nodes(nodes: DataFrame, left: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Nodes the rule drops, found in rounds over stored tables; ``left`` is how many there are.
+
+    Orders are unique, so the earliest undecided node is kept in every round and each round makes progress.
+    """
     settled: list[DataFrame] = []
     rest = nodes
     while left:
-        if len(settled) >= TAIL_AFTER and left <= tail_rows:
-            decided, left = cut(_finish_tail(rest), "dedupe-tail"), 0
-        else:
-            marked = cut(_lead_nodes(rest, left, hot_rows), "dedupe-leads")
-            decided = cut(_drop_rivals(marked, left, hot_rows), "dedupe-round")
-            rest = decided.where("NOT keep AND NOT drop").drop("keep", "drop")
-            left = rest.count()
+        marked = cut(_lead_nodes(rest, hot_rows), "dedupe-leads")
+        decided = cut(_drop_rivals(marked, hot_rows), "dedupe-round")
         settled.append(decided.where("drop").select("ord", "u", "t", "s", "rows"))
+        rest = decided.where("NOT keep AND NOT drop").drop("keep", "drop")
+        before, left = left, rest.count()
+        if left >= before:
+            raise RuntimeError("a dedupe round decided nothing: the order of postings is not unique")
     return reduce(DataFrame.unionByName, settled) if settled else nodes.limit(0)
 
 
-def dedupe_postings(df: DataFrame, order_by: str = "seq", tail_rows: int = TAIL_ROWS,
-                    hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``df`` without duplicate postings.  ``order_by`` must differ between rows; it decides who comes first.
+def dedupe_postings(df: DataFrame, order_by: str = "seq", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``df`` without duplicate postings; ``order_by`` decides who comes first, and ties are broken by a hash.
 
-    Everything is decided on keys.  Full rows are read once, at the end, and joined by their own unique order value
-    to the stored list of kept ones.
+    The rows are stored once under an id of their own.  Everything is decided on keys, and the ids that the rule drops
+    are taken out of the stored rows.
     """
-    keys = posting_keys(df, order_by)
+    rows = cut(df.withColumn("_row_id", F.monotonically_increasing_id()), "dedupe-rows")
+    keys = posting_keys(rows, order_by, "_row_id")
     nodes = cut(key_nodes(keys), "dedupe-nodes")
-    total, no_url_rows = nodes.agg(F.count("*"), F.sum(F.when(F.col("u").isNull(), F.col("rows")))).first()
-    dropped = dropped_nodes(nodes, total, tail_rows, hot_rows)
+    dropped = dropped_nodes(nodes, nodes.count(), hot_rows)
     kept = nodes.where("u IS NOT NULL").select("ord").join(dropped.select("ord"), "ord", "left_anti")
+    gone = keys.where("u IS NOT NULL").select("ord").join(kept, "ord", "left_anti")
     # Rows without a URL follow the verdict on their title and source.
     lost = dropped.where("u IS NULL").select("t", "s", F.lit(True).alias("lost"), F.col("rows").alias("n"))
-    judged = lookup(keys.where("u IS NULL"), lost, ["t", "s"], F.col("ord"), no_url_rows or 0, hot_rows)
-    kept = cut(kept.unionByName(judged.where("lost IS NULL").select("ord")), "dedupe-kept")
-    return df.join(kept, F.col(order_by) == F.col("ord"), "left_semi")
+    judged = lookup(keys.where("u IS NULL"), lost, ["t", "s"], F.col("ord"), hot_rows)
+    gone = gone.unionByName(judged.where("lost").select("ord"))
+    gone = cut(gone.select(F.col("ord.id").alias("_row_id")), "dedupe-gone")
+    return rows.join(gone, "_row_id", "left_anti").drop("_row_id")

@@ -6,28 +6,22 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-HOT_KEYS = 1000     # at most this many keys are ever broadcast as hot
-HOT_ROWS = 100_000  # a key below this row count is not worth splitting
-SALTS = 64
+HOT_ROWS = 100_000  # rows that one copy of a key's fact row serves
 
 
-def lookup(rows: DataFrame, facts: DataFrame, keys: list[str], spread: Column, row_count: int | None = None,
-           hot_rows: int = HOT_ROWS) -> DataFrame:
+def lookup(rows: DataFrame, facts: DataFrame, keys: list[str], spread: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Left join of ``rows`` to ``facts``, which has one row per key and the number ``n`` of rows behind it.
 
-    The heaviest keys, never more than ``HOT_KEYS``, get ``SALTS`` copies of their single fact row, and their rows
-    are spread over those copies by ``spread``, a value that differs between rows; rows with a NULL key are spread
-    the same way.  All other keys are joined as usual, so nothing is left out whatever the distribution.  When
-    ``row_count`` says that no key can be heavy, the join is left to Spark as it stands.
+    Every key with more than ``hot_rows`` rows, however many such keys there are, gets one copy of its fact row for each
+    ``hot_rows`` of them, and its rows are dealt over those copies by ``spread``, a value that differs between rows.  Rows
+    with a missing key have no fact and stay out of the join.
     """
-    if row_count is not None and row_count < hot_rows:
-        return rows.join(facts.drop("n"), keys, "left")
-    heavy = facts.where(F.col("n") >= hot_rows).orderBy(F.col("n").desc()).limit(HOT_KEYS)
-    heavy = F.broadcast(heavy.select(*keys, F.lit(True).alias("_hot")))
     no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    salted_rows = rows.join(heavy, keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | no_key, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0)
-    ).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    salted_facts = facts.join(heavy, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot", "n")
-    return salted_rows.join(salted_facts, [*keys, "_salt"], "left").drop("_salt")
+    copies = F.ceil(F.col("n") / hot_rows).cast("int")
+    # There is one such key for each hot_rows rows at most; the size decides how this list is joined.
+    hot = facts.where(F.col("n") > hot_rows).select(*keys, copies.alias("_copies"))
+    salt = F.pmod(F.xxhash64(spread), F.coalesce("_copies", F.lit(1))).cast("int")
+    dealt = rows.where(~no_key).join(hot, keys, "left").withColumn("_salt", salt).drop("_copies")
+    spread_facts = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(copies, F.lit(1)) - 1))).drop("n")
+    found = dealt.join(spread_facts, [*keys, "_salt"], "left").drop("_salt")
+    return found.unionByName(rows.where(no_key), allowMissingColumns=True)

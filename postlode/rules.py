@@ -59,9 +59,6 @@ LINKS_PER_PAGE = 50
 LISTING_LINKS = 3
 CRAWL_PAGES = 25
 CRAWL_DEPTH = 2
-ARBEITNOW_PAGES = 5
-LINKEDIN_PAGES = 10
-WORKDAY_PAGES = 25
 WORKDAY_PAGE_SIZE = 20
 MAX_CELL = 32767
 

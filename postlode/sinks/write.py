@@ -61,7 +61,9 @@ def stored_columns(spark: SparkSession, path: str, fmt: str) -> list[str]:
             return spark.read.options(**_csv_options(fmt)).csv(path).columns
         first = spark.read.text(path).limit(1).select(F.json_object_keys("value").alias("keys")).first()
         return first.keys if first else []
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return []
 
 

@@ -93,13 +93,8 @@ def normalize_remotive(raw: DataFrame) -> DataFrame:
 
 
 def normalize_arbeitnow(raw: DataFrame) -> DataFrame:
-    """Pages are read up to the first one without a next link, and no more than the page cap."""
-    raw = _of(raw, "arbeitnow").where(F.col("request_no") < rules.ARBEITNOW_PAGES)
-    next_link = text_or_empty(F.from_json("payload", "STRUCT<links: STRUCT<next: STRING>>")["links"]["next"])
-    # One provider, one paging sequence: the last page is a single value, so no join is needed.
-    last = raw.where(next_link == "").agg(F.min("request_no"))
-    raw = raw.where(F.col("request_no") <= F.coalesce(last.scalar(), F.lit(rules.ARBEITNOW_PAGES)))
-    rows = _listed(raw, "data", PAYLOAD_DDL["arbeitnow"])
+    """Every landed page is read: when to stop asking for pages is a question of fetching them."""
+    rows = _listed(_of(raw, "arbeitnow"), "data", PAYLOAD_DDL["arbeitnow"])
     i = F.col("item")
     return as_postings(
         rows, _seq(),
@@ -167,8 +162,7 @@ def normalize_workday(raw: DataFrame, as_of: Column) -> DataFrame:
 
     ``board`` is ``<host>/<site>``.  A path repeated over search terms counts once, at its first place.
     """
-    listing = _of(raw, "workday").where(F.col("request_no") < rules.WORKDAY_PAGES)
-    rows = _listed(listing, "jobPostings", PAYLOAD_DDL["workday_listing"])
+    rows = _listed(_of(raw, "workday"), "jobPostings", PAYLOAD_DDL["workday_listing"])
     rows = rows.withColumn("path", F.col("item.externalPath")).where("path <> ''")
     rows = rows.withColumn("seq", _seq())
     rows = distinct_first(rows, ["board", "path"], "seq")

@@ -25,7 +25,9 @@ def read_seeds(spark: SparkSession, path: str) -> DataFrame:
 
 
 def broken(payload) -> F.Column:
-    return F.try_parse_json(payload).isNull()
+    """Not JSON.  An object with a repeated key is JSON, though not a variant; its last value counts."""
+    alone = F.get_json_object(F.concat(F.lit("["), F.col(payload), F.lit("]")), "$[0]")
+    return F.try_parse_json(payload).isNull() & (alone.isNull() | F.get_json_object(F.concat(F.lit("["), F.col(payload), F.lit("]")), "$").isNull())
 
 
 def split_broken(raw: DataFrame) -> tuple[DataFrame, DataFrame]:

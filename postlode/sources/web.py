@@ -289,8 +289,6 @@ def linkedin_details(pages: DataFrame) -> DataFrame:
 def normalize_linkedin(results: DataFrame, details: DataFrame, remote_only: bool = False,
                        include_hybrid: bool = False) -> DataFrame:
     """Cards left-joined to their detail pages; a search for remote jobs alone marks every card Remote."""
-    if "request_no" in results.columns:
-        results = results.where(F.col("request_no") < rules.LINKEDIN_PAGES)
     cards = linkedin_cards(results).withColumn("job_id", F.nullif("job_id", F.lit("")))
     rows = cards.join(linkedin_details(details), "job_id", "left")
     page_no = F.col("request_no") if "request_no" in rows.columns else F.col("page_id")

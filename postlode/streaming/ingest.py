@@ -26,7 +26,9 @@ def _state(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFr
     """State written by earlier batches; what a failed attempt of this batch left behind is not read."""
     try:
         stored = spark.read.schema(schema + ", batch BIGINT").parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
     return stored.where(F.col("batch") < batch_id).drop("batch")
 

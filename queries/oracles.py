@@ -445,7 +445,7 @@ def oracle_sql() -> dict[str, str]:
           tags="CASE WHEN posting_id % 4 <> 0 THEN 'Security|' ELSE '' END || array_to_string(tags, '|')")} FROM p""",
         "normalize_arbeitnow": f"""{WITH} {shown(source="'arbeitnow'", remote="CASE WHEN posting_id % 2 = 0 THEN 'Remote' ELSE 'Unknown' END",
           posted_date="strftime(make_timestamp((1790000000 + posting_id * 3600) * 1000000), '%Y-%m-%d')", employment_type="'full time, permanent'")}
-          FROM p WHERE (posting_id // 10) % 3 < 2 OR (posting_id // 10) % 2 = 0""",
+          FROM p""",
         "normalize_greenhouse": f"""{WITH} {shown(source="'greenhouse:' || " + BOARD, remote="'Unknown'", tags="'Security'",
           company=f"CASE WHEN posting_id % 2 = 0 AND company <> '' THEN company ELSE {BOARD} END",
           posted_date="CASE WHEN posting_id % 3 = 0 THEN '2026-09-29' ELSE '2026-09-30' END")} FROM p""",
