@@ -33,7 +33,7 @@ WORDS = SIZE - HASHED
 SIDE = 2
 DIM = 24
 ROUNDS = 2
-MASK_ONE_IN = 16
+MASK_ONE_IN = 7
 BATCH = 2048
 CHUNK = 4096
 
