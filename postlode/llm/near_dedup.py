@@ -6,11 +6,17 @@ a key of the second collection: HALVES * HALVES tables from 2 * HALVES * ROWS mi
 ``s`` meet in a table unless all keys of one collection differ, so at 0.75 one link in about ten thousand has no table
 (2 * (1 - 0.75**3)**18).
 
-Equal sets are one class from the start and are never compared.  Keys of one collection that a class shares with no
-other are dropped before any table is formed.  In a table's bucket, two pivots are compared with all other members;
-the components that the confirmed links make are then taken into account, the pivots leave the bucket, and buckets with a
-single component are done.  In the others, members outside the largest component become pivots, some in each round.  This is repeated until no bucket is left, so every pair that meets in a
+Equal sets are one class from the start and are never compared.  The tables are worked off in two steps.  First come the
+``HALVES`` tables that pair equal places of both collections, where most links are found.  Then all tables are formed, but only from keys
+that classes of different components still share: a key whose classes are connected already can't be in a bucket with
+open pairs.
+
+In a table's bucket, pivots are compared with all members of other components: at first the member with the most key-mates in
+the whole corpus, which is near the centre of its group, and one at random.  The components that the confirmed links make are then taken
+into account, the pivots leave the bucket, and buckets with a single component are done.  In the others the member with the most links and
+members outside the largest component become pivots, more of them in each round.  This is repeated until no bucket is left, so every pair that meets in a
 bucket is either compared or already connected, and a group of near copies costs a few comparisons for each member.
+No pair is confirmed twice.
 
 Links are confirmed on the full sets, taken from whole texts.
 
@@ -22,13 +28,14 @@ carry the same ``kept``, and ``keep_one`` leaves one row of them.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from postlode.session import cut
+from postlode.session import cut, drop_stored, shared_dir, stored
 
 from .common import numbered, row_key, whole_text
 
@@ -36,7 +43,8 @@ SHINGLE = 5
 PERCENT = 75
 HALVES = 18
 ROWS = 3
-PIVOTS = 32  # of a bucket in one round
+PIVOTS = 8  # of a bucket in the second round, besides its hub; GROWTH times as many in each later one
+GROWTH = 4
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[list(b" \t\n\r\x0b\x0c")] = True
@@ -122,20 +130,55 @@ def signatures(docs: DataFrame, banding: Banding) -> DataFrame:
     return docs.select(*row_key(doc_id, text), doc_id.alias("doc_id"), text.alias("text")).mapInPandas(run, schema)
 
 
-def shared_keys(nodes: DataFrame, side: str) -> DataFrame:
-    """The keys of one collection that at least two classes have, gathered per class."""
-    keys = nodes.select("node", F.explode_outer(side).alias("key"))
-    often = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "near-keys")
-    return keys.join(often, "key").groupBy("node").agg(F.collect_list("key").alias(side))
+class Scratch:
+    """Stored tables of one run, which are removed as soon as nothing reads them."""
 
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.root, self.made = spark, f"{shared_dir(spark)}/near-{uuid.uuid4().hex}", 0
 
-def buckets(nodes: DataFrame) -> DataFrame:
-    """(bucket, node) for every table, formed from pairs of shared keys of the two collections."""
-    both = shared_keys(nodes, "a").join(shared_keys(nodes, "b"), "node")
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        self.made += 1
+        return stored(df, f"{self.root}/{self.made}-{name}")
+
+    def drop(self, *names: str, before: int) -> None:
+        """Remove the tables of these names that were made before the count was ``before``."""
+        for i in range(1, before + 1):
+            for name in names:
+                drop_stored(self.spark, f"{self.root}/{i}-{name}")
+
+
+def key_counts(nodes: DataFrame) -> DataFrame:
+    """(node, mates): how many classes have one of a class's keys, summed over its keys; a hub of near copies has the most."""
+    keys = nodes.select("node", F.explode_outer(F.concat("a", "b")).alias("key"))
+    often = cut(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "near-keys")
+    return keys.join(often, "key").groupBy("node").agg(F.sum("c").alias("mates"))
+
+
+def diagonal_buckets(nodes: DataFrame) -> DataFrame:
+    """(bucket, node) for the tables that pair equal places of the two collections."""
+    return nodes.select("node", F.explode_outer(F.arrays_zip("a", "b")).alias("k")).select(F.xxhash64("k.a", "k.b").alias("bucket"), "node")
+
+
+def open_keys(nodes: DataFrame, side: str) -> DataFrame:
+    """The keys of one collection that classes of different components share, gathered per class."""
+    keys = nodes.select("node", "label", F.explode_outer(side).alias("key"))
+    mixed_ = cut(keys.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"), "near-keys")
+    return keys.join(mixed_, "key").groupBy("node").agg(F.collect_list("key").alias(side))
+
+
+def all_buckets(nodes: DataFrame) -> DataFrame:
+    """(bucket, node) for every table, formed from pairs of open keys of the two collections."""
+    both = open_keys(nodes, "a").join(open_keys(nodes, "b"), "node")
     pairs = both.select("node", "b", F.explode_outer("a").alias("x")).select("node", "x", F.explode_outer("b").alias("y"))
     return pairs.select(F.xxhash64("x", "y").alias("bucket"), "node")
 
 
+def still_open(rows: DataFrame) -> DataFrame:
+    """The rows of buckets that hold more than one component."""
+    spread = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
+    return rows.join(cut(spread, "near-open"), "bucket")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (x, y) whose full sets resemble each other by at least ``percent``."""
 
@@ -170,22 +213,55 @@ def components(links: DataFrame) -> DataFrame:
         labels = labels.select("node", "label")
 
 
+MEMBER = ("node", "n", "label")
+
+
 def first_pivots(active: DataFrame) -> DataFrame:
-    """Two members of each bucket, found by partial minima: the first of two orders."""
-    own, other = (F.struct(h.alias("h"), F.col("node").alias("node"), F.col("n").alias("n"), F.col("label").alias("label")) for h in (F.col("node"), F.xxhash64("node")))
-    return active.groupBy("bucket").agg(F.array_distinct(F.array(F.min(own), F.min(other))).alias("p"))
+    """Two members of each bucket, found by partial minima: the one with the most key-mates, and one at random."""
+    hub, other = (F.struct(h.alias("h"), *MEMBER) for h in (F.struct(-F.col("mates"), F.col("node")), F.struct(F.xxhash64("node"), F.col("node"))))
+    return active.groupBy("bucket").agg(F.min(hub).alias("u"), F.min(other).alias("v")).select("bucket", F.array_distinct(F.array(*(F.struct(*(F.col(f"{x}.{m}") for m in MEMBER)) for x in "uv"))).alias("p"))
 
 
-def later_pivots(active: DataFrame) -> DataFrame:
-    """Up to ``PIVOTS`` members of each bucket outside its largest component.
+def later_pivots(active: DataFrame, links: DataFrame, most: int) -> DataFrame:
+    """The member of each bucket with the most links, and up to ``most`` members outside the bucket's largest component.
 
-    When all of these have been pivots, what is left in the bucket is one component.
+    When all of the latter have been pivots, what is left in the bucket is one component.
     """
-    sizes = active.groupBy("bucket", "label").agg(F.count("*").alias("c"))
-    top = cut(sizes.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("t")).select("bucket", F.col("t.label").alias("top")), "near-top")
-    minor = active.join(top, "bucket").where("label != top")
-    ranked = minor.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("node"))).where(F.col("r") <= PIVOTS)
-    return ranked.groupBy("bucket").agg(F.collect_list(F.struct("node", "n", "label")).alias("p"))
+    ends = links.select(F.explode_outer(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    rated = active.join(ends, "node", "left").withColumn("rate", F.struct((-F.coalesce("degree", F.lit(0))).alias("d"), (-F.col("mates")).alias("m"), F.col("node").alias("i")))
+    rated = cut(rated.select("bucket", "rate", *MEMBER), "near-rated")
+    sizes = rated.groupBy("bucket", "label").agg(F.count("*").alias("c"), F.min(F.struct("rate", *MEMBER)).alias("hub"))
+    top = sizes.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("t"), F.min("hub").alias("hub"))
+    top = cut(top.select("bucket", F.col("t.label").alias("top"), *(F.col(f"hub.{m}").alias(f"hub_{m}") for m in MEMBER)), "near-top")
+    minor = rated.join(top.select("bucket", "top"), "bucket").where("label != top")
+    ranked = minor.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("rate"))).where(F.col("r") <= most).select("bucket", *MEMBER)
+    hubs = top.select("bucket", *(F.col(f"hub_{m}").alias(m) for m in MEMBER))
+    return ranked.union(hubs).groupBy("bucket").agg(F.collect_set(F.struct(*MEMBER)).alias("p"))
+
+
+def connect(active: DataFrame, texts: DataFrame, links: DataFrame | None, seen: DataFrame | None, percent: int, scratch: Scratch) -> tuple[DataFrame | None, DataFrame | None]:
+    """Compare until every bucket of ``active`` holds one component.  Returns all links and all pairs compared so far."""
+    most = 0
+    while not active.isEmpty():
+        before = scratch.made - 1
+        pivots = scratch.cut(later_pivots(active, links, most) if most and links is not None else first_pivots(active), "pivots")
+        most = most * GROWTH or PIVOTS
+        dealt = active.join(pivots, "bucket")
+        # Pairs that can't be links are left out before rows are made of them.
+        fit = F.filter("p", lambda q: (F.col("label") != q["label"]) & (100 * F.least(F.col("n"), q["n"]) >= percent * F.greatest(F.col("n"), q["n"])))
+        pairs = dealt.select("node", F.transform(fit, lambda q: q["node"]).alias("q")).where(F.size("q") > 0).select("node", F.explode_outer("q").alias("q"))
+        pairs = pairs.select(F.least("node", "q").alias("x"), F.greatest("node", "q").alias("y")).distinct()
+        pairs = scratch.cut(pairs if seen is None else pairs.join(seen, ["x", "y"], "left_anti"), "pairs")
+        seen = pairs if seen is None else seen.union(pairs)
+        found = scratch.cut(confirmed(pairs, texts, percent), "found")
+        links = found if links is None else links.union(found)
+        labels = components(links)
+        rest = dealt.where(~F.exists("p", lambda q: q["node"] == F.col("node"))).select("bucket", "node", "n", "mates")
+        rest = scratch.cut(rest.join(labels, "node", "left").select("bucket", "node", "n", "mates", F.coalesce("label", "node").alias("label")), "rest")
+        active = scratch.cut(still_open(rest), "active")
+        scratch.drop("pivots", "rest", before=scratch.made)
+        scratch.drop("active", before=before + 1)
+    return links, seen
 
 
 def near_duplicates(docs: DataFrame, banding: Banding | None = None, percent: int = PERCENT) -> DataFrame:
@@ -201,29 +277,23 @@ def near_duplicates(docs: DataFrame, banding: Banding | None = None, percent: in
     nodes = filled.join(stands, ["d1", "d2", "k1", "k2"]).dropDuplicates(["d1", "d2"]).join(classes.drop("doc_id"), ["d1", "d2"])
     nodes = cut(nodes.select("node", "k1", "k2", "n_shingles", "a", "b"), "near-nodes")
 
-    active = cut(buckets(nodes), "near-buckets")
-    many = active.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket")
-    active = active.join(cut(many, "near-many"), "bucket").join(nodes.select("node", F.col("n_shingles").alias("n")), "node")
-    active = cut(active.withColumn("label", F.col("node")), "near-active")
-    members = nodes.join(active.select("node").distinct(), "node").select("node", "k1", "k2")
+    scratch = Scratch(docs.sparkSession)
+    rated = scratch.cut(nodes.join(key_counts(nodes), "node"), "rated")
     text = whole_text()
-    texts = docs.select(*row_key(F.col("doc_id").cast("long"), text), text.alias("text")).join(members, ["k1", "k2"])
+    texts = docs.select(*row_key(F.col("doc_id").cast("long"), text), text.alias("text")).join(rated.select("node", "k1", "k2"), ["k1", "k2"])
     texts = cut(texts.dropDuplicates(["node"]).select("node", "text"), "near-texts")
-
-    links = labels = None
-    while not active.isEmpty():
-        pivots = cut(first_pivots(active) if links is None else later_pivots(active), "near-pivots")
-        dealt = active.join(pivots, "bucket")
-        pairs = dealt.select("node", "n", "label", F.explode_outer("p").alias("q")).where(
-            (F.col("label") != F.col("q.label")) & (100 * F.least("n", "q.n") >= percent * F.greatest("n", "q.n")))
-        pairs = pairs.select(F.least("node", "q.node").alias("x"), F.greatest("node", "q.node").alias("y")).distinct()
-        found = cut(confirmed(cut(pairs, "near-pairs"), texts, percent), "near-found")
-        links = found if links is None else links.union(found)
-        labels = components(links)
-        rest = dealt.where(~F.exists("p", lambda q: q["node"] == F.col("node"))).select("bucket", "node", "n")
-        rest = cut(rest.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label")), "near-rest")
-        open_ = rest.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-        active = cut(rest.join(cut(open_, "near-open"), "bucket"), "near-active")
+    member = rated.select("node", F.col("n_shingles").alias("n"), "mates")
+
+    links = seen = labels = None
+    for tables in (diagonal_buckets, all_buckets):
+        # No pair of the second step is left out by the labels of the first: those are connected already.
+        known = rated.withColumn("label", F.col("node")) if labels is None else rated.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        known = scratch.cut(known.select("node", "label", "a", "b"), "known")
+        rows_ = scratch.cut(tables(known).join(known.select("node", "label"), "node"), "buckets")
+        active = scratch.cut(still_open(rows_).join(member, "node"), "active")
+        scratch.drop("buckets", "known", before=scratch.made)
+        links, seen = connect(active, texts, links, seen, percent, scratch)
+        labels = None if links is None else components(links)
 
     if labels is not None:
         ends = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
