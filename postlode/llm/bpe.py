@@ -7,17 +7,24 @@ which id two neighbours merge into.  That map, of fixed size, is a literal of th
 
 The words of a corpus repeat, so each distinct word is folded once as long as a dictionary of bounded size has room for
 it: at most ``DICTIONARY`` words, the most frequent by a count over the whole corpus, none longer than ``WORD_BYTES``.
-The dictionary decides only where a word's fold runs.  All other words are folded in their row.  No text is shuffled.
+The dictionary decides only where a word's fold runs.  All other words occur too rarely for a fold by lambdas to pay
+(about 170 us a word): they are folded in their row by a small Python helper with the same ranks, in batches, while the
+ids of the dictionary's words pass it as arrays of numbers.  No text is shuffled.
 
 Defined cases: a missing text is an empty one and has no ids; rows repeated in full are encoded alike; a long unbroken
-piece is folded like any other, at a cost of its length squared.
+piece is folded like any other, at a cost of its length times its logarithm.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import uuid
+from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from postlode.session import cut
@@ -30,6 +37,8 @@ PAIR_BUCKETS = 1 << 18
 WORD_BUCKETS = 1 << 18
 NONE = (1 << 31) - 1  # ranks of pairs that don't merge
 WIDTH = 1 << 17       # a pair of ids is kept as left * WIDTH + right
+RARE = -1             # stands for the ids of a word that the dictionary lacks
+REMEMBERED = 50_000   # rare words whose ids a task keeps
 
 # Unicode white space; Java's \s knows ASCII only.
 SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -59,6 +68,29 @@ class Ranks:
         return out
 
 
+def fold_bytes(word: bytes, ids: dict[bytes, int]) -> list[int]:
+    """Ids of one word.  Candidate merges wait in a heap by rank and place; one whose neighbours changed is skipped."""
+    n = len(word)
+    end = list(range(1, n + 1))  # of the token that begins here, 0 inside of tokens
+    begin = list(range(-1, n))   # of the token that ends here
+    waiting = [(ids[word[i:i + 2]], i, i + 2) for i in range(n - 1) if word[i:i + 2] in ids]
+    heapq.heapify(waiting)
+    while waiting:
+        _, at, stop = heapq.heappop(waiting)
+        middle = end[at]
+        if middle in (0, n) or end[middle] != stop:
+            continue
+        end[at], end[middle], begin[stop] = stop, 0, at
+        for left, right in ((at, end[stop] if stop < n else 0), (begin[at], stop)):
+            if left >= 0 and right and (rank := ids.get(word[left:right])) is not None:
+                heapq.heappush(waiting, (rank, left, right))
+    out, at = [], 0
+    while at < n:
+        out.append(ids[word[at:end[at]]])
+        at = end[at]
+    return out
+
+
 def first(array: Column) -> Column:
     return F.get(array, F.lit(0))
 
@@ -87,9 +119,20 @@ def buckets(rows: DataFrame, bucket: Column, n: int, key: str, value: str) -> Co
     return literal(filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "e"))), lambda x: F.map_from_entries(x["e"])).alias("maps")))
 
 
+def spliced(ids: np.ndarray, parts: list[list[int]]) -> np.ndarray:
+    """``ids`` with every RARE replaced by the next of ``parts``."""
+    places = np.flatnonzero(ids == RARE)
+    sizes = np.ones(len(ids), dtype=np.int64)
+    sizes[places] = [len(p) for p in parts]
+    out = np.repeat(ids, sizes)
+    out[out == RARE] = np.concatenate(parts)
+    return out
+
+
 class Tokenizer:
     def __init__(self, spark: SparkSession, ranks_path: str, pattern: str) -> None:
         ranks = Ranks(ranks_path)
+        self.ranks = ranks.ids
         self.pattern = java_pattern(pattern)
         pairs = spark.createDataFrame(ranks.merges(), "pair bigint, id int")
         self.pairs = buckets(pairs, self.pair_bucket(F.col("pair")), PAIR_BUCKETS, "pair", "id")
@@ -165,12 +208,23 @@ class Tokenizer:
     def encode(self, docs: DataFrame, ids: str = "ids") -> DataFrame:
         """doc_id and ``ids`` (array<int>) of every row of ``docs``."""
         known = self.dictionary(docs)
-
-        def of(word: Column) -> Column:
-            return F.coalesce(F.get(known, self.word_bucket(word))[word], self.fold(word))
-
         pieces = docs.select("doc_id", self.pieces(whole_text()).alias("_pieces"))
-        return pieces.select("doc_id", F.flatten(F.transform("_pieces", of)).alias(ids))
+        found = pieces.withColumn("_found", F.transform("_pieces", lambda w: F.get(known, self.word_bucket(w))[w]))
+        filled = F.flatten(F.transform("_found", lambda x: F.coalesce(x, F.array(F.lit(RARE)))))
+        rare = F.filter("_pieces", lambda _, i: F.get("_found", i).isNull())
+        return found.select("doc_id", self.fill_in()(filled, rare).alias(ids))
+
+    def fill_in(self):
+        """Put the ids of each rare word, in order, where RARE holds its place."""
+        ranks = self.ranks
+
+        @F.pandas_udf("array<int>")
+        def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            fold = lru_cache(REMEMBERED)(lambda word: fold_bytes(word.encode("utf-8"), ranks))
+            for filled, rare in batches:
+                yield pd.Series([one if not len(words) else spliced(one, [fold(w) for w in words]) for one, words in zip(filled, rare)], dtype=object)
+
+        return run
 
     def decode(self, ids: Column) -> Column:
         """The bytes of a list of ids: binary pieces, set one after another."""
