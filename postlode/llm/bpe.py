@@ -31,10 +31,10 @@ from postlode.session import cut
 
 from .common import whole_text
 
-DICTIONARY = 200_000
+DICTIONARY = 1 << 16
 WORD_BYTES = 48
 PAIR_BUCKETS = 1 << 18
-WORD_BUCKETS = 1 << 18
+WORD_BUCKETS = 1 << 17
 NONE = (1 << 31) - 1  # ranks of pairs that don't merge
 WIDTH = 1 << 17       # a pair of ids is kept as left * WIDTH + right
 RARE = -1             # stands for the ids of a word that the dictionary lacks
