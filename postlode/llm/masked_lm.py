@@ -5,7 +5,10 @@ squashed, and give the probability of the word's class and of the word within it
 probabilities of all words of a document are its score.
 
 Words are counted over the whole corpus; the ``WORDS`` most frequent have an id of their own, all others one of
-``HASHED`` ids by a hash.  Training masks one position in ``MASK_ONE_IN`` of every text.  In each round every task starts
+``HASHED`` ids by a hash.  The network gives the probability of such an id, and the corpus that of the word among all that
+share it: (count + 1) / (counts of the id + its distinct words + 1), with count 0 for a word never seen.  The counts stay in
+a table, which grows with the corpus and meets each document's own words in a join; a word without an id of its own is
+rarer than ``WORDS`` others, so no key of that join is hot.  Training masks one position in ``MASK_ONE_IN`` of every text.  In each round every task starts
 from the same weights, trains on the masked positions of its part of the corpus, and the weights of all tasks are
 averaged by the number of positions behind them; the sums are made by Spark, and only their result, of fixed size,
 reaches the driver.
@@ -22,7 +25,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from postlode.session import cut
 
 from .common import whole_text
 
@@ -36,14 +41,16 @@ ROUNDS = 2
 MASK_ONE_IN = 7
 BATCH = 2048
 CHUNK = 4096
+AT_ONCE = 1000
+FIXED = 1 << 30
 
 
 def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def vocabulary(docs: DataFrame, size: int = WORDS) -> dict[bytes, int]:
-    """Ids of the most frequent words of the whole corpus; at most ``size`` words reach the driver."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``word, n`` of every word of the whole corpus, as a stored table."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -54,10 +61,35 @@ def vocabulary(docs: DataFrame, size: int = WORDS) -> dict[bytes, int]:
                 yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
 
     counts = docs.select(whole_text().alias("text")).mapInPandas(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return cut(counts, "lm-words")
+
+
+def vocabulary(counts: DataFrame, size: int = WORDS) -> dict[bytes, int]:
+    """Ids of the most frequent words; at most ``size`` words reach the driver."""
     top = counts.orderBy(F.col("n").desc(), "word").limit(size).collect()
     return {bytes(r["word"]): i for i, r in enumerate(top)}
 
 
+def _bucket() -> Column:
+    return F.crc32("word") % HASHED
+
+
+def hashed_words(counts: DataFrame, known: dict[bytes, int]) -> DataFrame:
+    """``word, n`` of the words that share a hashed id."""
+    own = counts.sparkSession.createDataFrame([(bytearray(w),) for w in known], "word binary")
+    return counts.join(F.broadcast(own), "word", "left_anti")
+
+
+def log_shares(words: DataFrame, hashed: DataFrame) -> DataFrame:
+    """``words`` (with a column ``word``) and ``log_share``, the log probability of the word among those of its hashed id."""
+    # One row per hashed id, so its size is fixed.
+    ids = hashed.groupBy(_bucket().alias("_id")).agg(F.sum("n").alias("_total"), F.count("*").alias("_words"))
+    found = words.withColumn("_id", _bucket()).join(hashed.withColumnRenamed("n", "_n"), "word", "left").join(F.broadcast(ids), "_id", "left")
+    nought = lambda name: F.coalesce(name, F.lit(0))
+    share = F.log((nought("_n") + 1) / (nought("_total") + nought("_words") + 1))
+    return found.withColumn("log_share", share).drop("_id", "_n", "_total", "_words")
+
+
 def ids_of(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
     get = known.get
     return np.array([i if (i := get(w)) is not None else WORDS + zlib.crc32(w) % HASHED for w in words], dtype=np.int64)
@@ -191,16 +223,18 @@ def train_round(docs: DataFrame, known: dict[bytes, int], start: np.ndarray) ->
     return out
 
 
-def fit_masked_lm(docs: DataFrame, rounds: int = ROUNDS) -> tuple[dict[bytes, int], np.ndarray]:
-    known = vocabulary(docs)
+def fit_masked_lm(docs: DataFrame, rounds: int = ROUNDS) -> tuple[dict[bytes, int], np.ndarray, DataFrame]:
+    """Ids of the frequent words, the weights, and the table of counts of all other words."""
+    counts = word_counts(docs)
+    known = vocabulary(counts)
     weights = Network().flat()
     for _ in range(rounds):
         weights = train_round(docs, known, weights)
-    return known, weights
+    return known, weights, hashed_words(counts, known)
 
 
 def document_scores(texts: list[str], known: dict[bytes, int], net: Network, at_once: int = 16_384) -> list[tuple[int, float]]:
-    """(number of words, summed log probability) of each text, every word predicted from both sides.
+    """(number of words, summed log probability of their ids) of each text, every word predicted from both sides.
 
     Texts are scored together, with edges between them, and long ones in pieces.
     """
@@ -227,15 +261,29 @@ def document_scores(texts: list[str], known: dict[bytes, int], net: Network, at_
     return list(zip(sizes, sums.tolist()))
 
 
-def score_documents(docs: DataFrame, model: tuple[dict[bytes, int], np.ndarray]) -> DataFrame:
+def score_documents(docs: DataFrame, model: tuple[dict[bytes, int], np.ndarray, DataFrame]) -> DataFrame:
     """doc_id, n_words, log_prob and mean_log_prob of every row of ``docs``."""
-    known, weights = model
+    known, weights, hashed = model
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         net = Network().load(weights)
         for batch in batches:
-            found = document_scores(list(batch["text"]), known, net)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "n_words": [n for n, _ in found], "log_prob": [s for _, s in found]})
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInPandas(run, "doc_id bigint, n_words bigint, log_prob double")
+            for k in range(0, len(batch), AT_ONCE):
+                part = batch.iloc[k:k + AT_ONCE]
+                texts = list(part["text"])
+                found = document_scores(texts, known, net)
+                others = [Counter(w for w in words_of(text) if w not in known) for text in texts]
+                yield pd.DataFrame({
+                    "row": part["row"].to_numpy(), "doc_id": part["doc_id"].to_numpy(), "n_words": [n for n, _ in found], "id_log_prob": [s for _, s in found],
+                    "words": [list(c) for c in others], "times": [list(c.values()) for c in others],
+                })
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    rows = cut(rows.mapInPandas(run, "row bigint, doc_id bigint, n_words bigint, id_log_prob double, words array<binary>, times array<bigint>"), "lm-rows")
+    others = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", "w.words", "w.times").withColumnRenamed("words", "word")
+    # Summed as whole numbers, the result doesn't depend on the order of the rows.
+    share = F.round(F.col("times") * F.col("log_share") * FIXED).cast("long")
+    shares = log_shares(others, hashed).groupBy("row").agg((F.sum(share) / FIXED).alias("share"))
+    rows = rows.select("row", "doc_id", "n_words", "id_log_prob").join(shares, "row", "left")
+    rows = rows.select("doc_id", "n_words", (F.col("id_log_prob") + F.coalesce("share", F.lit(0.0))).alias("log_prob"))
     return rows.withColumn("mean_log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")))

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -251,6 +252,26 @@ def test_masked_lm(spark, odd, empty):
     assert masked_lm.score_documents(odd, model).count() == odd.count() and masked_lm.score_documents(empty, masked_lm.fit_masked_lm(empty)).count() == 0
 
 
+def test_masked_lm_words_that_share_an_id(spark):
+    frequent = " ".join(f"w{i}" for i in range(masked_lm.WORDS))
+    of = lambda w: zlib.crc32(w.encode()) % masked_lm.HASHED
+    junk = next(w for i in range(100_000) if of(w := f"junk{i}") == of("seldom"))
+    other = next(w for i in range(100_000) if of(w := f"other{i}") == of("seldom"))
+    texts = [frequent] * 4 + ["seldom seldom seldom " + other]
+    docs = spark.createDataFrame([(i, t, "", "", 0, "", 0, 0) for i, t in enumerate(texts)], SCHEMA)
+    model = masked_lm.fit_masked_lm(docs, rounds=1)
+    assert len(model[0]) == masked_lm.WORDS and {bytes(r.word): r.n for r in model[2].collect()} == {b"seldom": 3, other.encode(): 1}
+    asked = ["seldom", other, junk, "seldom seldom", "w1 SELDOM w2", f"w1 {junk} w2", "w1", None, "seldom"]
+    rows = spark.createDataFrame([(i, t, "", "", 0, "", 0, 0) for i, t in enumerate(asked)], SCHEMA)
+    got = {r.doc_id: r for r in masked_lm.score_documents(rows, model).collect()}
+    net = masked_lm.Network().load(model[1])
+    ids = masked_lm.document_scores([t or "" for t in asked], model[0], net)
+    share = {0: np.log(4 / 7), 1: np.log(2 / 7), 2: np.log(1 / 7), 3: 2 * np.log(4 / 7), 4: np.log(4 / 7), 5: np.log(1 / 7), 6: 0, 7: 0, 8: np.log(4 / 7)}
+    for i, (n, log_prob) in enumerate(ids):
+        assert got[i].n_words == n and abs(got[i].log_prob - log_prob - share[i]) < 1e-4
+    assert got[0].log_prob > got[1].log_prob > got[2].log_prob and got[4].mean_log_prob > got[5].mean_log_prob and got[7].mean_log_prob is None
+
+
 def test_masked_lm_gradient():
     net, rng = masked_lm.Network(), np.random.default_rng(0)
     around, word = rng.integers(0, masked_lm.SIZE, (6, 4)), rng.integers(0, masked_lm.SIZE, 6)
