@@ -8,8 +8,9 @@ Words are counted over the whole corpus; the ``WORDS`` most frequent have an id
 ``HASHED`` ids by a hash.  The network gives the probability of such an id, and the corpus that of the word among all that
 share it: (count + 1) / (counts of the id + its distinct words + 1), with count 0 for a word never seen.  The counts stay in
 a table, which grows with the corpus and meets each document's own words in a join; a word without an id of its own is
-rarer than ``WORDS`` others, so no key of that join is hot.  Training masks one position in ``MASK_ONE_IN`` of every text.  In each round every task starts
-from the same weights, trains on the masked positions of its part of the corpus, and the weights of all tasks are
+rarer than ``WORDS`` others, so no key of that join is hot.  Training predicts every position of every text once: the positions are dealt
+over the rounds.  A word is never among its own inputs, so nothing needs to be masked.  In each round every task starts
+from the same weights, trains on the round's positions of its part of the corpus, and the weights of all tasks are
 averaged by the number of positions behind them; the sums are made by Spark, and only their result, of fixed size,
 reaches the driver.
 
@@ -38,7 +39,6 @@ WORDS = SIZE - HASHED
 SIDE = 2
 DIM = 24
 ROUNDS = 2
-MASK_ONE_IN = 7
 BATCH = 2048
 CHUNK = 4096
 AT_ONCE = 1000
@@ -186,8 +186,17 @@ def contexts(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     return padded[at[:, None] + np.array([*range(SIDE), *range(SIDE + 1, 2 * SIDE + 1)])]
 
 
-def train_round(docs: DataFrame, known: dict[bytes, int], start: np.ndarray) -> np.ndarray:
-    """One pass of every task over the masked positions of its texts, and the mean of their weights."""
+def targets(text: str, n: int, turn: int, rounds: int) -> np.ndarray:
+    """The positions of a text of ``n`` words that round ``turn`` predicts; over all rounds, each position once.
+
+    Texts begin at different places, so that a round doesn't see all first words or none.
+    """
+    first = (zlib.crc32(text[:64].encode("utf-8", "surrogatepass")) + turn) % rounds
+    return np.arange(first, n, rounds)
+
+
+def train_round(docs: DataFrame, known: dict[bytes, int], start: np.ndarray, turn: int = 0, rounds: int = 1) -> np.ndarray:
+    """One pass of every task over the round's positions of its texts, and the mean of their weights."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         net = Network().load(start)
@@ -198,7 +207,7 @@ def train_round(docs: DataFrame, known: dict[bytes, int], start: np.ndarray) ->
                 if not words:
                     continue
                 ids = ids_of(words, known)
-                at = np.arange(zlib.crc32(text[:64].encode("utf-8", "surrogatepass")) % MASK_ONE_IN, len(ids), MASK_ONE_IN)
+                at = targets(text, len(ids), turn, rounds)
                 held.append((contexts(ids, at), ids[at]))
                 size += len(at)
                 if size >= BATCH:
@@ -228,8 +237,8 @@ def fit_masked_lm(docs: DataFrame, rounds: int = ROUNDS) -> tuple[dict[bytes, in
     counts = word_counts(docs)
     known = vocabulary(counts)
     weights = Network().flat()
-    for _ in range(rounds):
-        weights = train_round(docs, known, weights)
+    for turn in range(rounds):
+        weights = train_round(docs, known, weights, turn, rounds)
     return known, weights, hashed_words(counts, known)
 
 

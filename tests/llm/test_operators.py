@@ -272,6 +272,24 @@ def test_masked_lm_words_that_share_an_id(spark):
     assert got[0].log_prob > got[1].log_prob > got[2].log_prob and got[4].mean_log_prob > got[5].mean_log_prob and got[7].mean_log_prob is None
 
 
+def test_masked_lm_trains_on_every_position(spark):
+    for n, rounds in ((1, 2), (3, 2), (50, 2), (50, 1), (50, 7), (5, 7)):
+        every = np.concatenate([masked_lm.targets("some text", n, turn, rounds) for turn in range(rounds)])
+        assert sorted(every) == list(range(n))
+    # Texts of one to three words, alike in their first 64 characters: every last word is learnt.
+    head = "h" * 70
+    texts = [head, f"{head} mid{{}}", f"{head} mid{{}} end{{}}"]
+    lines = [t.replace("{}", str(i)) for t in texts for i in range(4)] * 60
+    docs = spark.createDataFrame([(i, t, "", "", 0, "", 0, 0) for i, t in enumerate(lines)], SCHEMA)
+    known, weights, _ = masked_lm.fit_masked_lm(docs)
+    net = masked_lm.Network().load(weights)
+    start = masked_lm.Network()
+    for text in {t for t in lines}:
+        ids = masked_lm.ids_of(masked_lm.words_of(text), known)
+        at = np.arange(len(ids))
+        assert (net.log_prob(masked_lm.contexts(ids, at), ids) > start.log_prob(masked_lm.contexts(ids, at), ids) + 0.5).all()
+
+
 def test_masked_lm_gradient():
     net, rng = masked_lm.Network(), np.random.default_rng(0)
     around, word = rng.integers(0, masked_lm.SIZE, (6, 4)), rng.integers(0, masked_lm.SIZE, 6)
