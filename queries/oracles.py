@@ -6,7 +6,7 @@ consumed character (``L`` before, ``R`` after) that is no letter, digit or under
 
 from __future__ import annotations
 
-from .views import AS_OF, POSTINGS, SITE_PAGES
+from .views import AS_OF, MANY_SITE_PAGES, MORE_LINKS, POSTINGS, SITE_PAGES
 
 L = r"(?:^|[^\p{L}\p{N}_])"
 R = r"(?:$|[^\p{L}\p{N}_])"
@@ -332,16 +332,20 @@ ROBOTS = f"""
    FROM (SELECT *, substr(url, length(origin) + 1) AS path FROM s) s JOIN o USING (origin))"""
 
 
-def crawl(final: str = "SELECT site, CAST(depth AS BIGINT) AS depth, rank, url, role FROM visits") -> str:
-    """Three unrolled levels over the link formula of the site pages; eight pages per site."""
+VISITS = "SELECT site, CAST(depth AS BIGINT) AS depth, rank, url, role FROM visits"
+
+
+def crawl(final: str = VISITS, pages: str = SITE_PAGES, more: tuple[int, ...] = (), start: str = "", budget: int = 8) -> str:
+    """Three unrolled levels over the link formula of the site pages; ``budget`` pages per site."""
     link = lambda pos, dst, cond: f"SELECT page_id, origin, {pos} AS pos, {dst} AS dst FROM s WHERE {cond}"
-    base = f"""WITH s AS ({SITE_PAGES}),
+    added = "".join(f" UNION ALL {link(6 + i, f'page_id + {n}', 'page_id % 6 < 4')}" for i, n in enumerate(more))
+    base = f"""WITH s AS ({pages}),
     raw_links AS ({link(1, 'page_id * 2 + 3', 'page_id % 2 = 0')} UNION ALL {link(2, 'page_id * 2 + 6', 'page_id % 2 = 0')}
-      UNION ALL {link(3, 'page_id + 3', 'page_id % 6 < 4')} UNION ALL {link(4, 'page_id + 15', 'true')} UNION ALL {link(5, 'page_id + 30', 'true')}),
+      UNION ALL {link(3, 'page_id + 3', 'page_id % 6 < 4')} UNION ALL {link(4, 'page_id + 15', 'true')} UNION ALL {link(5, 'page_id + 30', 'true')}{added}),
     one AS (SELECT page_id, origin, dst, min(pos) AS pos FROM raw_links WHERE dst <> page_id GROUP BY ALL),
     link AS (SELECT origin AS site, origin || '/jobs/' || CAST(page_id AS VARCHAR) AS url, origin || '/jobs/' || CAST(dst AS VARCHAR) AS dst, pos FROM one),
     page AS (SELECT url, page_id % 4 = 1 AS structured FROM s),
-    o AS (SELECT origin, min(page_id) AS p FROM s GROUP BY origin),
+    o AS (SELECT origin, min(page_id) AS p FROM s{start} GROUP BY origin),
     f0 AS (SELECT origin AS site, origin || '/jobs/none' AS url, 0 AS pr, 0 AS pos FROM o UNION ALL
       SELECT origin, origin || '/jobs/' || CAST(p AS VARCHAR), 0, 1 FROM o)"""
     none = "SELECT CAST(NULL AS VARCHAR) AS site, CAST(NULL AS VARCHAR) AS url, 0 AS depth, 0 AS rank, false AS got WHERE false"
@@ -355,7 +359,7 @@ def crawl(final: str = "SELECT site, CAST(depth AS BIGINT) AS depth, rank, url,
         coalesce(sum(CASE WHEN page.url IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY q.site ORDER BY pr, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
         FROM q{d} q LEFT JOIN page ON page.url = q.url WINDOW w AS (PARTITION BY q.site ORDER BY pr, pos)),
     used{d} AS (SELECT site, sum(CASE WHEN got THEN 1 ELSE 0 END) AS n FROM ({seen}) x GROUP BY site),
-    l{d} AS (SELECT r.site, r.url, {d} AS depth, rank, got, structured FROM r{d} r LEFT JOIN used{d} u ON u.site = r.site WHERE before + coalesce(n, 0) < 8)"""
+    l{d} AS (SELECT r.site, r.url, {d} AS depth, rank, got, structured FROM r{d} r LEFT JOIN used{d} u ON u.site = r.site WHERE before + coalesce(n, 0) < {budget})"""
         base += nxt
         seen = f"{seen} UNION ALL SELECT site, url, depth, rank, got FROM l{d}"
         base += f"""
@@ -386,6 +390,10 @@ def where(condition: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     terms = CYBER + SOFTWARE + DATA + DEVOPS + SUPPORT + TERMS
+    crawled = f"""SELECT 'Job ' || CAST(s.page_id AS VARCHAR) AS title, '' AS company, v.url, v.site AS source, '' AS description
+            FROM visits v JOIN s ON s.url = v.url WHERE role = 'postings'
+          UNION ALL SELECT title, company, h.url, v.site, description FROM visits v JOIN ({html_postings('s')}) h ON h.url = v.url WHERE role = 'page'"""
+    many = dict(pages=MANY_SITE_PAGES, more=MORE_LINKS, start=" WHERE page_id % 4 <> 1", budget=25)
     matched = labels("txt", [(t, term(t)) for t in dict.fromkeys(terms)], True)
     sheet_title = "CASE seq % 4 WHEN 0 THEN '''  =1+' || title WHEN 1 THEN '''-' || title ELSE title END"
     sheet_text = "regexp_replace(description, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g')"
@@ -494,9 +502,9 @@ def oracle_sql() -> dict[str, str]:
         "route_urls": "SELECT page_id, " + ", ".join(f"{v} AS {k}" for k, v in route_cols.items()) + " FROM pages",
         "robots_filter": f"WITH {ROBOTS} SELECT page_id, url FROM verdict WHERE ok",
         "crawl_reachable": crawl(),
-        "crawl_postings": crawl(f"""SELECT 'Job ' || CAST(s.page_id AS VARCHAR) AS title, '' AS company, v.url, v.site AS source, '' AS description
-            FROM visits v JOIN s ON s.url = v.url WHERE role = 'postings'
-          UNION ALL SELECT title, company, h.url, v.site, description FROM visits v JOIN ({html_postings('s')}) h ON h.url = v.url WHERE role = 'page'"""),
+        "crawl_postings": crawl(crawled),
+        "crawl_many_sites": crawl(**many),
+        "crawl_many_sites_postings": crawl(crawled, **many),
         "linkedin_postings": f"""SELECT 'SOC & Analyst ' || {pid} AS title, 'Acme Inc' AS company, 'United States' AS location, 'Remote' AS remote,
           'https://www.linkedin.com/jobs/view/40' || lpad({pid}, 8, '0') || '/' AS url, 'linkedin' AS source, '2026-10-06' AS posted_date,
           CASE WHEN page_id % 3 <> 0 THEN 'Full-time' ELSE '' END AS employment_type, CASE WHEN page_id % 3 <> 0 THEN 'Entry level' ELSE '' END AS tags FROM pages""",

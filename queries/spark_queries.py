@@ -24,7 +24,7 @@ from postlode.sources import boards as B, raw as L, registry as G, web as W
 from postlode.sources.postings import as_postings, sequence_of, union_sources
 from postlode.streaming.ingest import stream_postings
 
-from .views import AS_OF, POSTINGS, SITE_PAGES
+from .views import AS_OF, MANY_SITE_PAGES, POSTINGS, SITE_PAGES
 
 SPEC = dict(as_of=date.fromisoformat(AS_OF))
 PAGE_LINKS = r"/[A-Za-z]"
@@ -55,6 +55,10 @@ def site_pages(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, SITE_PAGES, "pages")
 
 
+def many_site_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return view(spark, sf, MANY_SITE_PAGES, "pages")
+
+
 def canonical(spark: SparkSession, sf: str) -> DataFrame:
     """The posting view in the canonical shape, still carrying its numeric ``seq``."""
     v = posting_view(spark, sf)
@@ -473,6 +477,25 @@ def crawl_found(spark, sf):
     return C.crawl_postings(pages, visits).select("title", "company", "url", "source", "description")
 
 
+def many_site_seeds(spark, sf) -> DataFrame:
+    """Two start pages per site: a page that is not there and the lowest page without a posting."""
+    first = many_site_pages(spark, sf).where("page_id % 4 <> 1").groupBy("origin").agg(F.min("page_id").alias("p"))
+    urls = F.array(F.concat("origin", F.lit("/jobs/none")), F.concat("origin", F.lit("/jobs/"), F.col("p").cast("string")))
+    return first.select(F.col("origin").alias("site"), F.posexplode(urls).alias("pos", "url")).select("site", "url", "pos")
+
+
+def crawl_many_sites(spark, sf):
+    """A crawl with the default budget, over a number of sites that grows with the table."""
+    visits = C.crawl(many_site_pages(spark, sf), many_site_seeds(spark, sf))
+    return visits.select("site", F.col("depth").cast("bigint").alias("depth"), F.col("rank").cast("bigint").alias("rank"), "url", "role")
+
+
+def crawl_many_sites_found(spark, sf):
+    """Postings read on that crawl."""
+    pages = many_site_pages(spark, sf)
+    return C.crawl_postings(pages, C.crawl(pages, many_site_seeds(spark, sf))).select("title", "company", "url", "source", "description")
+
+
 def linkedin(spark, sf):
     p, n = F.col("page_id").cast("string"), F.concat(F.lit("40"), F.lpad(F.col("page_id").cast("string"), 8, "0"))
     card = F.concat(
@@ -557,6 +580,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "robots_filter": robots,
         "crawl_reachable": crawl_reachable,
         "crawl_postings": crawl_found,
+        "crawl_many_sites": crawl_many_sites,
+        "crawl_many_sites_postings": crawl_many_sites_found,
         "linkedin_postings": linkedin,
         "sheet_rows": sheet_rows,
     }

@@ -61,3 +61,12 @@ SELECT page_id,
     AS html
 FROM pages
 """
+
+# The same pages as many sites: the first still holds a third of all pages, every hundred page numbers make another.
+# Pages have more links, so that a crawl meets the page budget of a site.
+_FEW, _MANY = "page_id % 5 + 1", "cast(floor(page_id / 100) AS bigint) + 1"
+MORE_LINKS = (9, 12, 18, 21, 24, 27)
+MANY_SITE_PAGES = SITE_PAGES.replace(_FEW, _MANY).replace(
+    "\n    AS html",
+    "\n    || CASE WHEN page_id % 6 < 4 THEN " + " || ".join(f"""'<a href="/jobs/' || cast(page_id + {n} AS string) || '">f</a>'""" for n in MORE_LINKS) + " ELSE '' END\n    AS html",
+)

@@ -38,3 +38,15 @@ def test_query_matches_its_sql(spark, duck, name):
     mine = sorted(repr(tuple(r[c] for c in order)) for r in rows)
     theirs = sorted(repr(tuple(r[columns.index(c)] for c in order)) for r in cursor.fetchall())
     assert mine == theirs
+
+
+def test_a_crawl_grows_with_the_table_and_spends_its_whole_budget(spark):
+    larger = SF.replace("sf0.001", "sf0.01")
+    if larger == SF or not os.path.isdir(larger):
+        pytest.skip("needs both small tables")
+    pages = [{}, {}]
+    for found, sf in zip(pages, (SF, larger)):
+        for r in entry.queries()["crawl_many_sites"](spark, sf).collect():
+            found[r.site] = found.get(r.site, 0) + 1
+    assert len(pages[0]) < len(pages[1]) and max(pages[1].values()) == 25
+    assert sum(pages[1].values()) > 48 and pages[1]["https://site0.example.com"] > 8
