@@ -35,6 +35,7 @@ REACH = 0.85
 CANDIDATES = 2_000  # of a block
 QUERIES = 500       # of a block
 SPARE = 8           # candidates kept above the number asked for
+MARGIN = 1e-9       # far above the rounding of a cosine
 
 
 def usable(vector: Column) -> Column:
@@ -111,9 +112,20 @@ def hashed(rows: DataFrame, hashes: Hashes, probing: bool) -> DataFrame:
     return rows.mapInPandas(run, "id bigint, bucket string")
 
 
+def exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The cosine of each row of ``x`` and that of ``y``, summed in the order of ``cosine``, so equal to it in every bit."""
+    def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.cumsum(a * b, axis=1)[:, -1]
+
+    with np.errstate(all="ignore"):
+        return np.fmax(-1.0, np.fmin(1.0, dot(x, y) / (np.sqrt(dot(x, x)) * np.sqrt(dot(y, y)))))
+
+
 def best_of_blocks(queries: DataFrame, candidates: DataFrame, top: int) -> DataFrame:
-    """For (id, bucket, vector) on both sides: per query and block the ``top`` nearest candidate classes.
+    """For (id, bucket, vector), candidates with ``low``: per query and block the ``top`` nearest candidate classes.
 
+    Classes of equal cosine are taken by their smallest vec_id, ``low``: all within a margin of the last one are ordered by
+    the exact score.
     Candidates of a bucket are dealt to blocks by a hash, and so are its queries; each block meets each.
     """
     def sizes(rows: DataFrame, size: int, name: str) -> DataFrame:
@@ -123,20 +135,27 @@ def best_of_blocks(queries: DataFrame, candidates: DataFrame, top: int) -> DataF
 
     def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
         rows = rows.join(n, "bucket").withColumn("b" + own, F.pmod(F.xxhash64("id"), F.col("n" + own)).cast("int"))
-        return rows.withColumn("b" + other, F.explode_outer(F.sequence(F.lit(0), F.col("n" + other) - 1))).select("bucket", "bq", "bc", "id", "vector")
+        return rows.withColumn("b" + other, F.explode_outer(F.sequence(F.lit(0), F.col("n" + other) - 1))).select("bucket", "bq", "bc", "id", "vector", *(["low"] if own == "c" else []))
 
     def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
-            return pd.DataFrame({"query": [], "class": [], "near": []})
-        x, y = (np.array(list(v["vector"]), dtype=float) for v in (q, c))
-        x, y = (v / np.abs(v).max(axis=1, keepdims=True) for v in (x, y))
+            return pd.DataFrame({"query": [], "class": [], "low": [], "near": []})
+        given = [np.array(list(v["vector"]), dtype=float) for v in (q, c)]
+        x, y = (v / np.abs(v).max(axis=1, keepdims=True) for v in given)
         near = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
         k = min(top, len(y))
-        best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        return pd.DataFrame({"query": np.repeat(q["id"].to_numpy(), k), "class": c["id"].to_numpy()[best].ravel(), "near": np.take_along_axis(near, best, 1).ravel()})
+        last = np.partition(near, len(y) - k, axis=1)[:, len(y) - k]
+        low, chosen = c["low"].to_numpy(), []
+        for row, least in enumerate(last - MARGIN):
+            at = np.flatnonzero(near[row] >= least)
+            score = exact(given[0][[row]], given[1][at])
+            order = np.lexsort((low[at], -score))[:k]
+            chosen.append((at[order], score[order]))
+        best = np.concatenate([at for at, _ in chosen])
+        return pd.DataFrame({"query": np.repeat(q["id"].to_numpy(), k), "class": c["id"].to_numpy()[best], "low": low[best], "near": np.concatenate([s for _, s in chosen])})
 
     keys = ["bucket", "bq", "bc"]
-    return dealt(queries, "q", "c").groupBy(*keys).cogroup(dealt(candidates, "c", "q").groupBy(*keys)).applyInPandas(meet, "query bigint, class bigint, near double")
+    return dealt(queries, "q", "c").groupBy(*keys).cogroup(dealt(candidates, "c", "q").groupBy(*keys)).applyInPandas(meet, "query bigint, class bigint, low bigint, near double")
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -155,21 +174,21 @@ def search(vectors: DataFrame, is_query: Column, top: int = TOP, **settings) ->
     size = classes.count()
     hashes = Hashes(n_directions(size), **settings)
 
-    index = hashed(classes.select("id", "vector"), hashes, probing=False).join(classes.select("id", "vector"), "id")
+    index = hashed(classes.select("id", "vector"), hashes, probing=False).join(classes.select("id", "vector", "low"), "id")
     asked = classes.where("asks").select("id", "vector")
     visits = hashed(asked, hashes, probing=True).join(asked, "id")
     spare = top + SPARE
     found = best_of_blocks(cut(visits, "ann-visits"), cut(index, "ann-index"), spare)
-    found = cut(found.groupBy("query", "class").agg(F.max("near").alias("near")), "ann-found")
+    found = cut(found.groupBy("query", "class", "low").agg(F.max("near").alias("near")), "ann-found")
 
     counts = found.groupBy("query").agg(F.count("*").alias("n")).where(F.col("n") >= min(spare, size))
     short = cut(asked.join(counts, asked["id"] == counts["query"], "left_anti"), "ann-short")
     if not short.isEmpty():
         length = F.size("vector").cast("string").alias("bucket")
-        more = best_of_blocks(short.select("id", length, "vector"), classes.select("id", length, "vector"), spare)
-        found = found.union(more.groupBy("query", "class").agg(F.max("near").alias("near"))).distinct()
+        more = best_of_blocks(short.select("id", length, "vector"), classes.select("id", length, "vector", "low"), spare)
+        found = found.union(more.groupBy("query", "class", "low").agg(F.max("near").alias("near"))).distinct()
 
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("near").desc(), "class"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("near").desc(), "low"))
     kept = found.withColumn("r", rank).where(F.col("r") <= spare).select("query", "class").distinct()
     first = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
     members = rows.withColumn("r", first).where(F.col("r") <= top + 1).join(classes.select("id", "vector"), "vector").select(F.col("id").alias("class"), "vec_id", "vector")

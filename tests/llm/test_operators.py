@@ -176,6 +176,21 @@ def test_warc_assembly(spark):
     assert [r["broken"] for r in warc.parse_archive(damaged)] == [True, False]
 
 
+def test_neighbours_of_equal_cosine_by_smaller_id(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(-9, 9, 16).astype(float)
+    # Rescaled copies, ids dealt against the scale; and unit vectors along axes, all at right angles.
+    scaled = [((i * 37) % 61, (base * 2.0 ** (i - 30)).tolist()) for i in range(61)]
+    axes = [(1000 + (i * 11) % 40, np.eye(40)[i].tolist()) for i in range(40)]
+    vectors = spark.createDataFrame(scaled + axes, "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in neighbours.search(vectors, F.lit(True)).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    for ids in ([i for i, _ in scaled], [i for i, _ in axes]):
+        for q in ids:
+            assert [got[q][k][0] for k in range(1, 6)] == [i for i in sorted(ids) if i != q][:5]
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(1500, 16)).astype(float)
