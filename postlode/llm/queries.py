@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, fingerprints, licenses, masked_lm, mixing, near_dedup, neighbours, pii, quality, warc
+from . import bpe, fingerprints, licenses, line_dedup, masked_lm, mixing, near_dedup, neighbours, pii, quality, resampling, warc
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 
@@ -59,6 +59,15 @@ def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
     return pii.report(docs, pii.fit_pii(docs))
 
 
+def op11_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    return resampling.draw(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def op13_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    out = line_dedup.deduplicate(table(spark, sf, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
 
@@ -66,7 +75,7 @@ def pipeline(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_fingerprints, op2_quality, op3_byte_bpe, op4_licenses, op5_near_dedup, op6_warc, op7_neighbours, op8_mixing, op9_masked_lm, op10_pii, pipeline)
+    own = (op1_fingerprints, op2_quality, op3_byte_bpe, op4_licenses, op5_near_dedup, op6_warc, op7_neighbours, op8_mixing, op9_masked_lm, op10_pii, op11_resampling, op13_line_dedup, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -99,6 +108,18 @@ SELECT page_id, payload_bytes,
 FROM d
 """
 
+OP13_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, i, list_extract(l, i) AS line,
+    trim(translate(list_extract(l, i), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents)),
+held AS (SELECT key, min(doc_id) AS first FROM lines WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+marked AS (SELECT doc_id, i, line, coalesce(doc_id > first, false) AS dropped FROM lines LEFT JOIN held USING (key))
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN dropped THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_near_dedup": OP5_SQL, "op6_warc": OP6_SQL}
+    return {"op5_near_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op13_line_dedup": OP13_SQL}
