@@ -106,7 +106,6 @@ def repeated_keys(suspects: DataFrame) -> DataFrame:
     return held.where(F.col("first").isNotNull() & ((F.col("first") != F.col("last")) | (F.col("named") < F.col("n")))).select("key", "first", "n")
 
 
-@F.arrow_udf("struct<kept: binary, n_dropped: bigint>")
 def without(texts: pa.Array, dropped: pa.Array) -> pa.Array:
     """Each text without its lines whose keys are in its list.  On UTF-8 bytes, ``lower`` changes A to Z alone."""
     kept, counts = [], []
@@ -144,7 +143,7 @@ def deduplicate(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     found = lookup(lines, repeated, ["key"], F.col("k1")).where(F.col("first").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("first"))))
     drops = found.groupBy("k1", "k2").agg(F.collect_set(F.col("key").cast("binary")).alias("dropped"))
     cleaned = asked.where(suspect).select("k1", "k2", "doc_id", "text").join(cut(drops, "line-drops"), ["k1", "k2"], "left")
-    cleaned = cleaned.withColumn("out", without(F.col("text").cast("binary"), "dropped"))
+    cleaned = cleaned.withColumn("out", F.arrow_udf(without, "struct<kept: binary, n_dropped: bigint>")(F.col("text").cast("binary"), "dropped"))
     n_lines = F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines")
     cleaned = cleaned.select("doc_id", n_lines, F.col("out.n_dropped"), F.col("out.kept").cast("string").alias("kept"))
     return cleaned.union(asked.where(~suspect).select("doc_id", n_lines, F.lit(0).cast("long"), "text"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, fingerprints, licenses, line_dedup, masked_lm, mixing, near_dedup, neighbours, pii, quality, resampling, warc
+from . import bpe, fingerprints, licenses, line_dedup, masked_lm, mixing, near_dedup, neighbours, pii, quality, resampling, spelling, warc
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 
@@ -63,6 +63,10 @@ def op11_resampling(spark: SparkSession, sf: str) -> DataFrame:
     return resampling.draw(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def op12_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf, "documents"))
+
+
 def op13_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     out = line_dedup.deduplicate(table(spark, sf, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -75,7 +79,7 @@ def pipeline(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_fingerprints, op2_quality, op3_byte_bpe, op4_licenses, op5_near_dedup, op6_warc, op7_neighbours, op8_mixing, op9_masked_lm, op10_pii, op11_resampling, op13_line_dedup, pipeline)
+    own = (op1_fingerprints, op2_quality, op3_byte_bpe, op4_licenses, op5_near_dedup, op6_warc, op7_neighbours, op8_mixing, op9_masked_lm, op10_pii, op11_resampling, op12_spelling, op13_line_dedup, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -108,6 +112,52 @@ SELECT page_id, payload_bytes,
 FROM d
 """
 
+
+def _crc32(text: str) -> str:
+    """SQL of the unsigned crc32 of a string's UTF-8 bytes, with the table built by its rule."""
+    hexed = f"hex(encode({text}))"
+    of_bytes = f"list_transform(range(0, len({hexed}) // 2), lambda j: CAST('0x' || substr({hexed}, CAST(2 * j + 1 AS INT), 2) AS BIGINT))"
+    table_ = ", ".join(map(str, resampling._CRC.tolist()))
+    return f"xor(list_reduce({of_bytes}, lambda c, b: xor(c >> 8, list_extract(CAST([{table_}] AS BIGINT[]), CAST((xor(c, b) & 255) + 1 AS INT))), 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+OP11_SQL = rf"""
+WITH texts AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', NULL, text FROM benchmark),
+words AS (SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+features AS (SELECT side, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM words),
+counted AS (SELECT side, id, f, count(*) AS n FROM features GROUP BY ALL),
+buckets AS (SELECT f, {_crc32('f')} % 10000 AS bucket FROM (SELECT DISTINCT f FROM counted)),
+placed AS (SELECT side, id, bucket, n FROM counted JOIN buckets USING (f)),
+held AS (SELECT bucket, sum(n) FILTER (side = 'd') AS s, sum(n) FILTER (side = 'b') AS t FROM placed GROUP BY bucket),
+gains AS (SELECT bucket, floor(1000 * ln(CAST((coalesce(t, 0) + 1) * (coalesce(sum(s) OVER (), 0) + 10000) AS DOUBLE)
+  / CAST((coalesce(s, 0) + 1) * (coalesce(sum(t) OVER (), 0) + 10000) AS DOUBLE))) AS gain FROM held),
+weights AS (SELECT id, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(sum(n * gain) / sum(n)) AS BIGINT) AS weight FROM placed JOIN gains USING (bucket) WHERE side = 'd' GROUP BY id),
+scored AS (SELECT id AS doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, len(w) >= 20 AS fit,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM words LEFT JOIN weights USING (id) WHERE side = 'd'),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id) AS r, count(*) OVER (PARTITION BY fit) AS total FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND r <= 25 * total // 100 THEN r END AS rank FROM ordered
+"""
+
+OP12_SQL = rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 5 GROUP BY ALL),
+hashed AS (SELECT run, n, {_crc32("doc_id || ':' || run")} AS h FROM counted),
+slipped AS (SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word FROM hashed),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slipped WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cuts AS (SELECT word, i, substr(word, 1, CAST(i - 1 AS INT)) || substr(word, CAST(i + 1 AS INT)) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (
+  SELECT a.word, b.word AS other FROM cuts a JOIN cuts b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT c.word, v.word FROM cuts c JOIN v ON c.rest = v.word
+  UNION SELECT v.word, c.word FROM cuts c JOIN v ON c.rest = v.word),
+best AS (SELECT near.word, count(*) AS n_near, first(o.word ORDER BY o.n DESC, o.word) AS form, max(o.n) AS form_n FROM near JOIN v o ON o.word = near.other GROUP BY near.word),
+forms AS (SELECT v.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * n THEN form END AS form, CASE WHEN form_n >= 2 * n THEN form_n END AS form_n FROM v LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS last FROM forms UNION ALL SELECT walk.word, forms.form FROM walk JOIN forms ON forms.word = walk.last WHERE forms.form IS NOT NULL)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, walk.last AS root FROM forms f JOIN walk USING (word) JOIN forms e ON e.word = walk.last WHERE e.form IS NULL
+"""
+
 OP13_SQL = r"""
 WITH lines AS (
   SELECT doc_id, i, list_extract(l, i) AS line,
@@ -122,4 +172,4 @@ FROM marked GROUP BY doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_near_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op13_line_dedup": OP13_SQL}
+    return {"op5_near_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op11_resampling": OP11_SQL, "op12_spelling": OP12_SQL, "op13_line_dedup": OP13_SQL}
