@@ -17,30 +17,39 @@ one document after all others; a key that stands several times in one document o
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from postlode.operators.skew import lookup
 from postlode.session import cut
 
-from .common import ascii_lower, row_key, whole_text
+from .common import row_key, whole_text
 
 MIN_CHARS = 10
 BITS_PER_KEY = 16
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 28
 PROBES = 3
 SEGMENTS = 64
-BLANKS = " \t\n\x0b\x0c\r"
+BLANKS = b" \t\n\x0b\x0c\r"
 
 
-def line_keys(text: Column, min_chars: int = MIN_CHARS) -> Column:
-    """The distinct keys of a text's lines."""
-    keys = F.transform(F.split(ascii_lower(text), "\n", -1), lambda line: F.btrim(line, F.lit(BLANKS)))
-    return F.array_distinct(F.filter(keys, lambda key: F.char_length(key) >= min_chars))
+def line_keys(text: bytes, min_chars: int) -> list[bytes]:
+    """The distinct keys of a text's lines.  On UTF-8 bytes, ``lower`` changes A to Z alone."""
+    keys = dict.fromkeys(line.strip(BLANKS).lower() for line in text.split(b"\n"))
+    return [key for key in keys if len(key) >= 4 * min_chars or len(key.decode()) >= min_chars]
+
+
+def _hashes(keys: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(hashlib.blake2b(key, digest_size=8).digest() for key in keys), np.int64)
+
+
+def _lists(values: pa.Array, sizes: list[int]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), values)
 
 
 def _positions(hashes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
@@ -107,11 +116,11 @@ def repeated_keys(suspects: DataFrame) -> DataFrame:
 
 
 def without(texts: pa.Array, dropped: pa.Array) -> pa.Array:
-    """Each text without its lines whose keys are in its list.  On UTF-8 bytes, ``lower`` changes A to Z alone."""
+    """Each text without its lines whose keys are in its list."""
     kept, counts = [], []
     for text, keys in zip(texts.to_pylist(), dropped.to_pylist()):
         all_lines, keys = text.split(b"\n"), frozenset(keys or ())
-        left = [line for line in all_lines if line.strip(BLANKS.encode()).lower() not in keys] if keys else all_lines
+        left = [line for line in all_lines if line.strip(BLANKS).lower() not in keys] if keys else all_lines
         kept.append(b"\n".join(left))
         counts.append(len(all_lines) - len(left))
     return pa.StructArray.from_arrays([pa.array(kept, pa.binary()), pa.array(counts, pa.int64())], ["kept", "n_dropped"])
@@ -120,30 +129,34 @@ def without(texts: pa.Array, dropped: pa.Array) -> pa.Array:
 def deduplicate(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, n_lines (before), n_dropped and the ``kept`` text of each row of ``docs``."""
     doc_id, text = F.col("doc_id").cast("long"), whole_text()
-    rows = docs.select(*row_key(doc_id, text), doc_id.alias("doc_id"), text.alias("text"))
-    keys = line_keys(F.col("text"), min_chars)
-    hashes = F.transform(keys, lambda key: F.xxhash64(key))
-    narrow = cut(docs.select(text.alias("text")).select(hashes.alias("hashes")).where(F.size("hashes") > 0), "line-hashes")
+    rows = docs.select(*row_key(doc_id, text), doc_id.alias("doc_id"), text.cast("binary").alias("text"))
+
+    def hashed(texts: pa.Array) -> pa.Array:
+        found = [_hashes(line_keys(t.as_py(), min_chars)) for t in texts]
+        return _lists(pa.array(np.concatenate([np.empty(0, np.int64), *found])), [len(f) for f in found])
+
+    hashes = F.arrow_udf(hashed, "array<bigint>")(text.cast("binary"))
+    narrow = cut(docs.select(hashes.alias("hashes")).where(F.size("hashes") > 0), "line-hashes")
     total = narrow.agg(F.sum(F.size("hashes"))).first()[0] or 0
     bits = min(max(LEAST_BITS, 1 << (total * BITS_PER_KEY).bit_length()), MOST_BITS)
     twice = docs.sparkSession.sparkContext.broadcast(twice_filter(narrow, bits))
 
-    @F.arrow_udf("array<boolean>")
-    def suspected(lists: pa.Array) -> pa.Array:
-        counts = np.diff(np.asarray(lists.offsets))
-        hit = _has(twice.value, lists.flatten().to_numpy(zero_copy_only=False))
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(hit))
+    def suspected(texts: pa.Array) -> pa.Array:
+        keys = [line_keys(t.as_py(), min_chars) for t in texts]
+        hits = iter(_has(twice.value, _hashes([key for of_text in keys for key in of_text])))
+        found = [[key for key, hit in zip(of_text, hits) if hit] for of_text in keys]
+        return _lists(pa.array([key for of_text in found for key in of_text], pa.binary()), [len(f) for f in found])
 
-    asked = rows.withColumn("hits", suspected(hashes))
-    suspect = F.array_contains("hits", True)
-    lines = asked.where(suspect).select("k1", "k2", "doc_id", F.filter(keys, lambda key, i: F.get("hits", i)).alias("keys"))
+    asked = rows.withColumn("keys", F.arrow_udf(suspected, "array<binary>")("text"))
+    suspect = F.size("keys") > 0
+    lines = asked.where(suspect).select("k1", "k2", "doc_id", "keys")
     lines = cut(lines, "line-suspects").withColumn("key", F.explode("keys")).drop("keys")
     repeated = cut(repeated_keys(lines), "line-repeats")
     # A key may stand in most documents: its rows are dealt over copies of its fact.
     found = lookup(lines, repeated, ["key"], F.col("k1")).where(F.col("first").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("first"))))
-    drops = found.groupBy("k1", "k2").agg(F.collect_set(F.col("key").cast("binary")).alias("dropped"))
+    drops = found.groupBy("k1", "k2").agg(F.collect_set("key").alias("dropped"))
     cleaned = asked.where(suspect).select("k1", "k2", "doc_id", "text").join(cut(drops, "line-drops"), ["k1", "k2"], "left")
-    cleaned = cleaned.withColumn("out", F.arrow_udf(without, "struct<kept: binary, n_dropped: bigint>")(F.col("text").cast("binary"), "dropped"))
-    n_lines = F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines")
+    cleaned = cleaned.withColumn("out", F.arrow_udf(without, "struct<kept: binary, n_dropped: bigint>")("text", "dropped"))
+    n_lines = F.size(F.split(F.col("text").cast("string"), "\n", -1)).cast("long").alias("n_lines")
     cleaned = cleaned.select("doc_id", n_lines, F.col("out.n_dropped"), F.col("out.kept").cast("string").alias("kept"))
-    return cleaned.union(asked.where(~suspect).select("doc_id", n_lines, F.lit(0).cast("long"), "text"))
+    return cleaned.union(asked.where(~suspect).select("doc_id", n_lines, F.lit(0).cast("long"), F.col("text").cast("string")))
