@@ -182,12 +182,31 @@ def _attr_condition(attr: str, value: str) -> str:
     return rf"""[a-z][a-z0-9]*\b[^>]*?[\s"'/]{attr}\s*=\s*["']?{value}["']?"""
 
 
+@lru_cache(maxsize=4)
+def _drop_lambda(names: str) -> str:
+    """A fold over the markup cut before every opening or closing tag of the named elements.
+
+    ``open`` holds the names of the elements that are open, the innermost first.  A closing tag ends the innermost element
+    of its name and whatever is open inside it; without such an element it is passed over.
+    """
+    tag = f"(?i)(?=</?(?:{names})(?![\\w-]))"
+    name = f"lower(regexp_extract(p, {sql_text(f'(?i)^</?({names})(?![' + chr(92) + 'w-])')}, 1))"
+    after = f"regexp_replace(p, {sql_text(r'(?s)' + chr(92) + 'A</?[a-zA-Z]+' + _REST)}, '')"
+    closed = "slice(acc.open, array_position(acc.open, n) + 1, size(acc.open))"
+    alone = f"p rlike {sql_text(r'(?s)' + chr(92) + 'A<[^>]*/>')}"
+    step = f"""CASE
+        WHEN n = '' THEN named_struct('open', acc.open, 'kept', concat(acc.kept, CASE WHEN size(acc.open) = 0 THEN array(p) ELSE array() END))
+        WHEN startswith(p, '</') OR {alone} THEN transform(array(CASE WHEN startswith(p, '</') AND array_contains(acc.open, n) THEN {closed} ELSE acc.open END), left ->
+          named_struct('open', left, 'kept', concat(acc.kept, CASE WHEN size(left) = 0 THEN array({after}) ELSE array() END)))[0]
+        ELSE named_struct('open', concat(array(n), acc.open), 'kept', acc.kept) END"""
+    zero = "named_struct('open', cast(array() AS array<string>), 'kept', cast(array() AS array<string>))"
+    fold = f"aggregate(pieces, {zero}, (acc, p) -> transform(array({name}), n -> {step})[0], acc -> array_join(acc.kept, ''))"
+    return f"v -> transform(array(split(v, {sql_text(tag)})), pieces -> CASE WHEN size(pieces) = 1 THEN v ELSE {fold} END)[0]"
+
+
 def drop_elements(value: Column, names: list[str]) -> Column:
-    """Remove whole elements, innermost first, so that three nested levels of one name go as well."""
-    pattern = rf"(?is)<({'|'.join(names)})(?![\w-])[^>]*>(?:(?!</?\1(?![\w-])).)*+</\1\s*>"
-    for _ in range(3):
-        value = F.regexp_replace(value, pattern, "")
-    return value
+    """Remove whole elements at any depth; one that is never closed runs to the end of its parent among them, or of the page."""
+    return apply_sql(value, _drop_lambda("|".join(names)))
 
 
 def json_ld(page: Column) -> Column:

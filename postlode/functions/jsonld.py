@@ -1,7 +1,8 @@
 """Reading schema.org values whose members may be text, numbers, objects or lists.
 
-Values are VARIANT columns, so a text that happens to start with a bracket is never mistaken for a list.
-Recursion is unrolled to ``DEPTH`` levels; each level opens the lists and objects left by the one before.
+Values are VARIANT columns, so a text that happens to start with a bracket is never mistaken for a list.  Nested lists and
+objects are opened level by level inside the row, in a fold that goes on until nothing is left to open: a value costs as
+many levels as it has, and there is no deepest one.
 """
 
 from __future__ import annotations
@@ -14,9 +15,6 @@ from .. import rules
 from .core import WS, apply_sql, let, sql_text
 from .salary import salary_text
 
-DEPTH = 5
-_EMPTY = ["", "0", "0.0", "false", "null", "{}", "[]"]
-
 
 def kind(value: Column) -> Column:
     """``STRING``, ``ARRAY``, ``OBJECT``, ``BOOLEAN``, ``VOID`` or a numeric type; NULL for a missing member."""
@@ -32,32 +30,53 @@ def elements(value: Column) -> Column:
 
 
 def filled(value: Column) -> Column:
-    """The value unless it is missing, empty, zero or false."""
-    return F.when(~F.coalesce(value.cast("string"), F.lit("")).isin(_EMPTY), value)
+    """The value unless it is missing, empty, zero or false; a text is empty only if it has no characters."""
+    return F.when(apply_sql(value, f"f -> {_filled_sql('f')}"), value)
 
 
 def _kind_sql(v: str) -> str:
     return f"regexp_extract(schema_of_variant({v}), '^([A-Z]+)', 1)"
 
 
+def _filled_sql(v: str) -> str:
+    return f"""CASE WHEN {v} IS NULL THEN false ELSE CASE {_kind_sql(v)} WHEN 'STRING' THEN cast({v} AS string) <> ''
+        WHEN 'VOID' THEN false WHEN 'BOOLEAN' THEN cast({v} AS boolean) WHEN 'OBJECT' THEN schema_of_variant({v}) <> 'OBJECT<>'
+        WHEN 'ARRAY' THEN size(try_variant_get({v}, '$', 'array<variant>')) > 0
+        ELSE coalesce(try_cast({v} AS double) <> 0, true) END END"""
+
+
+def _until_closed(first: str, levels: str, step: str, is_open: str) -> str:
+    """SQL of a fold that rewrites the items ``first`` by ``step`` (of ``x``) as long as one of them ``is_open`` (of ``x``).
+
+    ``levels`` is any number at least as large as the levels there are; rounds after the last one change nothing.
+    """
+    opened = f"flatten(transform(acc.items, x -> {step}))"
+    return f"""aggregate(sequence(1, {levels}), named_struct('items', {first}, 'open', exists({first}, x -> {is_open})),
+        (acc, i) -> CASE WHEN acc.open THEN transform(array({opened}), o -> named_struct('items', o, 'open', exists(o, x -> {is_open})))[0]
+          ELSE acc END, acc -> acc.items)"""
+
+
+def _levels_sql(text: str) -> str:
+    """Brackets in a JSON text: at least as many as its deepest nesting."""
+    return f"(1 + length({text}) - length(translate({text}, '[{{', '')))"
+
+
 @lru_cache(maxsize=1)
 def _as_text_lambda() -> str:
-    """Open lists and objects ``DEPTH`` times, then join the scalars.
+    """Open lists and objects until none is left, then join the scalars.
 
     A list opens into its items, an object into the first filled one of its naming members.
     """
     members = [f"try_variant_get(x, '$[\"{k}\"]', 'variant')" for k in rules.TEXT_KEYS]
-    empty = ", ".join(sql_text(e) for e in _EMPTY)
-    filled = ", ".join(f"CASE WHEN coalesce(cast({m} AS string), '') NOT IN ({empty}) THEN {m} END" for m in members)
-    opened = f"""x -> CASE {_kind_sql("x")} WHEN 'ARRAY' THEN try_variant_get(x, '$', 'array<variant>')
-        WHEN 'OBJECT' THEN array_compact(array(coalesce({filled}))) ELSE array(x) END"""
-    scalar = f"""CASE WHEN y IS NULL OR {_kind_sql("y")} IN ('VOID', 'ARRAY', 'OBJECT') THEN ''
+    first = ", ".join(f"transform(array({m}), f -> CASE WHEN {_filled_sql('f')} THEN f END)[0]" for m in members)
+    step = f"""CASE {_kind_sql("x")} WHEN 'ARRAY' THEN try_variant_get(x, '$', 'array<variant>')
+        WHEN 'OBJECT' THEN array_compact(array(coalesce({first}))) ELSE array(x) END"""
+    is_open = f"coalesce({_kind_sql('x')} IN ('ARRAY', 'OBJECT'), false)"
+    scalar = f"""CASE WHEN y IS NULL OR {_kind_sql("y")} = 'VOID' THEN ''
         WHEN {_kind_sql("y")} = 'BOOLEAN' THEN initcap(cast(y AS string))
         ELSE regexp_replace(coalesce(try_cast(y AS string), ''), {sql_text(rf"(?U)^[{WS}]+|[{WS}]+" + chr(92) + "z")}, '') END"""
-    items = "array(v)"
-    for _ in range(DEPTH):
-        items = f"flatten(transform({items}, {opened}))"
-    return f"v -> array_join(filter(transform({items}, y -> {scalar}), t -> t <> ''), '; ')"
+    levels = f"CASE WHEN coalesce({_kind_sql('v')} IN ('ARRAY', 'OBJECT'), false) THEN {_levels_sql('cast(v AS string)')} ELSE 1 END"
+    return f"v -> array_join(filter(transform({_until_closed('array(v)', levels, step, is_open)}, y -> {scalar}), t -> t <> ''), '; ')"
 
 
 def as_text(value: Column) -> Column:
@@ -122,26 +141,28 @@ def is_posting(value: Column) -> Column:
     )
 
 
-def objects(document: Column) -> Column:
-    """Every object reached from a document through lists and ``@graph`` members, in document order."""
-    held = F.array(F.struct(document.alias("v"), F.lit(False).alias("done")))
-
-    def step(item: Column) -> Column:
-        v = item["v"]
-        pending = lambda x: F.struct(x.alias("v"), F.lit(False).alias("done"))
-        here = F.array(F.struct(v.alias("v"), F.lit(True).alias("done")))
-        graph = member(v, "@graph")
-        nested = F.when(graph.isNotNull(), F.array(pending(graph))).otherwise(
-            F.array().cast("array<struct<v:variant,done:boolean>>")
-        )
-        k = kind(v)
-        return (
-            F.when(item["done"], F.array(item))
-            .when(k == "ARRAY", F.transform(elements(v), pending))
-            .when(k == "OBJECT", F.concat(here, nested))
-            .otherwise(F.array().cast("array<struct<v:variant,done:boolean>>"))
-        )
-
-    for _ in range(2 * DEPTH):
-        held = F.flatten(F.transform(held, step))
-    return F.transform(F.filter(held, lambda i: i["done"]), lambda i: i["v"])
+@lru_cache(maxsize=1)
+def _objects_lambda() -> str:
+    """Items are values still to be opened or objects already met, which stay where they are in document order."""
+    def item(v: str, met: bool) -> str:
+        return f"named_struct('v', {v}, 'met', {str(met).lower()})"
+
+    graph = "try_variant_get(x.v, '$[\"@graph\"]', 'variant')"
+    none = f"filter(array({item('x.v', True)}), f -> false)"
+    step = f"""CASE WHEN x.met THEN array(x) ELSE CASE {_kind_sql("x.v")}
+        WHEN 'ARRAY' THEN transform(try_variant_get(x.v, '$', 'array<variant>'), e -> {item('e', False)})
+        WHEN 'OBJECT' THEN CASE WHEN {graph} IS NULL THEN array({item('x.v', True)})
+          ELSE array({item('x.v', True)}, {item(graph, False)}) END
+        ELSE {none} END END"""
+    items = _until_closed(f"array({item('d.doc', False)})", _levels_sql("d.text"), step, "NOT x.met")
+    return f"d -> transform(filter({items}, o -> o.met), o -> o.v)"
+
+
+def objects(text: Column) -> Column:
+    """Every object reached from a JSON text through lists and ``@graph`` members, in document order."""
+    return apply_sql(F.struct(text.alias("text"), F.try_parse_json(text).alias("doc")), _objects_lambda())
+
+
+def let_last_key_win(spark) -> None:
+    """Read an object with a repeated key by its last value, instead of giving up on the whole text."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")

@@ -74,27 +74,27 @@ def discover_boards(pages: DataFrame) -> DataFrame:
     return found.select("page_id", "b.source", "b.provider", "b.board", F.col("b.url").alias("board_url"))
 
 
-def has_jsonld(page: Column) -> Column:
-    """Does the page carry a schema.org posting?"""
-    postings = F.exists(
-        F.filter(H.json_ld(page), lambda s: s.contains("JobPosting")),
-        lambda s: F.exists(J.objects(F.try_parse_json(s)), J.is_posting),
-    )
-    return F.when(page.contains("ld+json") & page.contains("JobPosting"), F.coalesce(postings, F.lit(False))).otherwise(False)
+def page_index(pages: DataFrame) -> DataFrame:
+    """``url, page_id, is_html`` of the landed pages that were answered, one row per URL; no markup is read."""
+    kind = F.col("content_type") if "content_type" in pages.columns else F.lit(None).cast("string")
+    status = F.col("status") if "status" in pages.columns else F.lit(200)
+    answered = pages.where((F.coalesce(status, F.lit(200)) < 400) & F.col("page_id").isNotNull())
+    rows = answered.select("url", "page_id", F.coalesce(kind.contains("html"), F.lit(True)).alias("is_html"))
+    return distinct_first(rows, ["url"], "page_id")
 
 
 def page_outline(pages: DataFrame, pattern: str = rules.JOB_LINK, limit: int = rules.LINKS_PER_PAGE) -> DataFrame:
-    """What a crawl needs to know of each page, without its markup; one row per URL."""
-    kind = F.col("content_type") if "content_type" in pages.columns else F.lit(None).cast("string")
-    status = F.col("status") if "status" in pages.columns else F.lit(200)
-    out = pages.where(F.coalesce(status, F.lit(200)) < 400).select(
-        "url", "page_id",
-        F.coalesce(kind.contains("html"), F.lit(True)).alias("is_html"),
-        has_jsonld(F.col("html")).alias("has_postings"),
+    """What a crawl needs to know of each page, without its markup: postings, boards and links."""
+    J.let_last_key_win(pages.sparkSession)
+    scripts = F.filter(H.json_ld(F.col("html")), lambda s: s.contains("JobPosting"))
+    postings = F.exists(scripts, lambda s: F.exists(J.objects(s), J.is_posting))
+    likely = F.col("html").contains("ld+json") & F.col("html").contains("JobPosting")
+    return pages.select(
+        "page_id",
+        F.when(likely, F.coalesce(postings, F.lit(False))).otherwise(False).alias("has_postings"),
         board_links(F.col("html"), F.col("url")).alias("boards"),
         job_links(F.col("html"), F.col("url"), pattern, limit).alias("links"),
     )
-    return distinct_first(out, ["url"], "page_id").drop("page_id")
 
 
 def page_role(depth: Column, has_postings: Column, new_links: Column, boards_so_far: Column,
@@ -122,10 +122,11 @@ def crawl(pages: DataFrame, seeds: DataFrame, robots: DataFrame | None = None, a
     present in ``pages``, permitted by ``robots`` and within ``max_pages`` per site.  Blocked and missing pages do
     not use up the budget; pages that are not HTML do, and have no role.
 
-    One round per depth.  The markup is read once, into a narrow stored outline; the rounds join that.  A site
-    brings at most ``max_pages * limit`` links into a round, so the per-site windows stay small.
+    One round per depth.  A round looks its URLs up in a narrow index of the landed pages, spends the budget, and only
+    then reads markup: that of the pages it visits, each once however many sites ask for it.  A site brings at most
+    ``max_pages * limit`` links into a round, so the per-site windows stay small.
     """
-    outline = cut(page_outline(pages, pattern, limit), "outline")
+    index = cut(page_index(pages), "page-index")
     frontier = seeds.select("site", "url", F.lit(0).alias("parent_rank"), F.col("pos"))
     levels: list[DataFrame] = []
     roles: list[DataFrame] = []
@@ -139,10 +140,10 @@ def crawl(pages: DataFrame, seeds: DataFrame, robots: DataFrame | None = None, a
             queue = robots_verdicts(queue, robots, agent)
         else:
             queue = queue.withColumn("allowed", F.lit(True))
-        # A round's queue is small beside the outline.  Stored, its size is known, so Spark can send it to the
-        # outline instead of moving the outline; only the pages asked for come back.
+        # A round's queue is small beside the index.  Stored, its size is known, so Spark can send it to the
+        # index instead of moving the index; only the pages asked for come back.
         queue = cut(queue, "crawl-queue")
-        asked = outline.join(queue.select("url").distinct(), "url", "left_semi")
+        asked = index.join(queue.select("url").distinct(), "url", "left_semi")
         found = queue.join(asked, "url", "left")
         read = F.col("allowed") & F.col("is_html").isNotNull()
         found = found.withColumns({
@@ -156,11 +157,12 @@ def crawl(pages: DataFrame, seeds: DataFrame, robots: DataFrame | None = None, a
         else:
             found = found.withColumn("used", F.lit(0))
         popped = found.where(F.coalesce("used", F.lit(0)) + F.col("before") < max_pages)
-        level = cut(
-            popped.select("site", F.lit(depth).alias("depth"), "rank", "url", "fetched", "is_html", "has_postings",
-                          "boards", "links"),
-            "crawl-level",
+        popped = cut(
+            popped.select("site", F.lit(depth).alias("depth"), "rank", "url", "page_id", "fetched", "is_html"), "crawl-popped"
         )
+        wanted = popped.where("fetched AND is_html").select("page_id").distinct()
+        outline = page_outline(pages.join(wanted, "page_id", "left_semi"), pattern, limit)
+        level = cut(popped.join(outline, "page_id", "left").drop("page_id"), "crawl-level")
         levels.append(level)
         visited = reduce(DataFrame.unionByName, levels).select(
             "site", F.col("url").alias("link"), F.struct("depth", "rank").alias("visited_at")
@@ -200,6 +202,12 @@ def crawl_boards(visits: DataFrame) -> DataFrame:
     return distinct_first(rows, ["site", "source"], ["depth", "rank", "pos"])
 
 
+def board_places(visits: DataFrame) -> DataFrame:
+    """Where a crawl ran into each board: ``site, page_no, board_no`` beside ``source, provider, board``."""
+    page_no = page_number(F.col("depth"), F.col("rank"))
+    return crawl_boards(visits).select("site", page_no.alias("page_no"), F.col("pos").alias("board_no"), "source", "provider", "board")
+
+
 def board_payloads(visits: DataFrame, raw: DataFrame) -> DataFrame:
     """Landed payloads of the boards a crawl ran into, detail documents included."""
     wanted = crawl_boards(visits).select("provider", "board").distinct()
@@ -208,9 +216,14 @@ def board_payloads(visits: DataFrame, raw: DataFrame) -> DataFrame:
     return raw.join(cut(wanted.unionByName(details), "boards"), ["provider", "board"], "left_semi")
 
 
+def page_number(depth: Column, rank: Column) -> Column:
+    """The place of a visited page within its site's crawl; a round visits far fewer than a billion pages of one site."""
+    return depth * F.lit(1_000_000_000).cast("bigint") + rank
+
+
 def crawl_postings(pages: DataFrame, visits: DataFrame) -> DataFrame:
     """Postings on the crawled pages: structured data where present, else the page itself."""
-    order = F.col("depth") * 1_000_000_000 + F.col("rank")
+    order = page_number(F.col("depth"), F.col("rank"))
     wanted = visits.where("role IN ('postings', 'page')").select("site", "url", "role", order.alias("page_no"))
     landed = pages.select("url", "page_id").join(wanted.select("url").distinct(), "url", "left_semi")
     # Stored for its size: the list of chosen pages goes to the markup if it is short enough.

@@ -77,6 +77,10 @@ def search_postings(postings: DataFrame, spec: SearchSpec, order_by: str = "seq"
     Duplicates go first: a posting that fails the filter still suppresses its duplicates.  Enrichment then runs
     on the survivors only, and columns that the output does not need are pruned from it.
     """
-    unique = dedupe_postings(postings, order_by)
-    found = enrich(unique, spec.today, spec.summary_chars).where(postings_filter(spec))
+    found = filtered_postings(postings, spec, order_by)
     return project_postings(first_matches(found, spec.limit, order_by), spec.include_description)
+
+
+def filtered_postings(postings: DataFrame, spec: SearchSpec, order_by: str = "seq") -> DataFrame:
+    """What a search finds, with all columns and the order it is in."""
+    return enrich(dedupe_postings(postings, order_by), spec.today, spec.summary_chars).where(postings_filter(spec))

@@ -45,6 +45,8 @@ SOURCES = [
     ("linkedin", "linkedin.com", False),
 ]
 SITE_PRESETS = {"ninjajobs": ["https://ninjajobs.org/jobs", "https://ninjajobs.org/"]}
+LINKEDIN_SEARCH = "https://www.linkedin.com/jobs-guest/jobs/api/seeMoreJobPostings/search"
+LINKEDIN_DETAIL = "https://www.linkedin.com/jobs-guest/jobs/api/jobPosting/"
 CAREER_PATHS = ["/", "/careers", "/jobs"]
 
 # Limits.

@@ -74,6 +74,9 @@ def select_sources(raw: DataFrame, names: list[str] | None = None, boards_of: di
     wanted: list[tuple[str, str | None]] = []
     if names or not boards_of:
         wanted += [(n, None) for n in resolve_names(names or [])]
+    paged = [n for n, _ in wanted if n not in _NORMALIZERS]
+    if paged:
+        raise ValueError(f"Read from pages, not from payloads: {', '.join(paged)}; give them to plans.sites.search_sites")
     for provider in ("greenhouse", "lever", "workday"):
         wanted += [(provider, b) for b in dict.fromkeys((boards_of or {}).get(provider, []))]
     rank = F.lit(None).cast("int")

@@ -25,16 +25,12 @@ def _page_source(pages: DataFrame) -> Column:
 
 def jsonld_objects(pages: DataFrame) -> DataFrame:
     """One row per JSON-LD posting object: all page columns but the markup, plus ``item_pos`` and ``obj``."""
+    J.let_last_key_win(pages.sparkSession)
     kept = [c for c in pages.columns if c != "html"]
-    scripts = unnest(
-        pages.where(F.col("html").contains("ld+json")), kept, H.json_ld(F.col("html")), "script", "script_pos"
-    ).where(F.col("script").contains("JobPosting"))
-    parsed = scripts.select(*kept, "script_pos", F.try_parse_json("script").alias("doc"))
-    found = unnest(parsed, [*kept, "script_pos"], J.objects(F.col("doc")), "obj", "obj_pos")
-    # Positions inside one page: scripts first, then objects; a script never holds a million objects.
-    return found.where(J.is_posting(F.col("obj"))).withColumn(
-        "item_pos", F.col("script_pos") * 1_000_000 + F.col("obj_pos")
-    ).drop("script_pos", "obj_pos")
+    scripts = F.filter(H.json_ld(F.col("html")), lambda s: s.contains("JobPosting"))
+    # All objects of a page stand in one array, scripts first, so their positions count through.
+    found = unnest(pages.where(F.col("html").contains("ld+json")), kept, F.flatten(F.transform(scripts, J.objects)), "obj", "item_pos")
+    return found.where(J.is_posting(F.col("obj")))
 
 
 def normalize_jsonld(pages: DataFrame) -> DataFrame:
@@ -286,11 +282,18 @@ def linkedin_details(pages: DataFrame) -> DataFrame:
     )
 
 
+def linkedin_landed(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The result pages and the detail pages among landed pages, told apart by their address."""
+    return pages.where(F.col("url").startswith(rules.LINKEDIN_SEARCH)), pages.where(F.col("url").startswith(rules.LINKEDIN_DETAIL))
+
+
 def normalize_linkedin(results: DataFrame, details: DataFrame, remote_only: bool = False,
                        include_hybrid: bool = False) -> DataFrame:
     """Cards left-joined to their detail pages; a search for remote jobs alone marks every card Remote."""
     cards = linkedin_cards(results).withColumn("job_id", F.nullif("job_id", F.lit("")))
-    rows = cards.join(linkedin_details(details), "job_id", "left")
+    # A card without an id has no details.  Its own address keeps it out of the way: such cards spread over all tasks.
+    cards = cards.withColumn("_key", F.coalesce("job_id", F.concat(F.lit("\x00"), "card_url"))).drop("job_id")
+    rows = cards.join(linkedin_details(details).withColumnRenamed("job_id", "_key"), "_key", "left")
     page_no = F.col("request_no") if "request_no" in rows.columns else F.col("page_id")
     return as_postings(
         rows, sequence_of(_rank(rows), F.lit(""), page_no, F.col("item_pos")),

@@ -6,7 +6,7 @@ consumed character (``L`` before, ``R`` after) that is no letter, digit or under
 
 from __future__ import annotations
 
-from .views import AS_OF, MANY_SITE_PAGES, MORE_LINKS, POSTINGS, SITE_PAGES
+from .views import AS_OF, BOARD_SITE_PAGES, BROKEN_BOARD, BROKEN_FROM, FIRST_SITE, MANY_SITE_PAGES, MORE_LINKS, POSTINGS, SITE_PAGES
 
 L = r"(?:^|[^\p{L}\p{N}_])"
 R = r"(?:$|[^\p{L}\p{N}_])"
@@ -335,7 +335,7 @@ ROBOTS = f"""
 VISITS = "SELECT site, CAST(depth AS BIGINT) AS depth, rank, url, role FROM visits"
 
 
-def crawl(final: str = VISITS, pages: str = SITE_PAGES, more: tuple[int, ...] = (), start: str = "", budget: int = 8) -> str:
+def crawl(final: str = VISITS, pages: str = SITE_PAGES, more: tuple[int, ...] = (), start: str = "", budget: int = 8, lost: bool = True) -> str:
     """Three unrolled levels over the link formula of the site pages; ``budget`` pages per site."""
     link = lambda pos, dst, cond: f"SELECT page_id, origin, {pos} AS pos, {dst} AS dst FROM s WHERE {cond}"
     added = "".join(f" UNION ALL {link(6 + i, f'page_id + {n}', 'page_id % 6 < 4')}" for i, n in enumerate(more))
@@ -346,7 +346,7 @@ def crawl(final: str = VISITS, pages: str = SITE_PAGES, more: tuple[int, ...] =
     link AS (SELECT origin AS site, origin || '/jobs/' || CAST(page_id AS VARCHAR) AS url, origin || '/jobs/' || CAST(dst AS VARCHAR) AS dst, pos FROM one),
     page AS (SELECT url, page_id % 4 = 1 AS structured FROM s),
     o AS (SELECT origin, min(page_id) AS p FROM s{start} GROUP BY origin),
-    f0 AS (SELECT origin AS site, origin || '/jobs/none' AS url, 0 AS pr, 0 AS pos FROM o UNION ALL
+    f0 AS (SELECT origin AS site, origin || '/jobs/none' AS url, 0 AS pr, 0 AS pos FROM o WHERE {lost} UNION ALL
       SELECT origin, origin || '/jobs/' || CAST(p AS VARCHAR), 0, 1 FROM o)"""
     none = "SELECT CAST(NULL AS VARCHAR) AS site, CAST(NULL AS VARCHAR) AS url, 0 AS depth, 0 AS rank, false AS got WHERE false"
     seen = none
@@ -384,6 +384,43 @@ def html_postings(source: str) -> str:
         {page_text('body', True)} AS description FROM (SELECT *, {ARTICLE} AS body FROM {source})) WHERE length(description) >= 100 AND full_title <> ''"""
 
 
+def site_list(final: str) -> str:
+    """Every posting of the list of sites with its place, as ``placed``."""
+    page_no = "v.depth * 1000000000 + v.rank"
+    site_pos = f"{FIRST_SITE} + CAST(regexp_extract(v.site, 'site([0-9]+)', 1) AS BIGINT)"
+    source = "replace(v.site, 'https://', '')"
+
+    def board(kind: str, name: str, of: int, title: str, url: str) -> str:
+        token = f"'{name}' || CAST((posting_id // 10) % {of} AS VARCHAR)"
+        return f"""SELECT '{kind}:' || {token} AS source, {token} AS board, '{title} ' || CAST(posting_id AS VARCHAR) AS title, {url.format(token)} || CAST(posting_id AS VARCHAR) AS url,
+          posting_id // 10 AS request_no, CAST(row_number() OVER (PARTITION BY posting_id // 10 ORDER BY posting_id) - 1 AS INT) AS item_pos, {DESC} AS description FROM p"""
+
+    def linked(kind: str, name: str, of: int, board_no: int) -> str:
+        return f"""SELECT {site_pos}, {page_no}, {board_no}, '{kind}:{name}' || CAST(s.page_id % {of} AS VARCHAR) FROM visits v JOIN s ON s.url = v.url WHERE v.depth = 0 AND v.role <> 'postings'"""
+
+    rest = f"""
+    , p AS ({POSTINGS}),
+    hosted AS ({board('greenhouse', 'co', 7, 'Green', "'https://boards.greenhouse.io/' || {} || '/jobs/'")} UNION ALL {board('lever', 'lv', 3, 'Lever', "'https://jobs.lever.co/' || {} || '/'")}),
+    boards(site_pos, page_no, board_no, source) AS (SELECT 1, 0, 0, 'greenhouse:co3' UNION ALL {linked('greenhouse', 'co', 7, 0)} UNION ALL {linked('lever', 'lv', 3, 1)}),
+    failed AS (SELECT site_pos, min(page_no) AS failed_page, min(board_no) AS failed_board, min(request_no) AS failed_request FROM boards JOIN hosted USING (source)
+      WHERE board = '{BROKEN_BOARD}' AND request_no >= {BROKEN_FROM} GROUP BY site_pos),
+    met AS (
+      SELECT site_pos, page_no, board_no, request_no, item_pos, title, url, source, description FROM boards JOIN hosted USING (source) WHERE NOT (board = '{BROKEN_BOARD}' AND request_no >= {BROKEN_FROM})
+      UNION ALL SELECT 3, 0, 0, page_id + 1000000000, 0, 'Guest security role ' || CAST(page_id AS VARCHAR), 'https://www.linkedin.com/jobs/view/70000' || CAST(page_id AS VARCHAR) || '/', 'linkedin', '' FROM s WHERE page_id % 10 = 0
+      UNION ALL SELECT {site_pos}, {page_no}, -1, 0, 2, 'Job ' || CAST(s.page_id AS VARCHAR), v.url, {source}, '' FROM visits v JOIN s ON s.url = v.url WHERE role = 'postings'
+      UNION ALL SELECT {site_pos}, {page_no}, -1, 0, 0, title, h.url, {source}, description FROM visits v JOIN ({html_postings('s')}) h ON h.url = v.url WHERE role = 'page'),
+    placed AS (SELECT met.* FROM met LEFT JOIN failed USING (site_pos) WHERE failed_page IS NULL OR (page_no, board_no, request_no) < (failed_page, failed_board, failed_request))"""
+    pages = dict(pages=BOARD_SITE_PAGES, more=MORE_LINKS, start=" WHERE page_id % 4 <> 1", budget=25, lost=False)
+    return crawl(f"{rest} {final}", **pages)
+
+
+def site_found() -> str:
+    """What a search for "security" keeps of them: each URL at its first place, with what is mined from its text."""
+    texts = f"""SELECT row_number() OVER (ORDER BY site_pos, page_no, board_no, request_no, item_pos) AS posting_id, '' AS location, []::VARCHAR[] AS tags, *
+      FROM (SELECT *, row_number() OVER (PARTITION BY lower(rtrim(url, '/')) ORDER BY site_pos, page_no, board_no, request_no, item_pos) AS copy FROM placed) WHERE copy = 1"""
+    return f", u AS (SELECT * FROM ({texts}) WHERE {any_term(SEARCH_TEXT, ['security'])}), {summary('u')}, {requirements('u')}"
+
+
 def where(condition: str) -> str:
     return f"{WITH} SELECT posting_id, title FROM (SELECT *, {POSTED_ON} AS posted_on FROM p) WHERE {condition}"
 
@@ -501,6 +538,11 @@ def oracle_sql() -> dict[str, str]:
           UNION ALL SELECT page_id, 'lever:beta', 'lever', 'beta', regexp_extract(url, '^([a-z]+:)', 1) || '//jobs.lever.co/beta/9?x=1' FROM pages)""",
         "route_urls": "SELECT page_id, " + ", ".join(f"{v} AS {k}" for k, v in route_cols.items()) + " FROM pages",
         "robots_filter": f"WITH {ROBOTS} SELECT page_id, url FROM verdict WHERE ok",
+        "site_places": site_list("SELECT * FROM placed"),
+        "site_search": site_list(f"""{site_found()} SELECT site_pos, page_no, board_no, request_no, item_pos, title, url, source, remote, summary, requirements
+          FROM ({remote('u')}) JOIN sums USING (posting_id) JOIN reqs USING (posting_id)"""),
+        "site_search_first": site_list(f"""{site_found()} SELECT title, url, source, summary FROM u JOIN sums USING (posting_id)
+          ORDER BY site_pos, page_no, board_no, request_no, item_pos LIMIT 200"""),
         "crawl_reachable": crawl(),
         "crawl_postings": crawl(crawled),
         "crawl_many_sites": crawl(**many),

@@ -17,14 +17,15 @@ from postlode.operators import crawl as C, filters as P, robots as R
 from postlode.operators.dedupe import dedupe_postings
 from postlode.operators.distinct import distinct_first
 from postlode.operators.enrich import enrich
-from postlode.plans.search import SearchSpec, first_matches, postings_filter, search_postings
+from postlode.plans.sites import search_sites, site_postings
+from postlode.plans.search import SearchSpec, filtered_postings, first_matches, postings_filter, search_postings
 from postlode.session import shared_dir
 from postlode.sinks.write import cap_cells, to_sheet_rows
 from postlode.sources import boards as B, raw as L, registry as G, web as W
 from postlode.sources.postings import as_postings, sequence_of, union_sources
 from postlode.streaming.ingest import stream_postings
 
-from .views import AS_OF, MANY_SITE_PAGES, POSTINGS, SITE_PAGES
+from .views import AS_OF, BOARD_SITE_PAGES, BROKEN_BOARD, BROKEN_FROM, FIRST_SITE, FIXED_SITES, MANY_SITE_PAGES, POSTINGS, SITE_PAGES
 
 SPEC = dict(as_of=date.fromisoformat(AS_OF))
 PAGE_LINKS = r"/[A-Za-z]"
@@ -496,6 +497,54 @@ def crawl_many_sites_found(spark, sf):
     return C.crawl_postings(pages, C.crawl(pages, many_site_seeds(spark, sf))).select("title", "company", "url", "source", "description")
 
 
+def _site_list(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Landed pages, landed payloads and the list of sites of a search over sites."""
+    crawled = view(spark, sf, BOARD_SITE_PAGES, "pages")
+    p = F.col("page_id").cast("string")
+    guest = crawled.where("page_id % 10 = 0").select(
+        (F.col("page_id") + 1_000_000_000).alias("page_id"), F.concat(F.lit(rules.LINKEDIN_SEARCH + "?start="), p).alias("url"),
+        F.concat(F.lit('<div class="base-card" data-entity-urn="urn:li:jobPosting:70000'), p, F.lit('"><h3 class="base-search-card__title">Guest security role '), p, F.lit("</h3></div>")).alias("html"),
+    )
+    content = H.html_escape(_markup(F.col("description")))
+    ids, request = F.col("posting_id").cast("string"), F.floor(F.col("posting_id") / 10)
+    green_board, lever_board = F.concat(F.lit("co"), (request % 7).cast("string")), F.concat(F.lit("lv"), (request % 3).cast("string"))
+    green = F.struct(F.concat(F.lit("Green "), ids).alias("title"), F.concat(F.lit("https://boards.greenhouse.io/"), green_board, F.lit("/jobs/"), ids).alias("absolute_url"), content.alias("content"))
+    lever_ = F.struct(F.concat(F.lit("Lever "), ids).alias("text"), F.concat(F.lit("https://jobs.lever.co/"), lever_board, F.lit("/"), ids).alias("hostedUrl"), _markup(F.col("description")).alias("description"))
+    raw = _payloads(spark, sf, "greenhouse", green, lambda x: F.concat(F.lit('{"jobs":['), x, F.lit("]}")), green_board).unionByName(
+        _payloads(spark, sf, "lever", lever_, lambda x: F.concat(F.lit("["), x, F.lit("]")), lever_board))
+    bad = (F.col("board") == BROKEN_BOARD) & (F.col("request_no") >= BROKEN_FROM)
+    raw = raw.withColumn("payload", F.when(bad, "<html>try later</html>").otherwise(F.col("payload")))
+    first = crawled.where("page_id % 4 <> 1").groupBy("origin").agg(F.min("page_id").alias("p"))
+    starts = first.select(
+        (FIRST_SITE + F.regexp_extract("origin", "site([0-9]+)", 1).cast("bigint")).alias("pos"),
+        F.concat("origin", F.lit("/jobs/"), F.col("p").cast("string")).alias("value"))
+    fixed = spark.createDataFrame(FIXED_SITES, "pos bigint, value string")
+    return crawled.select("page_id", "url", "html").unionByName(guest), raw, fixed.unionByName(starts)
+
+
+def _of_sites(spark, sf, finish):
+    pages, raw, sites = _site_list(spark, sf)
+    return finish(pages, raw, None, sites, SearchSpec(**SPEC, keywords=["security"]))
+
+
+def site_places(spark, sf):
+    """Every posting that a run over a list of sites meets, with its place."""
+    out = _of_sites(spark, sf, site_postings)
+    return out.select("seq.*", "title", "url", "source", "description")
+
+
+def site_search(spark, sf):
+    """A search over a list of sites: boards between crawled pages, each posting where it was first met."""
+    out = _of_sites(spark, sf, lambda *a: filtered_postings(site_postings(*a), a[-1]))
+    return out.select("seq.*", "title", "url", "source", "remote", "summary", *joined("requirements"))
+
+
+def site_search_first(spark, sf):
+    """The first two hundred of them, as the search returns them."""
+    out = _of_sites(spark, sf, lambda *a: search_sites(*a[:-1], SearchSpec(**SPEC, keywords=["security"], limit=200)))
+    return out.select("title", "url", "source", "summary")
+
+
 def linkedin(spark, sf):
     p, n = F.col("page_id").cast("string"), F.concat(F.lit("40"), F.lpad(F.col("page_id").cast("string"), 8, "0"))
     card = F.concat(
@@ -582,6 +631,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "crawl_postings": crawl_found,
         "crawl_many_sites": crawl_many_sites,
         "crawl_many_sites_postings": crawl_many_sites_found,
+        "site_places": site_places,
+        "site_search": site_search,
+        "site_search_first": site_search_first,
         "linkedin_postings": linkedin,
         "sheet_rows": sheet_rows,
     }

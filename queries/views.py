@@ -70,3 +70,16 @@ MANY_SITE_PAGES = SITE_PAGES.replace(_FEW, _MANY).replace(
     "\n    AS html",
     "\n    || CASE WHEN page_id % 6 < 4 THEN " + " || ".join(f"""'<a href="/jobs/' || cast(page_id + {n} AS string) || '">f</a>'""" for n in MORE_LINKS) + " ELSE '' END\n    AS html",
 )
+
+# The same sites, every page with two hosted boards: the start pages of crawls lead to them.
+BOARD_SITE_PAGES = MANY_SITE_PAGES.replace(
+    "\n    AS html",
+    """
+    || '<a href="https://boards.greenhouse.io/co' || cast(page_id % 7 AS string) || '">g</a><iframe src="https://jobs.lever.co/lv'
+    || cast(page_id % 3 AS string) || '"></iframe>'
+    AS html""",
+)
+# The list of sites searched: blank, a board by two addresses, a board of pages, a source without payloads, then every site.
+FIXED_SITES = ((0, "  "), (1, "https://boards.greenhouse.io/co3"), (3, "de.linkedin.com"), (4, "boards.greenhouse.io/embed/job_board?for=co3"), (5, "remotive.com"))
+FIRST_SITE = 10
+BROKEN_BOARD, BROKEN_FROM = "lv2", 8
