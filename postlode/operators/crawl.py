@@ -83,18 +83,17 @@ def page_index(pages: DataFrame) -> DataFrame:
     return distinct_first(rows, ["url"], "page_id")
 
 
-def page_outline(pages: DataFrame, pattern: str = rules.JOB_LINK, limit: int = rules.LINKS_PER_PAGE) -> DataFrame:
-    """What a crawl needs to know of each page, without its markup: postings, boards and links."""
-    J.let_last_key_win(pages.sparkSession)
+def outline_columns(pattern: str = rules.JOB_LINK, limit: int = rules.LINKS_PER_PAGE) -> list[Column]:
+    """What a crawl needs to know of a page, without its markup: postings, boards and links."""
     scripts = F.filter(H.json_ld(F.col("html")), lambda s: s.contains("JobPosting"))
     postings = F.exists(scripts, lambda s: F.exists(J.objects(s), J.is_posting))
     likely = F.col("html").contains("ld+json") & F.col("html").contains("JobPosting")
-    return pages.select(
-        "page_id",
+    return [
+        F.col("page_id"),
         F.when(likely, F.coalesce(postings, F.lit(False))).otherwise(False).alias("has_postings"),
         board_links(F.col("html"), F.col("url")).alias("boards"),
         job_links(F.col("html"), F.col("url"), pattern, limit).alias("links"),
-    )
+    ]
 
 
 def page_role(depth: Column, has_postings: Column, new_links: Column, boards_so_far: Column,
@@ -126,7 +125,10 @@ def crawl(pages: DataFrame, seeds: DataFrame, robots: DataFrame | None = None, a
     then reads markup: that of the pages it visits, each once however many sites ask for it.  A site brings at most
     ``max_pages * limit`` links into a round, so the per-site windows stay small.
     """
+    J.let_last_key_win(pages.sparkSession)
     index = cut(page_index(pages), "page-index")
+    # Built once: the rounds differ in the pages they read, not in what they read of them.
+    outline = outline_columns(pattern, limit)
     frontier = seeds.select("site", "url", F.lit(0).alias("parent_rank"), F.col("pos"))
     levels: list[DataFrame] = []
     roles: list[DataFrame] = []
@@ -161,8 +163,8 @@ def crawl(pages: DataFrame, seeds: DataFrame, robots: DataFrame | None = None, a
             popped.select("site", F.lit(depth).alias("depth"), "rank", "url", "page_id", "fetched", "is_html"), "crawl-popped"
         )
         wanted = popped.where("fetched AND is_html").select("page_id").distinct()
-        outline = page_outline(pages.join(wanted, "page_id", "left_semi"), pattern, limit)
-        level = cut(popped.join(outline, "page_id", "left").drop("page_id"), "crawl-level")
+        read = pages.join(wanted, "page_id", "left_semi").select(*outline)
+        level = cut(popped.join(read, "page_id", "left").drop("page_id"), "crawl-level")
         levels.append(level)
         visited = reduce(DataFrame.unionByName, levels).select(
             "site", F.col("url").alias("link"), F.struct("depth", "rank").alias("visited_at")
