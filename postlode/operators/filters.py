@@ -106,55 +106,72 @@ def domain_table_filter(df: DataFrame, domains: DataFrame, deny: bool = False) -
 _SEPARATORS = rf"(?U)[{WS}-]+"
 
 
-def term_matches(df: DataFrame, terms: DataFrame, text: Column, id_col: str = "posting_id") -> DataFrame:
-    """``(id, term)`` for every term of a table that occurs in a row's text.
+ROW_LOCAL_TERMS = 20_000  # entries of a term table that are handed to every task; longer tables are joined
+_BUCKETS = 4096
+
+
+def _prepared_terms(terms: DataFrame) -> DataFrame:
+    """``key, term, pattern``: each term under every word that its occurrences can start with.
 
-    A term splits into word groups at characters other than word characters, space and hyphen.  Wherever the term
-    matches, its longest group appears in the text as a run of whole words, so runs of words are joined to groups
-    by equality.  For a term that is a single group the run alone decides.  Only terms with other characters are
-    checked against the text, fetched for the rows that hold their longest group or, if a term has no word
-    character at all, its first symbol.
+    Occurrences may run the words of a term together, but only from one separator of the term to the next: ``help desk lead``
+    starts with ``help``, ``helpdesk`` or ``helpdesklead``.  The words up to the term's first other character decide; a
+    term without any word character stands under the empty key and is tried on every text.
     """
     parts = F.filter(F.split(F.trim("term"), _SEPARATORS), lambda w: w != "")
-    body = F.array_join(F.transform(parts, lambda w: F.regexp_replace(w, r"([^\p{L}\p{N}_])", r"\\$1")), r"[\s-]*")
+    parts = F.transform(parts, lambda w: F.regexp_replace(w, r"([^\p{L}\p{N}_])", r"\\$1"))
+    lead = F.coalesce(F.get(parts, F.lit(0)), F.lit(""))
+    # The look-behind stands after the first word, so that it is tried where the word was found, not everywhere.
+    pattern = F.concat(
+        F.lit("(?iU)"), lead, F.lit(r"(?<!\w"), lead, F.lit(")"),
+        F.array_join(F.transform(F.slice(parts, 2, 1 << 20), lambda w: F.concat(F.lit(r"[\s-]*"), w)), ""), F.lit(r"(?!\w)"),
+    )
     groups = F.transform(
-        F.split(F.trim("term"), rf"(?U)[^\w{WS}-]+"), lambda g: F.lower(F.regexp_replace(g, _SEPARATORS, ""))
+        F.split(fold_case(F.trim("term")), rf"(?U)[^\w{WS}-]+"),
+        lambda g: F.filter(F.split(g, _SEPARATORS), lambda w: w != ""),
     )
-    longest = F.array_max(F.transform(groups, lambda g: F.struct(F.length(g).alias("n"), g.alias("g"))))["g"]
-    # Symbols are keyed apart from words; a term of hyphens alone has no symbol and is tried on every row.
-    symbol = F.concat(F.lit("\x00"), F.regexp_extract("term", rf"(?U)[^\w{WS}-]", 0))
-    # Stored, so that its size is known: a short list is broadcast and the runs of the texts are not moved.
-    listed = cut(terms.where(F.trim("term") != "").select(
-        "term", F.when(longest == "", symbol).otherwise(longest).alias("key"), body.alias("body"), ((F.size(groups) == 1) & (longest != "")).alias("plain"),
-        F.size(F.filter(F.split(F.trim("term"), r"(?U)\W+"), lambda w: w != "")).alias("words"),
-    ).distinct(), "terms")
-    # One number, computed by Spark: how many neighbouring words a run may need.
-    longest_run = F.greatest(listed.agg(F.max("words")).scalar(), F.lit(1))
+    first = F.coalesce(F.get(F.filter(groups, lambda g: F.size(g) > 0), F.lit(0)), F.array().cast("array<string>"))
+    starts = F.when(F.size(first) == 0, F.array(F.lit(""))).otherwise(
+        F.transform(first, lambda _, i: F.array_join(F.slice(first, F.lit(1), i + 1), "")))
+    listed = terms.where(F.trim("term") != "").select("term").distinct()
+    return listed.select(F.explode(starts).alias("key"), "term", pattern.alias("pattern"))
 
-    rows = df.select(F.col(id_col), text.alias("text"))
-    stretches = F.transform(
-        F.split("text", rf"(?U)[^\w{WS}-]+"),
-        lambda s: F.filter(F.split(F.lower(s), _SEPARATORS), lambda w: w != ""),
-    )
 
-    def runs_of(tokens: Column, most: Column) -> Column:
-        return F.flatten(F.transform(tokens, lambda _, i: F.transform(
-            F.sequence(F.lit(1), F.least(most, F.size(tokens) - i)), lambda n: F.array_join(F.slice(tokens, i + 1, n), " ")
-        )))
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.concat(F.array(F.lit("")), F.split(fold_case(text), r"(?U)\W+")))
 
-    # Repeats inside a row go before anything is exploded.
-    runs = F.flatten(F.transform(stretches, lambda t: runs_of(t, F.col("most"))))
-    symbols = F.transform(
-        F.concat(F.array(F.lit("")), F.regexp_extract_all("text", F.lit(rf"(?U)[^\w{WS}-]"), F.lit(0))),
-        lambda c: F.concat(F.lit("\x00"), c),
-    )
-    runs = F.array_distinct(F.concat(runs, symbols))
-    found = unnest(rows.withColumn("most", longest_run), [id_col], runs, "run")
-    keyed = found.withColumn("key", F.replace("run", F.lit(" "), F.lit("")))
-    # Stored once, because two checks follow; its size then decides how the texts are joined to it.
-    hits = cut(keyed.join(listed, "key").select(id_col, "run", "term", "body", "plain"), "term-hits")
-    plain = hits.where("plain").where(F.expr("run rlike concat('(?iU)^', body, '$')")).select(id_col, "term")
-
-    checked = hits.where("NOT plain").select(id_col, "term", "body").distinct().join(rows, id_col)
-    pattern = F.concat(F.lit(r"(?iU)(?<!\w)"), F.col("body"), F.lit(r"(?!\w)"))
-    return plain.unionByName(checked.where(F.rlike("text", pattern)).select(id_col, "term")).distinct()
+
+def term_matches(df: DataFrame, terms: DataFrame, text: Column, id_col: str = "posting_id") -> DataFrame:
+    """``(id, term)`` for every term of a table that occurs in a row's text.
+
+    The distinct words of a text are looked up among the words that terms start with, and only the terms found there are
+    tried on the text, so that a row gives no more than its hits, however many words a term has.  Up to ``ROW_LOCAL_TERMS``
+    entries the look-up is a hashed table inside the row's own expression and nothing is moved; a longer table is joined by
+    word, and the texts by the rows that hold such a word.
+    """
+    listed = cut(_prepared_terms(terms), "terms")
+    rows = df.select(F.col(id_col), text.alias("text"))
+    if listed.limit(ROW_LOCAL_TERMS + 1).count() > ROW_LOCAL_TERMS:
+        return _joined_terms(rows, listed, id_col)
+    bucket = F.pmod(F.xxhash64("key"), F.lit(_BUCKETS)).cast("int")
+    entries = listed.groupBy(bucket.alias("bucket")).agg(F.collect_list(F.struct("key", "term", "pattern")).alias("entries"))
+    every = listed.sparkSession.range(_BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(entries, "bucket", "left")
+    table = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "entries"))), lambda b: b["entries"]).alias("t")).scalar()
+
+    def hits(row: Column) -> Column:
+        def of(w: Column) -> Column:
+            return F.get(row["table"], F.pmod(F.xxhash64(w), F.lit(_BUCKETS)).cast("int"))
+
+        # Nearly all words fall into empty places of the table and are passed over first.
+        likely = F.filter(_words(row["text"]), lambda w: of(w).isNotNull())
+        tried = F.flatten(F.transform(likely, lambda w: F.filter(of(w), lambda e: e["key"] == w)))
+        return F.array_distinct(F.transform(F.filter(tried, lambda e: F.rlike(row["text"], e["pattern"])), lambda e: e["term"]))
+
+    # The table is a value computed once; it is named in one place, so that no row carries a copy of it.
+    return unnest(rows.withColumn("table", table), [id_col], let(F.struct("text", "table"), hits), "term").drop("_pos")
+
+
+def _joined_terms(rows: DataFrame, listed: DataFrame, id_col: str) -> DataFrame:
+    found = unnest(rows, [id_col], _words(F.col("text")), "key")
+    # Stored for its size, which decides how the texts are joined to it.
+    tried = cut(found.join(listed, "key").select(id_col, "term", "pattern").distinct(), "term-hits")
+    return tried.join(rows, id_col).where(F.rlike("text", F.col("pattern"))).select(id_col, "term").distinct()
