@@ -17,7 +17,7 @@ from ..operators.crawl import board_places, crawl, crawl_postings
 from ..operators.distinct import distinct_first
 from ..session import cut
 from ..sources.raw import split_broken
-from ..sources.registry import normalize
+from ..sources.registry import normalize, providers_in
 from ..sources.web import linkedin_landed, normalize_linkedin
 from .search import SearchSpec, search_postings
 
@@ -56,15 +56,15 @@ def board_postings(raw: DataFrame, places: DataFrame, as_of: Column) -> tuple[Da
     wanted = cut(listed.unionByName(details), "wanted-boards")
     landed = raw.withColumn("board", text_or_empty(F.col("board"))).join(wanted, ["provider", "board"], "left_semi")
     usable, lost = split_broken(landed)
-    # As many names as there are kinds of provider; those that no site leads to need no reading.
-    present = [r["provider"] for r in listed.select("provider").distinct().collect()]
-    rows = normalize(usable.withColumn("source_rank", F.lit(0)), as_of, present or None)
+    # Kinds of provider that no site leads to need no reading.
+    rows = normalize(usable.withColumn("source_rank", F.lit(0)), as_of, providers_in(wanted) or None)
     placed = rows.join(places.select("site_pos", "page_no", "board_no", "source"), "source")
     postings = _place(
         placed, site_pos=F.col("site_pos"), page_no=F.col("page_no"), board_no=F.col("board_no"),
         request_no=F.col("seq.request_no"), item_pos=F.col("seq.item_pos"),
     )
-    first = lost.where(~F.col("provider").endswith(_DETAIL)).groupBy("provider", "board").agg(F.min("request_no").alias("request_no"))
+    ended = F.col("fault").isin("unreadable", "kind") & ~F.col("provider").endswith(_DETAIL)
+    first = lost.where(ended).groupBy("provider", "board").agg(F.min("request_no").alias("request_no"))
     at = F.struct("page_no", "board_no", F.col("request_no").cast("bigint").alias("request_no"))
     failed = places.join(first, ["provider", "board"]).groupBy("site_pos").agg(F.min(at).alias("failed_at"))
     return postings, failed

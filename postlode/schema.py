@@ -47,6 +47,16 @@ PAYLOAD_DDL = {
         "jobDescription: STRING>, hiringOrganization STRUCT<name: STRING>"
     ),
 }
+# What each provider's payload is: a list, or an object with a list (or an object) under the named member.
+PAYLOAD_SHAPE = {
+    "remoteok": ("ARRAY", None),
+    "remotive": ("OBJECT", "jobs"),
+    "arbeitnow": ("OBJECT", "data"),
+    "greenhouse": ("OBJECT", "jobs"),
+    "lever": ("ARRAY", None),
+    "workday": ("OBJECT", "jobPostings"),
+    "workday_detail": ("OBJECT", "jobPostingInfo"),
+}
 # --- End of fixed values ---
 
 ARRAY_COLUMNS = ("tags", "certifications", "clearance", "requirements")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.core import trim_ws
-from ..schema import RAW_DDL
+from ..functions.core import let, trim_ws
+from ..functions.jsonld import let_last_key_win
+from ..schema import PAYLOAD_SHAPE, RAW_DDL
 from ..session import cut
 
 
@@ -30,17 +31,66 @@ def broken(payload) -> F.Column:
     return F.try_parse_json(payload).isNull() & (alone.isNull() | F.get_json_object(F.concat(F.lit("["), F.col(payload), F.lit("]")), "$").isNull())
 
 
-def split_broken(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(usable, quarantined)``: a source loses its first unreadable payload and everything requested after it.
+def payload_fault(provider: Column, payload: str) -> Column:
+    """What is wrong with a payload; NULL if nothing is.
 
-    Other sources are not touched.  The first failure per source is written out before it is joined back, so
-    Spark knows its size: a short list is broadcast and the payloads are not moved; a long one is shuffled.
+    ``unreadable``: no JSON.  ``kind``: a list where an object belongs, or the reverse.  ``shape``: the member that holds the
+    postings is missing or no list, as in an error message sent instead of an answer.  Providers without a declared shape
+    are only asked for JSON.
     """
-    key = ["provider", "board"]
-    failed = cut(
-        raw.where(broken("payload")).groupBy(*key).agg(F.min("request_no").alias("failed_at")), "failed-sources"
-    )
-    same = [raw[k].eqNullSafe(failed[k]) for k in key]
-    marked = raw.join(failed, same, "left").select(raw["*"], "failed_at")
-    lost = F.coalesce(F.col("request_no") >= F.col("failed_at"), F.lit(False))
-    return marked.where(~lost).drop("failed_at"), marked.where(lost)
+
+    def judge(row: Column) -> Column:
+        value = row["value"]
+        is_list = F.try_variant_get(value, "$", "array<variant>").isNotNull()
+        is_object = F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
+        fault = F.when(row["broken"], "unreadable")
+        for name, (kind, member) in PAYLOAD_SHAPE.items():
+            here = row["provider"] == name
+            fault = fault.when(here & ~(is_list if kind == "ARRAY" else is_object), "kind")
+            if member:
+                held = "map<string,variant>" if name.endswith("_detail") else "array<variant>"
+                fault = fault.when(here & F.try_variant_get(value, f"$.{member}", held).isNull(), "shape")
+        return fault
+
+    return let(F.struct(F.try_parse_json(payload).alias("value"), broken(payload).alias("broken"), provider.alias("provider")), judge)
+
+
+_REQUEST = ["provider", "board", "request_no"]
+
+
+def payload_faults(raw: DataFrame) -> DataFrame:
+    """``provider, board, request_no, fault`` of the faulty payloads, stored: the one pass that reads the payloads for it."""
+    let_last_key_win(raw.sparkSession)
+    rows = raw.select(*_REQUEST, payload_fault(F.col("provider"), "payload").alias("fault"))
+    return cut(rows.where("fault IS NOT NULL"), "payload-faults")
+
+
+def first_failures(faults: DataFrame) -> DataFrame:
+    """``provider, board, failed_at``: the first request of each source that could not be read at all."""
+    ended = faults.where(F.col("fault").isin("unreadable", "kind"))
+    return ended.groupBy("provider", "board").agg(F.min("request_no").alias("failed_at"))
+
+
+def _same(left: DataFrame, right: DataFrame, names: list[str]) -> list[Column]:
+    return [left[k].eqNullSafe(right[k]) for k in names]
+
+
+def split_broken(raw: DataFrame, earlier: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(usable, quarantined)``, the latter with its ``fault``.
+
+    A source loses its first unreadable payload and everything requested after it (``after``); ``earlier`` has failures of
+    earlier runs as ``provider, board, failed_at``.  A payload of the wrong shape is set aside by itself.  Other sources are
+    not touched.  Faults are written out before they are joined back, so Spark knows their size: a short list is broadcast
+    and the payloads are not moved; a long one is shuffled.
+    """
+    faults = payload_faults(raw)
+    failed = first_failures(faults)
+    if earlier is not None:
+        failed = failed.unionByName(earlier).groupBy("provider", "board").agg(F.min("failed_at").alias("failed_at"))
+    failed = cut(failed, "failed-sources")
+    own = faults.groupBy(*_REQUEST).agg(F.min("fault").alias("fault"))
+    marked = raw.join(failed, _same(raw, failed, ["provider", "board"]), "left").select(raw["*"], "failed_at")
+    marked = marked.join(own, _same(marked, own, _REQUEST), "left").select(marked["*"], own["fault"].alias("_fault"))
+    lost = F.coalesce(F.col("request_no") >= F.col("failed_at"), F.lit(False)) | F.col("_fault").isNotNull()
+    usable = marked.where(~lost).select(*raw.columns)
+    return usable, marked.where(lost).select(*raw.columns, F.coalesce("_fault", F.lit("after")).alias("fault"))

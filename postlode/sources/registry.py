@@ -91,6 +91,12 @@ def select_sources(raw: DataFrame, names: list[str] | None = None, boards_of: di
     return raw.where(keep).withColumn("source_rank", rank)
 
 
+def providers_in(raw: DataFrame) -> list[str]:
+    """The registered providers that have payloads in ``raw``; as many as there are kinds of them at most."""
+    present = {r["provider"] for r in raw.select("provider").distinct().collect()}
+    return [name for name in _NORMALIZERS if name in present]
+
+
 def normalize(raw: DataFrame, as_of: Column, providers: list[str] | None = None) -> DataFrame:
     """Postings of every provider in ``raw``, keeping the order given by ``source_rank``."""
     out = None

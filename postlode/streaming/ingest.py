@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.core import text_or_empty
@@ -16,21 +16,40 @@ from ..operators.skew import lookup
 from ..plans.search import SearchSpec, postings_filter
 from ..session import cut
 from ..sources.postings import project_postings
-from ..sources.registry import normalize
+from ..sources.raw import first_failures, split_broken
+from ..sources.registry import normalize, providers_in
 
 _URLS = "u STRING"
 _TITLES = "t STRING, s STRING"
+_FAILED = "provider STRING, board STRING, failed_at INT"
+STATE_PARTS = 128  # folders of a state table, by the hash of the key
 
 
-def _state(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFrame:
-    """State written by earlier batches; what a failed attempt of this batch left behind is not read."""
+def _part(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(STATE_PARTS)).cast("int")
+
+
+def _stored(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFrame:
+    """Rows written by earlier batches; what a failed attempt of this batch left behind is not read."""
     try:
-        stored = spark.read.schema(schema + ", batch BIGINT").parquet(path)
+        stored = spark.read.schema(f"{schema}, batch BIGINT").parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
-    return stored.where(F.col("batch") < batch_id).drop("batch")
+        return spark.createDataFrame([], f"{schema}, batch BIGINT")
+    return stored.where(F.col("batch") < batch_id)
+
+
+def keyed_state(keys: DataFrame, path: str, schema: str, batch_id: int) -> DataFrame:
+    """The part of a state table that can hold ``keys`` (one column): the folders of their hashes, of earlier batches.
+
+    A small batch reads a small part of the state, however large that has grown; no batch reads more than all of it.
+    """
+    (name,) = keys.columns
+    # At most one number per part.
+    parts = [r["part"] for r in keys.select(_part(name).alias("part")).distinct().collect()]
+    state = _stored(keys.sparkSession, path, f"{schema}, part INT", batch_id)
+    return state.where(F.col("part").isin(parts)).drop("batch", "part")
 
 
 def _put(df: DataFrame, path: str, batch_id: int) -> None:
@@ -38,6 +57,12 @@ def _put(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
+def _put_keyed(df: DataFrame, key: str, path: str, batch_id: int) -> None:
+    """Write one batch's keys into the folders of their hashes, one file each."""
+    rows = df.withColumn("part", _part(key)).repartition("part")
+    rows.write.mode("overwrite").partitionBy("part").parquet(f"{path}/batch={batch_id}")
+
+
 def not_seen(batch: DataFrame, seen_urls: DataFrame, seen_titles: DataFrame, order_by: str = "seq") -> DataFrame:
     """Rows that no earlier decision rules out.
 
@@ -61,34 +86,56 @@ def not_seen(batch: DataFrame, seen_urls: DataFrame, seen_titles: DataFrame, ord
 def dedupe_batch(batch: DataFrame, state: str, batch_id: int, order_by: str = "seq") -> DataFrame:
     """Duplicates of one batch removed against itself and all earlier batches; the kept keys join the state.
 
-    Equal to one run over all batches in arrival order, because a decision never changes once made.
+    Equal to one run over all batches in arrival order, because a decision never changes once made.  Whole rows are
+    stored once; what follows handles keys and row numbers only.
     """
-    spark = batch.sparkSession
-    batch = cut(batch, "stream-batch")
-    seen_urls = _state(spark, f"{state}/urls", _URLS, batch_id)
-    seen_titles = _state(spark, f"{state}/titles", _TITLES, batch_id)
-    fresh = cut(not_seen(batch, seen_urls, seen_titles, order_by), "stream-fresh")
+    batch = cut(batch.withColumn("_row", F.monotonically_increasing_id()), "stream-batch")
+    narrow = batch.select("_row", order_by, "url", "title", "company", "source")
+    urls = narrow.select(url_key(F.col("url")).alias("u")).where("u IS NOT NULL").distinct()
+    titles = narrow.select(title_key(F.col("title"), F.col("company")).alias("t")).where("t IS NOT NULL").distinct()
+    seen_urls = keyed_state(urls, f"{state}/urls", _URLS, batch_id)
+    seen_titles = keyed_state(titles, f"{state}/titles", _TITLES, batch_id)
+    fresh = cut(not_seen(narrow, seen_urls, seen_titles, order_by), "stream-fresh")
     kept = cut(dedupe_postings(fresh, order_by), "stream-kept")
     keys = posting_keys(kept, order_by)
-    _put(keys.where("u IS NOT NULL").select("u").distinct(), f"{state}/urls", batch_id)
-    titles = keys.where("t IS NOT NULL").select("t", "s").distinct()
-    _put(titles.join(seen_titles, "t", "left_anti"), f"{state}/titles", batch_id)
-    return kept
+    _put_keyed(keys.where("u IS NOT NULL").select("u").distinct(), "u", f"{state}/urls", batch_id)
+    owners = keys.where("t IS NOT NULL").select("t", "s").distinct()
+    _put_keyed(owners.join(seen_titles, "t", "left_anti"), "t", f"{state}/titles", batch_id)
+    return batch.join(kept.select("_row"), "_row", "left_semi").drop("_row")
+
+
+def usable_batch(raw: DataFrame, state: str, out: str, batch_id: int) -> DataFrame:
+    """The payloads of one (stored) batch that can be read, those behind a failure of an earlier batch left out.
+
+    What is left out goes to ``out``, with its fault, and the failures of this batch to the state.
+    """
+    failed = f"{state}/failed"
+    earlier = _stored(raw.sparkSession, failed, _FAILED, batch_id).groupBy("provider", "board").agg(F.min("failed_at").alias("failed_at"))
+    usable, lost = split_broken(raw, earlier)
+    lost = cut(lost, "stream-lost")
+    _put(first_failures(lost), failed, batch_id)
+    _put(lost, out, batch_id)
+    return usable
 
 
 def stream_postings(source: DataFrame, spec: SearchSpec, out: str, state: str, checkpoint: str,
-                    to_postings: Callable[[DataFrame], DataFrame] | None = None,
-                    order_by: str = "seq") -> StreamingQuery:
+                    to_postings: Callable[[DataFrame], DataFrame] | None = None, order_by: str = "seq",
+                    quarantine: str | None = None) -> StreamingQuery:
     """Process the files that have arrived since the last run and append the matching postings to ``out``.
 
-    ``to_postings`` turns a batch of the source into postings; by default every registered provider is
-    normalised.  Output and state are partitioned by batch, so a batch repeated after a failure leaves no
-    second copy.
+    ``to_postings`` turns a batch of the source into postings; by default the payloads that can be read are normalised by
+    every registered provider, and the others go to ``quarantine`` (by default a folder of the state).  Output and state are
+    partitioned by batch, so a batch repeated after a failure leaves no second copy.
     """
-    convert = to_postings or (lambda raw: normalize(raw, spec.today))
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        kept = dedupe_batch(convert(batch), state, batch_id, order_by)
+        if to_postings:
+            postings = to_postings(batch)
+        else:
+            raw = cut(batch, "stream-payloads")
+            usable = usable_batch(raw, state, quarantine or f"{state}/quarantine", batch_id)
+            postings = normalize(usable, spec.today, providers_in(raw) or None)
+        kept = dedupe_batch(postings, state, batch_id, order_by)
         found = enrich(kept, spec.today, spec.summary_chars).where(postings_filter(spec))
         _put(project_postings(found, spec.include_description), out, batch_id)
 

@@ -6,7 +6,7 @@ consumed character (``L`` before, ``R`` after) that is no letter, digit or under
 
 from __future__ import annotations
 
-from .views import AS_OF, BOARD_SITE_PAGES, BROKEN_BOARD, BROKEN_FROM, FIRST_SITE, MANY_SITE_PAGES, MORE_LINKS, POSTINGS, SITE_PAGES
+from .views import AS_OF, BOARD_SITE_PAGES, BROKEN_BOARD, BROKEN_FROM, FAULTY, FIRST_SITE, MANY_SITE_PAGES, MORE_LINKS, POSTINGS, SITE_PAGES
 
 L = r"(?:^|[^\p{L}\p{N}_])"
 R = r"(?:$|[^\p{L}\p{N}_])"
@@ -262,6 +262,18 @@ def search() -> str:
     FROM ({inner})"""
 
 
+def streamed(final: str) -> str:
+    """Greenhouse payloads in three runs; what a board gives ends at its first torn payload, in the runs after that too."""
+    text = f"{DESC}"
+    return f"""
+    raw AS (SELECT *, source AS board, posting_id // 10 AS request_no, least((posting_id // 10) * 3 // (SELECT max(posting_id // 10) + 1 FROM base), 2) AS run FROM base),
+    torn AS (SELECT min(request_no) AS torn_at FROM raw WHERE board = 's1' AND run = 1 AND request_no % 2 = 1),
+    p AS (SELECT posting_id, run * 1000000000000 + CAST(substr(board, 2) AS BIGINT) * 1000000000 + posting_id AS seq, title,
+        CASE WHEN company = '' THEN board ELSE company END AS company, location, 'greenhouse:' || board AS source, url, {text} AS description,
+        strftime({TODAY} - CAST(posting_id % 30 AS INT), '%Y-%m-%d') AS posted_raw, tags FROM raw, torn WHERE NOT coalesce(board = 's1' AND request_no >= torn_at, false)),
+    {final}"""
+
+
 # ---------------------------------------------------------------- provider payloads
 FLAT = ("regexp_replace(regexp_replace(regexp_replace(description, '[ \\t\\r\\x0b\\x0c\\x{00A0}]+', ' ', 'g'), ' *\\n[ \\n]*', chr(10), 'g'), "
         "'^[ \\n]+|[ \\n]+$', '', 'g')")
@@ -482,7 +494,16 @@ def oracle_sql() -> dict[str, str]:
         "dedupe_postings": f"WITH RECURSIVE p AS ({POSTINGS}), {DEDUPE} SELECT posting_id, title, company, source, url FROM uniq",
         "first_matches": where(any_term(SEARCH_TEXT, ["security"])) + " ORDER BY seq LIMIT 50",
         "search_end_to_end": search(),
-        "stream_ingest": search(),
+        "stream_ingest": f"""WITH RECURSIVE base AS ({POSTINGS}), {streamed(DEDUPE)}, f AS (SELECT * FROM ({education(f"({clearance(f'({experience(chr(40) + found(chr(117) + chr(110) + chr(105) + chr(113)) + chr(41))})')})")})), {summary('f')}, {requirements('f')}
+          SELECT title, company, location, remote, url, source, {POSTED_DATE} AS posted_date, summary, education, experience, array_to_string(tags, '|') AS tags, {CERT_TEXT} AS certifications, clearance, requirements
+          FROM f JOIN sums USING (posting_id) JOIN reqs USING (posting_id)""",
+        "stream_quarantine": f"""WITH base AS ({POSTINGS}), {streamed("q AS (SELECT DISTINCT board, request_no, run FROM raw, torn WHERE board = 's1' AND request_no >= torn_at)")}
+          SELECT board, request_no, CASE WHEN run = 1 AND request_no % 2 = 1 THEN 'unreadable' ELSE 'after' END AS fault FROM q""",
+        "quarantine_faults": f"""{WITH}, k AS (SELECT [{', '.join(map(q, FAULTY))}][posting_id % {len(FAULTY)} + 1] AS provider, {BOARD} AS board, CAST(posting_id AS INT) AS request_no, posting_id // {len(FAULTY)} AS nth FROM p),
+          own AS (SELECT *, CASE WHEN nth % 9 = 4 THEN CASE WHEN provider IN ('lever', 'remoteok') THEN 'kind' ELSE 'shape' END
+            WHEN nth % 50 = 39 THEN 'kind' WHEN nth % 70 = 69 THEN 'unreadable' END AS fault FROM k),
+          ended AS (SELECT provider, board, min(request_no) AS ended_at FROM own WHERE fault IN ('kind', 'unreadable') GROUP BY ALL)
+          SELECT provider, board, request_no, CASE WHEN fault IS NOT NULL THEN fault WHEN request_no > ended_at THEN 'after' ELSE '' END AS fault FROM own LEFT JOIN ended USING (provider, board)""",
         "normalize_remoteok": f"""{WITH} {shown(source="'remoteok'", url="CASE WHEN posting_id % 3 <> 0 AND url <> '' THEN url ELSE 'https://remoteok.com/remote-jobs/' || CAST(posting_id AS VARCHAR) END",
           posted_date="'2026-10-01'", salary=REMOTEOK_PAY)} FROM p WHERE posting_id % 17 <> 0""",
         "normalize_remotive": f"""{WITH} {shown(source="'remotive'", posted_date="'2026-09-30'", salary="'90k'",
@@ -543,6 +564,17 @@ def oracle_sql() -> dict[str, str]:
           FROM ({remote('u')}) JOIN sums USING (posting_id) JOIN reqs USING (posting_id)"""),
         "site_search_first": site_list(f"""{site_found()} SELECT title, url, source, summary FROM u JOIN sums USING (posting_id)
           ORDER BY site_pos, page_no, board_no, request_no, item_pos LIMIT 200"""),
+        **{name: f"""{WITH}, s AS (SELECT *, posting_id AS seq_, CASE WHEN seq % 4 = 0 THEN {mark} || '=1+' || title ELSE title END AS cell FROM p)
+          SELECT cell AS title, company, url, array_to_string(tags, '; ') AS tags, '' AS requirements, {text} AS description, (SELECT count(*) FROM p) AS written FROM s"""
+           for name, mark, text in (("sink_csv", "''''", sheet_text), ("sink_tsv_append", "''''", sheet_text), ("sink_json", "''", "description"), ("sink_json_append", "''", "description"))},
+        "sink_formats": "SELECT doc_id, CASE doc_id % 7 WHEN 1 THEN 'tsv' WHEN 2 THEN 'tsv' WHEN 3 THEN 'json' WHEN 4 THEN 'json' ELSE 'csv' END AS format FROM documents",
+        "capped_cells": f"{WITH} SELECT seq, substr(repeat(description, 4), 1, 32767) AS description FROM p",
+        "seed_lines": f"""SELECT 'site' || {pid} || '.example.com/openings' AS value, 'site' || {pid} || '.example.com' AS source, 'https://site' || {pid} || '.example.com/openings' AS start_urls
+          FROM pages WHERE page_id % 4 >= 2""",
+        "html_content": "SELECT page_id, url FROM pages WHERE page_id % 4 <> 1",
+        "page_dates": """SELECT *, CASE WHEN meta_posted <> '' THEN meta_posted ELSE time_posted END AS posted FROM (SELECT page_id,
+          CASE WHEN page_id % 5 = 0 THEN '2027-02-02' WHEN page_id % 3 = 0 THEN '2027-01-' || lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0') ELSE '' END AS meta_posted,
+          CASE page_id % 4 WHEN 1 THEN '2027-03-03' WHEN 2 THEN '5 March' ELSE '' END AS time_posted FROM pages)""",
         "crawl_reachable": crawl(),
         "crawl_postings": crawl(crawled),
         "crawl_many_sites": crawl(**many),

@@ -20,12 +20,12 @@ from postlode.operators.enrich import enrich
 from postlode.plans.sites import search_sites, site_postings
 from postlode.plans.search import SearchSpec, filtered_postings, first_matches, postings_filter, search_postings
 from postlode.session import shared_dir
-from postlode.sinks.write import cap_cells, to_sheet_rows
+from postlode.sinks.write import cap_cells, infer_format, read_postings, to_sheet_rows, write_postings
 from postlode.sources import boards as B, raw as L, registry as G, web as W
 from postlode.sources.postings import as_postings, sequence_of, union_sources
 from postlode.streaming.ingest import stream_postings
 
-from .views import AS_OF, BOARD_SITE_PAGES, BROKEN_BOARD, BROKEN_FROM, FIRST_SITE, FIXED_SITES, MANY_SITE_PAGES, POSTINGS, SITE_PAGES
+from .views import AS_OF, BOARD_SITE_PAGES, BROKEN_BOARD, BROKEN_FROM, FAULTY, FIRST_SITE, FIXED_SITES, MANY_SITE_PAGES, POSTINGS, SITE_PAGES
 
 SPEC = dict(as_of=date.fromisoformat(AS_OF))
 PAGE_LINKS = r"/[A-Za-z]"
@@ -163,21 +163,42 @@ def filtered(spark, sf):
     return out.select("seq", "title", "remote", "posted_date")
 
 
-def stream(spark, sf):
-    """Postings arrive in three files; the stream's output equals one batch search over all of them."""
+def _payload_runs(spark, sf) -> DataFrame:
+    """Payloads as three runs land them: each third of the requests holds those of every board.  One board breaks in the second run."""
+    item = F.struct(
+        "title", F.col("url").alias("absolute_url"), F.col("company").alias("company_name"), F.struct(F.col("location").alias("name")).alias("location"),
+        F.date_format(F.date_add(today(), -(F.col("posting_id") % 30).cast("int")), "yyyy-MM-dd").alias("first_published"),
+        F.transform("tags", lambda t: F.struct(t.alias("name"))).alias("departments"), H.html_escape(_markup(F.col("description"))).alias("content"))
+    raw = _payloads(spark, sf, "greenhouse", item, lambda x: F.concat(F.lit('{"jobs":['), x, F.lit("]}")), F.col("source"))
+    last = raw.agg(F.max("request_no")).first()[0]
+    raw = raw.withColumn("run", F.least(F.floor(F.col("request_no") * 3 / (last + 1)), F.lit(2)).cast("int"))
+    torn = F.col("payload").substr(F.lit(1), F.length("payload") - 9)
+    bad = (F.col("board") == "s1") & (F.col("run") == 1) & (F.col("request_no") % 2 == 1)
+    return raw.withColumn("payload", F.when(bad, torn).otherwise(F.col("payload"))).withColumn("fetched_at", F.lit(None).cast("timestamp"))
+
+
+def _streamed(spark, sf) -> str:
+    """Three runs over payload files, several files a run; the folder that holds what came out."""
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    rows = canonical(spark, sf)
-    low, high = rows.agg(F.min("seq"), F.max("seq")).first()
-    step = (high - low) // 3 + 1
-    for i in range(3):
-        part = rows.where((F.col("seq") >= low + i * step) & (F.col("seq") < low + (i + 1) * step))
-        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
-    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    query = stream_postings(source, search_spec(), f"{base}/out", f"{base}/state", f"{base}/checkpoint", lambda df: df)
-    query.awaitTermination()
-    out = spark.read.parquet(f"{base}/out")
-    return out.select("title", "company", "remote", "url", "source", "posted_date", "education", "experience",
-                      *joined("certifications", "clearance"))
+    raw = _payload_runs(spark, sf)
+    for run in range(3):
+        raw.where(F.col("run") == run).drop("run").repartition(4).write.mode("append").parquet(f"{base}/in")
+        source = L.read_raw(spark, f"{base}/in", streaming=True)
+        stream_postings(source, search_spec(), f"{base}/out", f"{base}/state", f"{base}/checkpoint", quarantine=f"{base}/lost").awaitTermination()
+    return base
+
+
+def stream(spark, sf):
+    """What a search finds in payload files that arrive in three runs, with all that is mined from the texts."""
+    out = spark.read.parquet(_streamed(spark, sf) + "/out")
+    return out.select("title", "company", "location", "remote", "url", "source", "posted_date", "summary", "education", "experience",
+                      *joined("tags", "certifications", "clearance", "requirements"))
+
+
+def stream_quarantine(spark, sf):
+    """The payloads that those runs set aside."""
+    lost = spark.read.parquet(_streamed(spark, sf) + "/lost")
+    return lost.select("board", F.col("request_no").cast("bigint").alias("request_no"), "fault")
 
 
 # ---------------------------------------------------------------- providers: payloads are built from the postings
@@ -353,6 +374,21 @@ def quarantine(spark, sf):
     return usable.select("request_no", F.lit("usable").alias("state")).unionByName(lost.select("request_no", F.lit("lost").alias("state")))
 
 
+def quarantine_faults(spark, sf):
+    """Payloads of every provider that are no JSON, of the wrong kind, or an error message in place of an answer."""
+    v = posting_view(spark, sf)
+    kinds = F.array(*[F.lit(k) for k in FAULTY])
+    provider = F.element_at(kinds, (F.col("posting_id") % len(FAULTY) + 1).cast("int"))
+    body = F.array(F.struct(F.col("description").alias("text")))
+    good = F.when(provider.isin("lever", "remoteok"), F.to_json(body)).when(provider == "arbeitnow", F.to_json(F.struct(body.alias("data")))) \
+        .otherwise(F.to_json(F.struct(body.alias("jobs"))))
+    nth = F.floor(F.col("posting_id") / len(FAULTY))
+    payload = F.when(nth % 9 == 4, F.to_json(F.struct(F.col("title").alias("error")))).when(nth % 50 == 39, F.lit('"down"')).when(nth % 70 == 69, F.lit("{")).otherwise(good)
+    raw = v.select(provider.alias("provider"), board_name().alias("board"), F.col("posting_id").cast("int").alias("request_no"), "url", payload.alias("payload"), F.lit(None).cast("timestamp").alias("fetched_at"))
+    usable, lost = L.split_broken(raw)
+    return usable.select("provider", "board", "request_no", F.lit("").alias("fault")).unionByName(lost.select("provider", "board", "request_no", "fault"))
+
+
 # ---------------------------------------------------------------- pages
 
 
@@ -579,6 +615,66 @@ def sheet_rows(spark, sf):
     return cap_cells(to_sheet_rows(rows, include_description=True)).select("title", "company", "tags", "requirements", "url", "description")
 
 
+def _sink(fmt: str, append: bool = False):
+    """Postings written, for ``append`` in two goes, and read back from the files, beside the numbers that the writer reported."""
+
+    def run(spark, sf):
+        path = f"{shared_dir(spark)}/sink-{uuid.uuid4().hex}.{fmt}"
+        rows = canonical(spark, sf).withColumn("title", F.when(F.col("seq") % 4 == 0, F.concat(F.lit("=1+"), "title")).otherwise(F.col("title")))
+        even = F.col("seq") % 2 == 0
+        parts = [rows.where(even), rows.where(~even)] if append else [rows]
+        written = [write_postings(part, path, include_description=True, append=append) for part in parts]
+        back = read_postings(spark, path)
+        if fmt == "json":
+            back = back.withColumns({c: F.array_join(c, "; ") for c in ("tags", "requirements")})
+        return back.select("title", "company", "url", "tags", "requirements", "description", F.lit(sum(written)).cast("bigint").alias("written"))
+
+    return run
+
+
+def sink_formats(spark, sf):
+    """The format that each output path stands for."""
+    names = F.array(*map(F.lit, ("csv", "tsv", "tab", "json", "JSON", "txt", "")))
+    named = table(spark, sf, "documents").select("doc_id", F.get(names, (F.col("doc_id") % 7).cast("int")).alias("ext"))
+    kinds = spark.createDataFrame([(e, infer_format(f"/out/jobs.{e}")) for e in ("csv", "tsv", "tab", "json", "JSON", "txt", "")], "ext string, format string")
+    return named.join(F.broadcast(kinds), "ext").select("doc_id", "format")
+
+
+def capped_cells(spark, sf):
+    """Every text cell at the size a workbook can hold, texts four times as long."""
+    rows = canonical(spark, sf).select("seq", F.repeat("description", 4).alias("description"))
+    return cap_cells(rows)
+
+
+def seed_lines(spark, sf):
+    """A list of sites in a text file, with remarks and blank lines, routed."""
+    path = f"{shared_dir(spark)}/seeds-{uuid.uuid4().hex}"
+    p = F.col("page_id").cast("string")
+    line = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("# only a remark "), p)).when(F.col("page_id") % 4 == 1, F.lit("  ")) \
+        .otherwise(F.concat(F.lit(" site"), p, F.lit(".example.com/openings  # page "), p))
+    table(spark, sf, "pages").select(line.alias("value")).write.text(path)
+    routed = L.read_seeds(spark, path).select("value", U.route(F.col("value")).alias("r"))
+    return routed.select("value", "r.source", F.array_join("r.start_urls", " ").alias("start_urls"))
+
+
+def html_content(spark, sf):
+    """Pages whose content type says they are HTML, or says nothing."""
+    p = F.col("page_id")
+    kinds = table(spark, sf, "pages").withColumn("content_type", F.when(p % 4 == 0, "text/html; charset=utf-8").when(p % 4 == 1, "application/pdf").when(p % 4 == 2, "application/xhtml+xml"))
+    return P.html_only(kinds).select("page_id", "url")
+
+
+def page_dates(spark, sf):
+    """Date hints of a page in the order in which they count."""
+    p = F.col("page_id")
+    head = F.concat(F.when(p % 3 == 0, F.concat(F.lit('<meta name="date" content="2027-01-'), F.lpad((p % 28 + 1).cast("string"), 2, "0"), F.lit('">'))).otherwise(""),
+                    F.when(p % 5 == 0, F.lit('<meta property="article:published_time" content=" 2027-02-02 ">')).otherwise(""))
+    time = F.when(p % 4 == 1, F.lit('<time datetime="2027-03-03">x</time>')).when(p % 4 == 2, F.lit("<time>5 <b>March</b></time>")).otherwise("")
+    pages = table(spark, sf, "pages").withColumn("html", F.concat(head, time, "html"))
+    feats = W.page_features(pages)
+    return feats.select("page_id", F.col("meta_posted"), F.col("time_posted"), W.page_posted(F.col("meta_posted"), F.col("time_posted"), F.lit("")).alias("posted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     text = P.search_text
     return {
@@ -610,6 +706,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "first_matches": limited,
         "search_end_to_end": search,
         "stream_ingest": stream,
+        "stream_quarantine": stream_quarantine,
         "normalize_remoteok": remoteok,
         "normalize_remotive": remotive,
         "normalize_arbeitnow": arbeitnow,
@@ -619,6 +716,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "select_sources": select_by_name,
         "union_sources": sources_union,
         "quarantine": quarantine,
+        "quarantine_faults": quarantine_faults,
         "jsonld_postings": jsonld,
         "html_text": html_text,
         "page_links": page_links,
@@ -636,4 +734,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "site_search_first": site_search_first,
         "linkedin_postings": linkedin,
         "sheet_rows": sheet_rows,
+        "sink_csv": _sink("csv"),
+        "sink_tsv_append": _sink("tsv", append=True),
+        "sink_json": _sink("json"),
+        "sink_json_append": _sink("json", append=True),
+        "sink_formats": sink_formats,
+        "capped_cells": capped_cells,
+        "seed_lines": seed_lines,
+        "html_content": html_content,
+        "page_dates": page_dates,
     }

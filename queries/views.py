@@ -83,3 +83,5 @@ BOARD_SITE_PAGES = MANY_SITE_PAGES.replace(
 FIXED_SITES = ((0, "  "), (1, "https://boards.greenhouse.io/co3"), (3, "de.linkedin.com"), (4, "boards.greenhouse.io/embed/job_board?for=co3"), (5, "remotive.com"))
 FIRST_SITE = 10
 BROKEN_BOARD, BROKEN_FROM = "lv2", 8
+# Providers whose payloads go wrong.
+FAULTY = ("remotive", "lever", "greenhouse", "remoteok", "arbeitnow")
