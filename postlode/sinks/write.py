@@ -73,7 +73,8 @@ def read_postings(spark: SparkSession, path: str, fmt: str | None = None) -> Dat
     if fmt == "json":
         names = stored_columns(spark, path, fmt)
         return spark.read.schema(", ".join(f"{c} {'ARRAY<STRING>' if c in ARRAY_COLUMNS else 'STRING'}" for c in names)).json(path)
-    return spark.read.options(**_csv_options(fmt), multiLine=True, nullValue="\x00").csv(path)
+    # A cell is never missing in what was written; the reader takes an empty one for missing.
+    return spark.read.options(**_csv_options(fmt), multiLine=True, nullValue="\x00").csv(path).na.fill("")
 
 
 def write_postings(df: DataFrame, path: str, fmt: str | None = None, include_description: bool = False,

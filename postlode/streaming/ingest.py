@@ -22,7 +22,7 @@ from ..sources.registry import normalize, providers_in
 _URLS = "u STRING"
 _TITLES = "t STRING, s STRING"
 _FAILED = "provider STRING, board STRING, failed_at INT"
-STATE_PARTS = 128  # folders of a state table, by the hash of the key
+STATE_PARTS = 32  # folders of a state table, by the hash of the key
 
 
 def _part(key: str) -> Column:
