@@ -121,7 +121,9 @@ def decide(units: DataFrame, block: int, partial: bool) -> DataFrame:
             group["p"] = landing(group["p"].to_numpy(), group["words"].to_numpy(), partial)
         return group[["unit", "source", "words", "rows", "p", "last"]]
 
-    done, left = [], units
+    # Flight leaves alone what is decided but for rounding, so nothing like it may wait for a level that decides it.
+    p = F.col("p")
+    done, left = [], units.withColumn("p", F.when(p <= EDGE, 0.0).when(p >= 1 - EDGE, 1.0).otherwise(p))
     while True:
         counts = left.groupBy("source").agg(F.ceil(F.count("*") / block).alias("blocks"))
         counts = cut(counts, "mix-blocks")

@@ -112,8 +112,15 @@ def hashed(rows: DataFrame, hashes: Hashes, probing: bool) -> DataFrame:
     return rows.mapInPandas(run, "id bigint, bucket string")
 
 
+def _levelled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that squares neither overflow nor vanish; cosines keep every bit."""
+    return np.ldexp(x, -np.clip(np.frexp(np.abs(x).max(axis=1, keepdims=True))[1], -1000, 1000))
+
+
 def exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The cosine of each row of ``x`` and that of ``y``, summed in the order of ``cosine``, so equal to it in every bit."""
+    x, y = _levelled(x), _levelled(y)
+
     def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.cumsum(a * b, axis=1)[:, -1]
 
@@ -122,7 +129,8 @@ def exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def best_of_blocks(queries: DataFrame, candidates: DataFrame, top: int) -> DataFrame:
-    """For (id, bucket, vector), candidates with ``low``: per query and block the ``top`` nearest candidate classes.
+    """For (id, bucket, vector), queries with ``least``, candidates with ``low``: per query and block the ``top`` nearest
+    candidate classes, and of these only those whose score is ``least`` or more.
 
     Classes of equal cosine are taken by their smallest vec_id, ``low``: all within a margin of the last one are ordered by
     the exact score.
@@ -135,7 +143,7 @@ def best_of_blocks(queries: DataFrame, candidates: DataFrame, top: int) -> DataF
 
     def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
         rows = rows.join(n, "bucket").withColumn("b" + own, F.pmod(F.xxhash64("id"), F.col("n" + own)).cast("int"))
-        return rows.withColumn("b" + other, F.explode_outer(F.sequence(F.lit(0), F.col("n" + other) - 1))).select("bucket", "bq", "bc", "id", "vector", *(["low"] if own == "c" else []))
+        return rows.withColumn("b" + other, F.explode_outer(F.sequence(F.lit(0), F.col("n" + other) - 1))).select("bucket", "bq", "bc", "id", "vector", "low" if own == "c" else "least")
 
     def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
@@ -145,23 +153,30 @@ def best_of_blocks(queries: DataFrame, candidates: DataFrame, top: int) -> DataF
         near = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
         k = min(top, len(y))
         last = np.partition(near, len(y) - k, axis=1)[:, len(y) - k]
-        low, chosen = c["low"].to_numpy(), []
-        for row, least in enumerate(last - MARGIN):
+        low, wanted, chosen = c["low"].to_numpy(), q["least"].to_numpy(), []
+        for row, least in enumerate(np.maximum(last, wanted) - MARGIN):
             at = np.flatnonzero(near[row] >= least)
             score = exact(given[0][[row]], given[1][at])
             order = np.lexsort((low[at], -score))[:k]
+            order = order[score[order] >= wanted[row]]
             chosen.append((at[order], score[order]))
         best = np.concatenate([at for at, _ in chosen])
-        return pd.DataFrame({"query": np.repeat(q["id"].to_numpy(), k), "class": c["id"].to_numpy()[best], "low": low[best], "near": np.concatenate([s for _, s in chosen])})
+        return pd.DataFrame({"query": np.repeat(q["id"].to_numpy(), [len(at) for at, _ in chosen]), "class": c["id"].to_numpy()[best], "low": low[best], "near": np.concatenate([s for _, s in chosen])})
 
     keys = ["bucket", "bq", "bc"]
     return dealt(queries, "q", "c").groupBy(*keys).cogroup(dealt(candidates, "c", "q").groupBy(*keys)).applyInPandas(meet, "query bigint, class bigint, low bigint, near double")
 
 
 def cosine(a: Column, b: Column) -> Column:
+    def levelled(v: Column) -> Column:
+        largest = F.array_max(F.transform(v, lambda x: F.abs(x.cast("double"))))
+        factor = F.pow(F.lit(2.0), -F.greatest(F.lit(-1000), F.least(F.lit(1000), F.floor(F.log2(largest)))))
+        return F.transform(v, lambda x: x.cast("double") * factor)
+
     def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, v: s + v)
+        return F.aggregate(F.zip_with(x, y, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
 
+    a, b = levelled(a), levelled(b)
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))))
 
 
@@ -178,14 +193,24 @@ def search(vectors: DataFrame, is_query: Column, top: int = TOP, **settings) ->
     asked = classes.where("asks").select("id", "vector")
     visits = hashed(asked, hashes, probing=True).join(asked, "id")
     spare = top + SPARE
-    found = best_of_blocks(cut(visits, "ann-visits"), cut(index, "ann-index"), spare)
-    found = cut(found.groupBy("query", "class", "low").agg(F.max("near").alias("near")), "ann-found")
+    index = cut(index, "ann-index")
+
+    def merged(found: DataFrame) -> DataFrame:
+        return found.groupBy("query", "class", "low").agg(F.max("near").alias("near"))
+
+    # A query's own buckets first.  Of all others it wants only what is no worse than the last of the best found there.
+    nearest = Window.partitionBy("query").orderBy(F.col("near").desc(), "low")
+    home = hashed(asked, hashes, probing=False).join(asked, "id").withColumn("least", F.lit(-2.0))
+    home = cut(merged(best_of_blocks(cut(home, "ann-home"), index, spare)), "ann-home-found")
+    least = home.withColumn("r", F.row_number().over(nearest)).where(F.col("r") == spare).select(F.col("query").alias("id"), F.col("near").alias("least"))
+    visits = visits.join(least, "id", "left").withColumn("least", F.coalesce("least", F.lit(-2.0)))
+    found = cut(merged(home.union(best_of_blocks(cut(visits, "ann-visits"), index, spare))), "ann-found")
 
     counts = found.groupBy("query").agg(F.count("*").alias("n")).where(F.col("n") >= min(spare, size))
     short = cut(asked.join(counts, asked["id"] == counts["query"], "left_anti"), "ann-short")
     if not short.isEmpty():
         length = F.size("vector").cast("string").alias("bucket")
-        more = best_of_blocks(short.select("id", length, "vector"), classes.select("id", length, "vector", "low"), spare)
+        more = best_of_blocks(short.select("id", length, "vector", F.lit(-2.0).alias("least")), classes.select("id", length, "vector", "low"), spare)
         found = found.union(more.groupBy("query", "class", "low").agg(F.max("near").alias("near"))).distinct()
 
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("near").desc(), "low"))

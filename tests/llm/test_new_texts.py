@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from postlode.llm import line_dedup, resampling, spelling
+from postlode.llm import line_dedup, mixing, neighbours, resampling, spelling
 
 # Extra columns whose names clash with those that the operators use.
 SCHEMA = "doc_id bigint, text string, key string, word int, row int, n bigint, k1 string, score string, block int"
@@ -174,3 +174,22 @@ def test_the_second_filter_misses_no_repeat(spark):
     twice = line_dedup.twice_filter(hashes, 1 << 16)
     assert line_dedup._has(twice, again).all()
     assert line_dedup._has(twice, np.concatenate([x[5:40] for x in lists[20:39]])).mean() < 0.05
+
+
+def test_scores_of_tiny_and_huge_vectors_equal_those_of_rescaled_ones(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 6))
+    sizes = [1.0, 1e-170, 1e160, 5e-300, 1e300]
+    plain = {}
+    for scale in (False, True):
+        rows = [(i, [float(v) for v in (row * sizes[i % 5] if scale else row)]) for i, row in enumerate(x)]
+        vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        plain[scale] = {(r["query_id"], r["rank"]): (r["vec_id"], round(r["score"], 12)) for r in neighbours.search(vectors, neighbours.F.lit(True)).collect()}
+    assert plain[True] == plain[False] and len(plain[True]) == 300
+
+
+def test_what_is_decided_but_for_rounding_ends(spark):
+    units = spark.createDataFrame([(f"u{i}", "s", 3.0, 1.0, p) for i, p in enumerate([1e-12] * 10 + [1 - 1e-12] * 3 + [0.5] * 4)], "unit string, source string, words double, rows double, p double")
+    got = {r["unit"]: r["p"] for r in mixing.decide(units, 2, False).collect()}
+    assert set(got.values()) == {0.0, 1.0} and all(got[f"u{i}"] == 0 for i in range(10)) and got["u10"] == got["u11"] == got["u12"] == 1
+    assert sum(got.values()) == 5
