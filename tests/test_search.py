@@ -1,156 +1,158 @@
+"""The search as a whole: each filter over one set of postings, order and limits, sheets and what is read back from them."""
+
 import json
-from datetime import date
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from postlode import rules
 from postlode.operators import filters as P
-from postlode.plans.search import SearchSpec, search_postings
-from postlode.schema import COLUMNS, POSTING_DDL, RAW_DDL
+from postlode.plans.search import SearchSpec, postings_filter, search_postings
+from postlode.schema import ARRAY_COLUMNS, COLUMNS, POSTING_DDL, RAW_DDL
 from postlode.sinks.write import cap_cells, infer_format, read_postings, to_sheet_rows, write_postings
-from postlode.sources.raw import read_raw, split_broken
+from postlode.sources.raw import split_broken
 from postlode.sources.registry import normalize, select_sources
-from postlode.streaming.ingest import stream_postings
 
-AS_OF = date(2026, 10, 8)
+TODAY = date(2027, 3, 9)
+
+
+def days_ago(n):
+    return (TODAY - timedelta(days=n)).isoformat()
 
 
 @pytest.fixture
-def posting(spark):
-    def make(*rows):
+def postings(spark):
+    def make(rows):
+        """``rows``: the fields of each posting under its key, which becomes its company."""
         out = []
-        for i, kw in enumerate(rows):
-            rec = {c: [] if c in ("tags", "certifications", "clearance", "requirements") else "" for c in COLUMNS + ["description"]}
-            rec.update(remote="Unknown") if "remote" not in kw else None
-            rec.update(kw)
+        for i, (key, given) in enumerate(rows.items()):
+            rec = {c: [] if c in ARRAY_COLUMNS else "" for c in COLUMNS + ["description"]} | {"remote": "Unknown", "company": key} | given
             out.append(((0, "", 0, i), *[rec[c] for c in COLUMNS + ["description"]]))
         return spark.createDataFrame(out, POSTING_DDL)
 
     return make
 
 
-def test_term_patterns(apply):
-    rows = ["Cybersecurity lead", "cyber-security", "cyber   security", "cybersecuritys", "a Cyber\nSecurity b", "social media SOC", "C++ dev", "xC++"]
-    assert apply(lambda a, *_: P.match_any(a, ["cyber security"]), rows) == [True, True, True, False, True, False, False, False]
-    assert apply(lambda a, *_: P.match_any(a, ["SOC", " "]), rows)[5:] == [True, False, False]
-    assert apply(lambda a, *_: P.match_any(a, ["c++"]), rows)[6:] == [True, False]
-    assert apply(lambda a, *_: P.match_any(a, []), rows[:1]) == [True]
-    with pytest.raises(KeyError):
-        rules.expand_fields(["basket weaving"])
-
-
-def test_terms_from_a_table(spark):
-    texts = ["We do cyber-security and R&D lead work", "cybersecurity (C++)", "cyber sec urity", "+ plus", "r & d leads", "VPN,soc", "data  engineer-ing"]
-    terms = ["cyber security", "cybersecurity", "R&D lead", "C++", "+", "SOC", "data engineer", "cyber", "vpn", " "]
-    df = spark.createDataFrame(list(enumerate(texts)), "posting_id INT, text STRING")
-    got = {(r.posting_id, r.term) for r in P.term_matches(df, spark.createDataFrame([(t,) for t in terms], "term STRING"), F.col("text")).collect()}
-    want = set()
-    for t in terms:
-        if t.strip():
-            hits = df.where(P.match_any(F.col("text"), [t])).select("posting_id").collect()
-            want |= {(r.posting_id, t) for r in hits}
-    assert got == want and (0, "R&D lead") in got and (3, "+") in got
-
-
-def test_filters(posting):
-    base = dict(title="Cyber Security Analyst", url="https://jobs.example.com/1", location="Remote, US", remote="Remote", description="Full-time role.", tags=["security"])
-
-    def keeps(spec_args, **kw):
-        from postlode.plans.search import postings_filter
-
-        return posting({**base, **kw}).where(postings_filter(SearchSpec(as_of=AS_OF, **spec_args))).count() == 1
-
-    assert keeps(dict(fields=["cybersecurity"], remote_only=True)) and not keeps(dict(keywords=["nurse"]))
-    assert keeps(dict(require=["full time", "security"])) and not keeps(dict(require=["part-time"]))
-    assert not keeps(dict(exclude=["analyst"])) and not keeps(dict(keywords=["full-time"], title_only=True))
-    assert keeps(dict(domains=["example.com"])) and not keeps(dict(exclude_domains=["example.com"]))
-    assert not keeps(dict(domains=["example.com"]), url="https://badexample.com/1")
-    assert keeps(dict(locations=["us"])) and not keeps(dict(locations=["berlin"]))
-    assert not keeps(dict(remote_only=True), remote="Hybrid") and keeps(dict(remote_only=True, include_hybrid=True), remote="Hybrid")
-    recent = dict(posted_within_days=5)
-    assert keeps(recent, posted_date="2026-10-03") and keeps(recent, posted_date="Posted 2 Days Ago")
-    assert not keeps(recent, posted_date="2026-10-02") and not keeps(recent, posted_date="")
-    assert keeps(dict(posted_within_days=5, include_undated=True), posted_date="soon")
-    for bad in (dict(limit=0), dict(posted_within_days=-1), dict(fields=["nope"])):
-        with pytest.raises((ValueError, KeyError)):
-            SearchSpec(as_of=AS_OF, **bad)
-
-
-def test_domain_table(posting, spark):
-    df = posting(*[dict(url=u) for u in ("https://a.example.com/1", "https://example.com", "https://badexample.com", "https://x.test", "")])
-    listed = spark.createDataFrame([("https://www.Example.com/x",), ("test.",), ("",)], "domain STRING")
-    assert sorted(r.url for r in P.domain_table_filter(df, listed).collect()) == ["https://a.example.com/1", "https://example.com", "https://x.test"]
-    assert sorted(r.url for r in P.domain_table_filter(df, listed, deny=True).collect()) == ["", "https://badexample.com"]
-
-
+BOARD = {
+    "mill": dict(title="Kubernetes operator", remote="Remote", location="Oslo or anywhere", url="https://mill.test/a", posted_date=days_ago(1), description="Night-shift work on call."),
+    "kiln": dict(title="Data scientist", remote="Hybrid", location="Porto", url="https://jobs.kiln.test/b", posted_date="Posted 6 Days Ago", tags=["night shift"], description="Clay."),
+    "loom": dict(title="Weaver", remote="On-site", location="Turku", url="https://notkiln.test/c", posted_date=days_ago(7), description="Nightshifts never."),
+    "quarry": dict(title="Stone mason", url="http://QUARRY.test", posted_date="ask us", description="Kubernetes is a plus; data  scientist colleagues."),
+}
+
+
+@pytest.mark.parametrize("wanted, kept", [
+    (dict(), {"mill", "kiln", "loom", "quarry"}),
+    (dict(keywords=["night shift"]), {"mill", "kiln"}),
+    (dict(keywords=["kubernetes", "weaver"]), {"mill", "loom", "quarry"}),
+    (dict(keywords=["kubernetes"], title_only=True), {"mill"}),
+    (dict(fields=["data"]), {"kiln", "quarry"}),
+    (dict(fields=["devops"], keywords=["clay"]), {"mill", "kiln", "quarry"}),
+    (dict(require=["kubernetes", "data-scientist"]), {"quarry"}),
+    (dict(exclude=["kubernetes", "clay"]), {"loom"}),
+    (dict(remote_only=True), {"mill"}),
+    (dict(remote_only=True, include_hybrid=True), {"mill", "kiln"}),
+    (dict(include_hybrid=True), {"mill", "kiln", "loom", "quarry"}),
+    (dict(locations=["OSLO", "turku"]), {"mill", "loom"}),
+    (dict(domains=["www.kiln.test"]), {"kiln"}),
+    (dict(domains=["kiln.test", "quarry.test"]), {"kiln", "quarry"}),
+    (dict(exclude_domains=["https://kiln.test/x", "mill.test"]), {"loom", "quarry"}),
+    (dict(posted_within_days=6), {"mill", "kiln"}),
+    (dict(posted_within_days=7), {"mill", "kiln", "loom"}),
+    (dict(posted_within_days=0, include_undated=True), {"quarry"}),
+    (dict(keywords=["night shift"], remote_only=True, exclude=["porto"]), {"mill"}),
+])
+def test_each_filter(postings, wanted, kept):
+    found = postings(BOARD).where(postings_filter(SearchSpec(as_of=TODAY, **wanted)))
+    assert {r["company"] for r in found.collect()} == kept
+
+
+@pytest.mark.parametrize("wrong, error", [(dict(limit=-1), ValueError), (dict(limit=0), ValueError), (dict(posted_within_days=-3), ValueError), (dict(fields=["pottery"]), KeyError)])
+def test_wrong_requests(wrong, error):
+    with pytest.raises(error):
+        SearchSpec(as_of=TODAY, **wrong)
+
+
+def test_word_edges_and_separators(apply):
+    texts = ["night shift", "Night-Shift!", "nightshift", "night \n- shift", "nightshifts", "midnight shift", "F# and R&D", "F#x"]
+
+    def hits(*terms):
+        return [i for i, hit in enumerate(apply(lambda a, *_: P.match_any(a, list(terms)), texts)) if hit]
+
+    assert hits("night shift") == [0, 1, 2, 3] and hits("NIGHT-shift", "  ") == [0, 1, 2, 3]
+    assert hits("f#") == [6] and hits("r&d", "midnight") == [5, 6] and hits() == list(range(8))
+    assert rules.expand_fields(["Data", "data"]) == rules.expand_fields(["data"])
+
+
+def test_domains_from_a_table(postings, spark):
+    listed = spark.createDataFrame([("kiln.test",), ("HTTP://www.Quarry.test/y",), ("",), (".",)], "domain STRING")
+    df = postings(BOARD | {"none": dict(url="")})
+    assert {r["company"] for r in P.domain_table_filter(df, listed).collect()} == {"kiln", "quarry"}
+    assert {r["company"] for r in P.domain_table_filter(df, listed, deny=True).collect()} == {"mill", "loom", "none"}
+
+
+@pytest.fixture(scope="module")
 def landed(spark):
-    ok = [{"legal": "x"},
-          {"position": "Senior Security Engineer", "company": "A", "url": "https://remoteok.com/1", "description": "<h3>Requirements</h3><ul><li>CISSP required</li><li>5+ years of security experience</li></ul>"},
-          {"position": "Florist", "company": "B", "url": "https://remoteok.com/2", "description": "Sell."}]
-    remotive = {"jobs": [{"title": "SOC Analyst", "company_name": "C", "url": "https://remotive.com/3", "publication_date": "2026-10-06T00:00", "description": "<p>Bachelor's degree required.</p>"},
-                         {"title": "Senior Security Engineer", "company_name": "A", "url": "https://remotive.com/9", "description": "copy"}]}
-    rows = [("remoteok", "", 0, "", json.dumps(ok), None), ("remotive", "", 0, "", json.dumps(remotive), None), ("arbeitnow", "", 0, "", "{broken", None)]
+    """Two sources that share a job, and one that sends no JSON."""
+    arbeitnow = {"data": [
+        {"title": "Site reliability lead", "company_name": "Dyke", "url": "https://arbeitnow.test/1", "remote": True, "description": "<p>Tend the pumps.</p><h3>What you bring</h3><ul><li>4+ years of pump experience</li></ul>"},
+        {"title": "Baker", "company_name": "Oven", "url": "https://arbeitnow.test/2", "description": "Bread."}]}
+    remotive = {"jobs": [
+        {"title": "SITE reliability LEAD ", "company_name": "dyke", "url": "https://remotive.test/8", "publication_date": days_ago(2), "description": "The same again, SRE."},
+        {"title": "DevOps gardener", "company_name": "Hedge", "url": "https://remotive.test/9", "publication_date": days_ago(2) + "T07:30:00", "description": "<p>Master's degree preferred.</p>"}]}
+    rows = [("remotive", None, 0, "", json.dumps(remotive), None), ("arbeitnow", None, 0, "", json.dumps(arbeitnow), None), ("remoteok", None, 0, "", "<!doctype html>", None)]
     return spark.createDataFrame(rows, RAW_DDL)
 
 
-def test_end_to_end_with_a_broken_source(spark, tmp_path):
-    usable, lost = split_broken(landed(spark))
-    assert lost.count() == 1
-    postings = normalize(select_sources(usable), F.lit(AS_OF))
-    run = lambda **kw: search_postings(postings, SearchSpec(as_of=AS_OF, fields=["cybersecurity"], **kw))
-    rows = sorted(run(remote_only=True).collect(), key=lambda r: r.title)
-    assert [r.title for r in rows] == ["SOC Analyst", "Senior Security Engineer"]
-    assert (rows[1].certifications, rows[1].experience, rows[1].requirements, rows[1].url) == (
-        ["CISSP"], "5+ years", ["CISSP required", "5+ years of security experience"], "https://remoteok.com/1")
-    assert (rows[0].education, rows[0].posted_date) == ("Bachelor's", "2026-10-06")
-    # The copy on the second board is suppressed even though the first posting fails the filter.
-    assert [r.title for r in run(exclude=["CISSP"]).collect()] == ["SOC Analyst"]
-    assert [r.title for r in run(limit=1).collect()] == ["Senior Security Engineer"]
-    assert [r.title for r in run(posted_within_days=5).collect()] == ["SOC Analyst"]
-
-    out = str(tmp_path / "jobs.csv")
-    assert write_postings(run(), out) == 2
-    assert write_postings(run(), out, append=True) == 2
-    stored = read_postings(spark, out)
-    assert stored.columns == COLUMNS and stored.count() == 4
-    with pytest.raises(ValueError):
-        write_postings(run(include_description=True), out, append=True, include_description=True)
-
-
-def test_sheet_rows_and_formats(posting, spark, tmp_path):
-    df = posting(dict(title='=HYPERLINK("http://evil")', company="Acme\x01", certifications=["CISSP", "OSCP"], requirements=["Degree", "3+ years"], description="Full\n\"text\", x"),
-                 dict(title="\ttab", company="  =cmd()", url="-1"), dict(title="ok = fine", company=" x "))
-    rows = to_sheet_rows(df).collect()
-    assert [r.title for r in rows] == ["'=HYPERLINK(\"http://evil\")", "'\ttab", "ok = fine"]
-    assert (rows[0].company, rows[0].certifications, rows[0].requirements) == ("Acme", "CISSP; OSCP", "Degree | 3+ years")
-    assert (rows[1].company, rows[1].url) == ("'  =cmd()", "'-1")
-    assert cap_cells(to_sheet_rows(df), 3).first().company == "Acm"
-    assert [infer_format(*a) for a in (("o.TSV",), ("o.tab",), ("o",), ("o.csv", "JSON"), ("o.json",))] == ["tsv", "tsv", "csv", "json", "json"]
-    for bad in (("o.xlsx",), ("o", "pdf")):
+def test_a_search_from_payloads_to_rows(spark, landed):
+    usable, lost = split_broken(landed)
+    assert [(r["provider"], r["fault"]) for r in lost.collect()] == [("remoteok", "unreadable")]
+    # Sources rank as they are named, so the copy on the second one goes.
+    jobs = normalize(select_sources(usable, ["arbeitnow", "remotive"]), F.lit(TODAY))
+
+    def found(**wanted):
+        return [r["url"][-1] for r in search_postings(jobs, SearchSpec(as_of=TODAY, fields=["devops"], **wanted)).collect()]
+
+    assert sorted(found()) == ["1", "9"] and found(limit=1) == ["1"] and found(posted_within_days=3) == ["9"]
+    assert found(exclude=["pumps"]) == ["9"], "a posting that is filtered out still hides its copy"
+    rows = {r["url"][-1]: r for r in search_postings(jobs, SearchSpec(as_of=TODAY, limit=9)).collect()}
+    assert set(rows) == {"1", "2", "9"} and rows["9"]["posted_date"] == days_ago(2) and rows["9"]["education"] == "Master's"
+    assert rows["1"]["experience"] == "4+ years" and rows["1"]["requirements"] == ["4+ years of pump experience"] and rows["1"]["remote"] == "Remote"
+
+
+SHEET = {
+    "+1 more": dict(title="@home", url="https://s.test/1", tags=["x", "y"], clearance=["Secret"], requirements=["one", "two"]),
+    "plain": dict(title="a=b", url="https://s.test/2", description='says "hi",\nthen\tleaves'),
+    " \x07-bell": dict(title="\r=x", url="https://s.test/3", description="é" * 50),
+}
+
+
+def test_cells_are_safe_in_a_sheet(postings):
+    rows = {r["url"][-1]: r for r in to_sheet_rows(postings(SHEET), include_description=True).collect()}
+    assert [rows[k]["company"] for k in "123"] == ["'+1 more", "plain", "' -bell"]
+    assert rows["1"]["title"] == "'@home" and rows["2"]["title"] == "a=b" and rows["3"]["title"].startswith("'")
+    assert (rows["1"]["tags"], rows["1"]["clearance"], rows["1"]["requirements"]) == ("x; y", "Secret", "one | two")
+    capped = cap_cells(to_sheet_rows(postings(SHEET), include_description=True), 7).collect()
+    assert max(len(v) for r in capped for v in r) == 7
+
+
+@pytest.mark.parametrize("name", ["jobs.csv", "jobs.tab", "jobs.json"])
+def test_written_appended_and_read_back(postings, spark, tmp_path, name):
+    df, path = postings(SHEET), str(tmp_path / name)
+    assert write_postings(df, path, include_description=True) == 3
+    assert write_postings(df.where("url LIKE '%2'"), path, include_description=True, append=True) == 1
+    back = read_postings(spark, path)
+    assert back.columns == COLUMNS + ["description"] and back.count() == 4
+    assert [r["description"] for r in back.where("url LIKE '%2'").collect()] == [SHEET["plain"]["description"]] * 2
+    with pytest.raises(ValueError, match="columns"):
+        write_postings(df, path, append=True)
+    assert write_postings(df.limit(1), path) == 1 and read_postings(spark, path).count() == 1
+
+
+def test_formats():
+    assert {n: infer_format(n) for n in ("a.csv", "a.Tab", "a.JSON", "a.b/c", "a.txt")} == {"a.csv": "csv", "a.Tab": "tsv", "a.JSON": "json", "a.b/c": "csv", "a.txt": "csv"}
+    assert infer_format("a.json", "TSV") == "tsv"
+    for wrong in (("a.csv", "parquet"), ("book.xlsx",)):
         with pytest.raises(ValueError):
-            infer_format(*bad)
-    for name in ("o.tsv", "o.csv"):
-        write_postings(df, str(tmp_path / name), include_description=True)
-        back = {r.title: r for r in read_postings(spark, str(tmp_path / name)).collect()}
-        assert back["ok = fine"].company == " x " and back["'=HYPERLINK(\"http://evil\")"].description == "Full\n\"text\", x"
-    write_postings(df, str(tmp_path / "o.json"))
-    write_postings(df, str(tmp_path / "o.json"), append=True)
-    back = read_postings(spark, str(tmp_path / "o.json"))
-    assert back.count() == 6 and "description" not in back.columns
-    assert ["CISSP", "OSCP"] in [list(r.certifications) for r in back.collect()]
-
-
-def test_stream_of_payload_files(spark, tmp_path):
-    landed(spark).where("provider = 'remoteok'").coalesce(1).write.parquet(str(tmp_path / "in"))
-    spec = SearchSpec(as_of=AS_OF, fields=["cybersecurity"])
-
-    def run():
-        source = read_raw(spark, str(tmp_path / "in"), streaming=True, max_files=1)
-        stream_postings(source, spec, *(str(tmp_path / d) for d in ("out", "state", "checkpoint"))).awaitTermination()
-        return sorted(r.url for r in spark.read.parquet(str(tmp_path / "out")).collect())
-
-    assert run() == ["https://remoteok.com/1"]
-    landed(spark).where("provider = 'remotive'").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    assert run() == ["https://remoteok.com/1", "https://remotive.com/3"]
-    assert run() == ["https://remoteok.com/1", "https://remotive.com/3"]
+            infer_format(*wrong)
