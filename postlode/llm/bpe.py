@@ -8,8 +8,8 @@ which id two neighbours merge into.  That map, of fixed size, is a literal of th
 The words of a corpus repeat, so each distinct word is folded once as long as a dictionary of bounded size has room for
 it: at most ``DICTIONARY`` words, the most frequent by a count over the whole corpus, none longer than ``WORD_BYTES``.
 The dictionary decides only where a word's fold runs.  All other words occur too rarely for a fold by lambdas to pay
-(about 170 us a word): they are folded in their row by a small Python helper with the same ranks, in batches, while the
-ids of the dictionary's words pass it as arrays of numbers.  No text is shuffled.
+(about 170 us a word): they are folded by a small Python helper with the same ranks, each once in a run of ``ROWS`` texts.
+The ids are set in the places of the words on Arrow arrays, so no text is ever a list of Python strings.  No text is shuffled.
 
 Defined cases: a missing text is an empty one and has no ids; rows repeated in full are encoded alike; a long unbroken
 piece is folded like any other, at a cost of its length times its logarithm.
@@ -20,11 +20,10 @@ from __future__ import annotations
 import base64
 import heapq
 import uuid
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from postlode.session import cut
@@ -34,11 +33,9 @@ from .common import whole_text
 DICTIONARY = 1 << 16
 WORD_BYTES = 48
 PAIR_BUCKETS = 1 << 18
-WORD_BUCKETS = 1 << 17
 NONE = (1 << 31) - 1  # ranks of pairs that don't merge
 WIDTH = 1 << 17       # a pair of ids is kept as left * WIDTH + right
-RARE = -1             # stands for the ids of a word that the dictionary lacks
-REMEMBERED = 50_000   # rare words whose ids a task keeps
+ROWS = 512            # texts whose words are looked up at a time
 
 # Unicode white space; Java's \s knows ASCII only.
 SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -119,14 +116,18 @@ def buckets(rows: DataFrame, bucket: Column, n: int, key: str, value: str) -> Co
     return literal(filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "e"))), lambda x: F.map_from_entries(x["e"])).alias("maps")))
 
 
-def spliced(ids: np.ndarray, parts: list[list[int]]) -> np.ndarray:
-    """``ids`` with every RARE replaced by the next of ``parts``."""
-    places = np.flatnonzero(ids == RARE)
-    sizes = np.ones(len(ids), dtype=np.int64)
-    sizes[places] = [len(p) for p in parts]
-    out = np.repeat(ids, sizes)
-    out[out == RARE] = np.concatenate(parts)
-    return out
+def numbers(pieces: pa.ListArray, ids_of: Callable[[str], np.ndarray]) -> pa.ListArray:
+    """The ids of each list of words: every distinct word is looked up once, its ids are copied to all its places."""
+    flat = pieces.flatten().dictionary_encode()
+    known = [ids_of(word) for word in flat.dictionary.to_pylist()]
+    sizes = np.array([len(ids) for ids in known], dtype=np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+    word = flat.indices.to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(sizes[word])]).astype(np.int64)
+    at = np.arange(ends[-1]) + np.repeat(starts[word] - ends[:-1], sizes[word])
+    ids = np.concatenate([*known, np.zeros(0, dtype=np.int32)])[at]
+    edges = pieces.offsets.to_numpy()
+    return pa.ListArray.from_arrays(pa.array(ends[edges - edges[0]], pa.int32()), pa.array(ids, pa.int32()))
 
 
 class Tokenizer:
@@ -188,8 +189,8 @@ class Tokenizer:
         piece = docs.select(F.explode_outer(self.pieces(whole_text())).alias("word"))
         return piece.where(F.octet_length("word") <= WORD_BYTES).groupBy("word").agg(F.count("*").alias("n"))
 
-    def dictionary(self, docs: DataFrame, size: int = DICTIONARY) -> Column:
-        """Ids of the most frequent words, at most ``size`` of them.
+    def dictionary(self, docs: DataFrame, size: int = DICTIONARY) -> DataFrame:
+        """(word, ids) of the most frequent words, at most ``size`` of them.
 
         The words are taken by classes of their count, the highest first, so that a table of some hundred rows decides.
         """
@@ -198,31 +199,28 @@ class Tokenizer:
         levels = words.groupBy(level.alias("level")).agg(F.count("*").alias("words"))
         over = Window.orderBy(F.col("level").desc())
         lowest = levels.withColumn("sum", F.sum("words").over(over)).where(F.col("sum") <= size).agg(F.coalesce(F.min("level"), F.lit(1 << 20))).scalar()
-        kept = cut(words.where(level >= lowest).select("word").repartition("word").select("word", self.fold(F.col("word")).alias("ids")), "bpe-dictionary")
-        return buckets(kept, self.word_bucket(F.col("word")), WORD_BUCKETS, "word", "ids")
-
-    @staticmethod
-    def word_bucket(word: Column) -> Column:
-        return F.pmod(F.hash(word), F.lit(WORD_BUCKETS))
+        return cut(words.where(level >= lowest).select("word").repartition("word").select("word", self.fold(F.col("word")).alias("ids")), "bpe-dictionary")
 
     def encode(self, docs: DataFrame, ids: str = "ids") -> DataFrame:
         """doc_id and ``ids`` (array<int>) of every row of ``docs``."""
-        known = self.dictionary(docs)
-        pieces = docs.select("doc_id", self.pieces(whole_text()).alias("_pieces"))
-        found = pieces.withColumn("_found", F.transform("_pieces", lambda w: F.get(known, self.word_bucket(w))[w]))
-        filled = F.flatten(F.transform("_found", lambda x: F.coalesce(x, F.array(F.lit(RARE)))))
-        rare = F.filter("_pieces", lambda _, i: F.get("_found", i).isNull())
-        return found.select("doc_id", self.fill_in()(filled, rare).alias(ids))
-
-    def fill_in(self):
-        """Put the ids of each rare word, in order, where RARE holds its place."""
-        ranks = self.ranks
-
-        @F.pandas_udf("array<int>")
-        def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-            fold = lru_cache(REMEMBERED)(lambda word: fold_bytes(word.encode("utf-8"), ranks))
-            for filled, rare in batches:
-                yield pd.Series([one if not len(words) else spliced(one, [fold(w) for w in words]) for one, words in zip(filled, rare)], dtype=object)
+        return docs.select("doc_id", self.fill_in(self.dictionary(docs))(self.pieces(whole_text())).alias(ids))
+
+    def fill_in(self, dictionary: DataFrame):
+        """The ids of a list of words.  The dictionary goes to every task; its size is bounded by ``DICTIONARY``."""
+        words = {word: np.array(ids, dtype=np.int32).tobytes() for word, ids in dictionary.select("word", "ids").collect()}
+        tables = dictionary.sparkSession.sparkContext.broadcast((words, self.ranks))
+
+        @F.arrow_udf("array<int>")
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            words, ranks = tables.value
+
+            def ids_of(word: str) -> np.ndarray:
+                ids = words.get(word)
+                return np.array(fold_bytes(word.encode("utf-8"), ranks), dtype=np.int32) if ids is None else np.frombuffer(ids, dtype=np.int32)
+
+            for batch in batches:
+                parts = [numbers(batch.slice(i, ROWS), ids_of) for i in range(0, len(batch), ROWS)]
+                yield pa.concat_arrays(parts or [pa.array([], pa.list_(pa.int32()))])
 
         return run
 
