@@ -8,7 +8,7 @@ postings across all sources without numbering them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import rules
 from ..functions import urls as U
@@ -24,6 +24,8 @@ from .search import SearchSpec, search_postings
 # The order of postings: site in the list, page of its crawl, board on that page (-1: the page itself), request and item.
 PLACE = {"site_pos": "bigint", "page_no": "bigint", "board_no": "int", "request_no": "bigint", "item_pos": "int"}
 _DETAIL = "_detail"
+# Requests of a board lie between these; a missing number counts as the first.
+_FIRST, _NO_END = -(1 << 63), (1 << 63) - 1
 
 
 def route_sites(sites: DataFrame) -> DataFrame:
@@ -45,11 +47,30 @@ def _place(df: DataFrame, **parts: Column) -> DataFrame:
     return df.withColumn("seq", place).drop("site_pos", "page_no", "board_no")
 
 
-def board_postings(raw: DataFrame, places: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+def first_places(places: DataFrame, failed: DataFrame) -> DataFrame:
+    """``source, since, until`` and the place where the requests ``since <= request_no < until`` of that source are met first.
+
+    A place counts up to where its site failed.  A source has one row for every request at which one of its sites failed on
+    it, and one for all that goes on: a few rows, however many sites link to it.
+    """
+    here, end = F.struct("page_no", "board_no"), F.struct("failed_at.page_no", "failed_at.board_no")
+    until = F.when(F.col("failed_at").isNull() | (here < end), F.lit(_NO_END)).when(
+        here == end, F.coalesce("failed_at.request_no", F.lit(_FIRST)))
+    ends = places.join(failed, "site_pos", "left").withColumn("until", until).where("until IS NOT NULL")
+    at = F.struct("site_pos", "page_no", "board_no")
+    firsts = ends.groupBy("source", "until").agg(F.min(at).alias("at"))
+    # Requests before a limit are also met at the places of all later limits.
+    later = Window.partitionBy("source").orderBy(F.desc("until"))
+    since = F.coalesce(F.lead("until").over(later), F.lit(_FIRST))
+    return firsts.select("source", since.alias("since"), "until", F.min("at").over(later).alias("at")).select("source", "since", "until", "at.*")
+
+
+def board_postings(raw: DataFrame, places: DataFrame, as_of: Column, once: bool = False) -> tuple[DataFrame, DataFrame]:
     """Postings of the landed payloads behind ``places``, and per site the first place where a payload was broken.
 
     ``places`` has ``site_pos, page_no, board_no, source, provider, board``.  Payloads are read and normalised once, however
-    many sites link to their board; the places are joined to the postings.
+    many sites link to their board; the places are joined to the postings.  With ``once``, a posting with an address stands
+    at the first place alone where no failure hides it.
     """
     listed = places.select("provider", "board").distinct()
     details = listed.where("provider = 'workday'").select(F.concat("provider", F.lit(_DETAIL)).alias("provider"), "board")
@@ -58,23 +79,38 @@ def board_postings(raw: DataFrame, places: DataFrame, as_of: Column) -> tuple[Da
     usable, lost = split_broken(landed)
     # Kinds of provider that no site leads to need no reading.
     rows = normalize(usable.withColumn("source_rank", F.lit(0)), as_of, providers_in(wanted) or None)
-    placed = rows.join(places.select("site_pos", "page_no", "board_no", "source"), "source")
-    postings = _place(
-        placed, site_pos=F.col("site_pos"), page_no=F.col("page_no"), board_no=F.col("board_no"),
-        request_no=F.col("seq.request_no"), item_pos=F.col("seq.item_pos"),
-    )
     ended = F.col("fault").isin("unreadable", "kind") & ~F.col("provider").endswith(_DETAIL)
     first = lost.where(ended).groupBy("provider", "board").agg(F.min("request_no").alias("request_no"))
     at = F.struct("page_no", "board_no", F.col("request_no").cast("bigint").alias("request_no"))
     failed = places.join(first, ["provider", "board"]).groupBy("site_pos").agg(F.min(at).alias("failed_at"))
+    # Stored for its size: there is one row per site that failed.
+    failed = cut(failed, "failed-sites")
+    where = ["site_pos", "page_no", "board_no"]
+    if once:
+        every = places.select("source", *where, F.lit(_FIRST).alias("since"), F.lit(_NO_END).alias("until"), F.lit(False).alias("_addressed"))
+        firsts = first_places(places, failed).select("source", *where, "since", "until", F.lit(True).alias("_addressed"))
+        placed = rows.withColumn("_addressed", U.url_key(F.col("url")).isNotNull()).join(cut(every.unionByName(firsts), "first-places"), ["source", "_addressed"])
+        request_no = F.coalesce("seq.request_no", F.lit(_FIRST))
+        placed = placed.where((request_no >= F.col("since")) & (request_no < F.col("until"))).drop("_addressed", "since", "until")
+    else:
+        placed = rows.join(places.select(*where, "source"), "source")
+    postings = _place(
+        placed, site_pos=F.col("site_pos"), page_no=F.col("page_no"), board_no=F.col("board_no"),
+        request_no=F.col("seq.request_no"), item_pos=F.col("seq.item_pos"),
+    )
     return postings, failed
 
 
 def site_postings(pages: DataFrame, raw: DataFrame, robots: DataFrame | None, sites: DataFrame, spec: SearchSpec,
-                  agent: str = "postlode", max_depth: int = rules.CRAWL_DEPTH, max_pages: int = rules.CRAWL_PAGES) -> DataFrame:
+                  agent: str = "postlode", max_depth: int = rules.CRAWL_DEPTH, max_pages: int = rules.CRAWL_PAGES,
+                  once: bool = False) -> DataFrame:
     """Postings of every site of the list, ``seq`` being their place.
 
     A broken payload ends its site there: what stands before it is kept, and other sites are not touched.
+
+    A board's posting has as many places as sites that link to the board, so all places are sites times postings.  With
+    ``once``, postings of boards that have an address come at their first place only, which is all that a removal of
+    duplicates can keep of them; those without one still come at every place.
     """
     routes = route_sites(sites)
     crawled = routes.where("provider = 'site'")
@@ -84,7 +120,7 @@ def site_postings(pages: DataFrame, raw: DataFrame, robots: DataFrame | None, si
     direct = routes.where("provider NOT IN ('site', 'linkedin')").select(
         "site_pos", F.lit(0).cast("bigint").alias("page_no"), F.lit(0).alias("board_no"), "source", "provider", "board")
     linked = board_places(visits).join(site_of, "site").select("site_pos", "page_no", "board_no", "source", "provider", "board")
-    hosted, failed = board_postings(raw, cut(direct.unionByName(linked), "board-places"), spec.today)
+    hosted, failed = board_postings(raw, cut(direct.unionByName(linked), "board-places"), spec.today, once)
 
     found = crawl_postings(pages, visits).join(crawled.select("source", "site_pos"), "source")
     out = hosted.unionByName(_place(
@@ -96,8 +132,7 @@ def site_postings(pages: DataFrame, raw: DataFrame, robots: DataFrame | None, si
         out = out.unionByName(_place(
             cards.join(linkedin, "source"), site_pos=F.col("site_pos"), request_no=F.col("seq.request_no"), item_pos=F.col("seq.item_pos")))
 
-    # Stored for its size: there is one row per site that failed.
-    failed = cut(failed, "failed-sites").withColumnRenamed("site_pos", "_site")
+    failed = failed.withColumnRenamed("site_pos", "_site")
     marked = out.join(failed, out["seq.site_pos"] == F.col("_site"), "left")
     before = F.struct("seq.page_no", "seq.board_no", "seq.request_no") < F.col("failed_at")
     return marked.where(F.col("failed_at").isNull() | before).drop("_site", "failed_at")
@@ -106,4 +141,4 @@ def site_postings(pages: DataFrame, raw: DataFrame, robots: DataFrame | None, si
 def search_sites(pages: DataFrame, raw: DataFrame, robots: DataFrame | None, sites: DataFrame, spec: SearchSpec,
                  agent: str = "postlode", max_depth: int = rules.CRAWL_DEPTH, max_pages: int = rules.CRAWL_PAGES) -> DataFrame:
     """Search the postings of a list of sites: dedupe in the order of their places, enrich, filter, limit, project."""
-    return search_postings(site_postings(pages, raw, robots, sites, spec, agent, max_depth, max_pages), spec)
+    return search_postings(site_postings(pages, raw, robots, sites, spec, agent, max_depth, max_pages, once=True), spec)

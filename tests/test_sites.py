@@ -1,5 +1,6 @@
 """The search over a list of sites, and what its pages may hold: deep documents, nested chrome, repeated keys."""
 
+import glob
 import json
 from datetime import date
 
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 from postlode import rules
 from postlode.functions import html as H, jsonld as J
 from postlode.operators import crawl as C
+from postlode.operators.dedupe import dedupe_postings
 from postlode.plans.search import SearchSpec
 from postlode.plans.sites import route_sites, search_sites, site_postings
 from postlode.schema import RAW_DDL
+from postlode.session import shared_dir
 from postlode.sources.registry import select_sources
 from postlode.sources.web import normalize_jsonld
 
@@ -83,6 +86,40 @@ def test_a_broken_payload_ends_its_site_alone(spark, coast):
     assert titles(out) == ["Welder", "Rigger", "Crane driver", "Diver", "Welder", "Rigger"]
 
 
+@pytest.fixture(scope="module")
+def shared_boards(spark):
+    """Six sites that link to the same two boards, of which one breaks; postings without an address among them."""
+    order = [("boards.greenhouse.io/dock", "jobs.lever.co/pier"), ("jobs.lever.co/pier", "boards.greenhouse.io/dock")]
+    pages = pages_of(spark, {f"https://quay{i}.test/": "".join(f'<a href="https://{b}">b</a>' for b in order[i % 2]) for i in range(6)})
+    posted = [{"title": f"Mooring hand {n}", "absolute_url": "" if n % 5 == 0 else f"https://boards.greenhouse.io/dock/{n % 9}"} for n in range(20)]
+    raw = spark.createDataFrame([
+        *[payload("greenhouse", "dock", r, {"jobs": posted[r * 5:r * 5 + 5]}) for r in range(4)],
+        *[payload("lever", "pier", r, [{"text": f"Crane driver {r}", "hostedUrl": f"https://jobs.lever.co/pier/{r}"}]) for r in range(3)],
+        payload("lever", "pier", 3, "<html>"),
+    ], RAW_DDL)
+    return pages, raw, listed(spark, *(f"quay{i}.test" for i in (1, 0, 3, 2, 5, 4)), "jobs.lever.co/pier")
+
+
+def test_first_places_leave_the_same_postings_after_the_removal_of_duplicates(spark, shared_boards):
+    pages, raw, sites = shared_boards
+    every = site_postings(pages, raw, None, sites, SPEC)
+    first = site_postings(pages, raw, None, sites, SPEC, once=True)
+    kept = [sorted((tuple(r["seq"]), r["title"], r["url"]) for r in dedupe_postings(p).collect()) for p in (every, first)]
+    assert kept[0] == kept[1]
+    # The board that breaks hides the other one on half of the sites: both orders count.
+    assert {u for _, _, u in kept[1] if u} == {r["url"] for r in every.where("url <> ''").collect()}
+    assert first.where("url = ''").count() == every.where("url = ''").count() > 4
+
+
+def test_a_search_stores_a_board_posting_once_however_many_sites_link_to_it(spark, shared_boards):
+    pages, raw, sites = shared_boards
+    before = set(glob.glob(f"{shared_dir(spark)}/dedupe-rows-*"))
+    search_sites(pages, raw, None, sites, SPEC).collect()
+    (stored,) = set(glob.glob(f"{shared_dir(spark)}/dedupe-rows-*")) - before
+    rows = spark.read.parquet(stored).where("url <> ''")
+    assert rows.count() == rows.select("source", "title", "url").distinct().count()
+
+
 def test_robots_and_budget_hold_for_every_site(spark, coast):
     robots = spark.createDataFrame([("https://harbour.test", 200, "User-agent: *\nDisallow: /jobs/pilot")], "origin string, status int, body string")
     out = site_postings(*coast, robots, listed(spark, "harbour.test"), SPEC)
