@@ -1,7 +1,8 @@
 import html
 import random
+import re
 
-from postlode.functions.html import element, html_to_text, html_unescape, inline_text, json_ld, strip_hidden
+from postlode.functions.html import collapse_lines, element, html_to_text, html_unescape, inline_text, json_ld, strip_hidden
 from postlode.functions.text import extract_requirements, summarize
 
 PAGE = """<div><p>Orbit Labs needs a <i>Detection Lead</i> for its platform&nbsp;group. You will tune rules
@@ -86,3 +87,23 @@ def test_summary(apply):
     assert got[2] == "Short intro of four words."
     assert got[3] == "one two three"
     assert got[4] == ""
+
+
+def test_white_space_of_every_kind_is_collapsed(apply):
+    rng = random.Random(11)
+    breaks, blanks = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029", "\t\x1f\xa0\u1680\u2000\u200a\u202f\u205f\u3000"
+    kinds = [[" ", "\n", "w", "\u200b", "\u180e"], [" ", "w", *breaks, *blanks]]
+    texts = ["".join(rng.choices(kinds[n % 2], k=rng.randrange(12))) for n in range(600)]
+
+    def collapsed(text):
+        text = re.sub(f"[{blanks} ]+", " ", text)
+        return re.sub(f" ?[{breaks}][{breaks} ]*", "\n", text).strip(" \n")
+
+    assert apply(lambda v, *_: collapse_lines(v), texts) == [collapsed(t) for t in texts]
+
+
+def test_texts_of_plain_references_alone(apply):
+    rng = random.Random(12)
+    parts = ["&amp;", "&lt;", "&gt;", "&quot;", "&#x27;", "&#39;", "lt;", "amp;", "#39;", "x", ";", " "]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(9))) for _ in range(300)] + ["&amp;amp;lt;", "&amp;#39;", "&AMP;lt;", "&lt&gt;"]
+    assert apply(lambda v, *_: html_unescape(v), texts) == [html.unescape(t) for t in texts]
