@@ -36,7 +36,9 @@ def _stored(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataF
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], f"{schema}, batch BIGINT")
+        # Made of columns: a frame of Python rows starts a Python worker on every core, to send nothing.
+        nothing = F.from_json(F.lit("{}"), f"{schema}, batch BIGINT")
+        return spark.range(0).select(nothing.alias("r")).select("r.*")
     return stored.where(F.col("batch") < batch_id)
 
 

@@ -76,3 +76,9 @@ def test_a_small_batch_reads_a_small_part_of_the_state(spark, tmp_path):
     few, all_ = read(10, 14), read(0, 5000)
     assert 0 < few <= 8 / S.STATE_PARTS * all_
     assert S.dedupe_batch(batch(0, 5003), state, 2).count() == 0
+
+
+def test_a_state_that_is_not_there_is_read_without_python(spark, tmp_path):
+    state = S._stored(spark, f"{tmp_path}/none", "u STRING, part INT", 3)
+    assert state.dtypes == [("u", "string"), ("part", "int"), ("batch", "bigint")] and state.isEmpty()
+    assert "ExistingRDD" not in state._jdf.queryExecution().toString()
