@@ -1,5 +1,6 @@
 """Every training-data operator against a plain version of it, and on its edge cases."""
 
+import gzip
 import hashlib
 import random
 import re
@@ -166,6 +167,17 @@ def test_warc(spark):
     assert warc.archive_round_trip(pages.where("false")).count() == 0
 
 
+def test_warc_level(spark, tmp_path):
+    """Archives are compressed at the fastest level."""
+    pages = spark.createDataFrame([(i, f"http://a.example/{i}", prose(i, 400)) for i in range(40)], "page_id long, url string, html string")
+    warc.write_warc(warc.page_records(pages).coalesce(1), str(tmp_path / "level"))
+    (archive,) = (tmp_path / "level").glob("part-*.gz")
+    packed = archive.read_bytes()
+    data = gzip.decompress(packed)
+    fast, usual = (len(gzip.compress(data, level)) for level in (1, 6))
+    assert abs(len(packed) - fast) < abs(len(packed) - usual)
+
+
 def test_warc_assembly(spark):
     kinds = [("r", "response", None), ("q", "request", ["r"]), ("m", "metadata", ["q"]), ("alone", "request", ["gone"]), ("q", "request", ["r"])]
     filled = {n: None for n in warc.RECORD_NAMES} | {"broken": False, "n_content": 0}
