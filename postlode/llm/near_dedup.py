@@ -6,17 +6,15 @@ a key of the second collection: HALVES * HALVES tables from 2 * HALVES * ROWS mi
 ``s`` meet in a table unless all keys of one collection differ, so at 0.75 one link in about ten thousand has no table
 (2 * (1 - 0.75**3)**18).
 
-Equal sets are one class from the start and are never compared.  The tables are worked off in two steps.  First come the
-``HALVES`` tables that pair equal places of both collections, where most links are found.  Then all tables are formed, but only from keys
-that classes of different components still share: a key whose classes are connected already can't be in a bucket with
-open pairs.
-
-In a table's bucket, pivots are compared with all members of other components: at first the member with the most key-mates in
-the whole corpus, which is near the centre of its group, and one at random.  The components that the confirmed links make are then taken
-into account, the pivots leave the bucket, and buckets with a single component are done.  In the others the member with the most links and
-members outside the largest component become pivots, more of them in each round.  This is repeated until no bucket is left, so every pair that meets in a
-bucket is either compared or already connected, and a group of near copies costs a few comparisons for each member.
-No pair is confirmed twice.
+Equal sets are one class from the start and are never compared.  Classes are gathered by their keys of the first collection, as far as
+classes of different components still share them, in blocks of about ``BLOCK`` classes; two classes of a pair of blocks that also share a key
+of the second collection meet in a table.  Before such a pair becomes a row it must pass an exact test: each class has a bitmap that holds
+the parity of its shingles' hashes, and where two bitmaps differ the sets differ, so a pair whose bitmaps differ in more places than the sets of
+a link may is no link.  No link is lost by that, and a group of texts that are alike but not enough makes hardly any rows.
+
+There are three rounds.  In the first two, each class is compared with the one of another component whose bitmap is nearest, which connects
+a group of near copies with one comparison for each member.  In the last round all pairs that are left are compared, except those of one
+component.  No pair is confirmed twice.
 
 Links are confirmed on the full sets, taken from whole texts.
 
@@ -33,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from postlode.session import cut, drop_stored, shared_dir, stored
@@ -43,8 +42,8 @@ SHINGLE = 5
 PERCENT = 75
 HALVES = 18
 ROWS = 3
-PIVOTS = 8  # of a bucket in the second round, besides its hub; GROWTH times as many in each later one
-GROWTH = 4
+BLOCK = 512  # classes that are compared with each other at a time
+NEAREST_ROUNDS = 2
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[list(b" \t\n\r\x0b\x0c")] = True
@@ -86,6 +85,20 @@ def shingle_set(text: str, size: int = SHINGLE) -> np.ndarray:
     return np.unique(mixed(rolled))
 
 
+def bitmap_words(n: np.ndarray) -> np.ndarray:
+    """Length in 64-bit words of the bitmaps of sets of ``n`` shingles: a power of two, 8 to 16 bits a shingle, 512 at least."""
+    return np.maximum(8, 1 << np.ceil(np.log2(np.maximum(n, 1) / 8)).astype(np.int64))
+
+
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """The parity of the number of shingles at each place.  Two bitmaps differ in at most as many places as their sets."""
+    words = int(bitmap_words(np.array([len(shingles)]))[0])
+    at = mixed(shingles ^ _BASE)
+    out = np.zeros(words, dtype=np.uint64)
+    np.bitwise_xor.at(out, ((at >> np.uint64(6)) & np.uint64(words - 1)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out
+
+
 class Banding:
     """The minhash functions of the two collections."""
 
@@ -147,36 +160,120 @@ class Scratch:
                 drop_stored(self.spark, f"{self.root}/{i}-{name}")
 
 
-def key_counts(nodes: DataFrame) -> DataFrame:
-    """(node, mates): how many classes have one of a class's keys, summed over its keys; a hub of near copies has the most."""
-    keys = nodes.select("node", F.explode_outer(F.concat("a", "b")).alias("key"))
-    often = cut(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "near-keys")
-    return keys.join(often, "key").groupBy("node").agg(F.sum("c").alias("mates"))
+def shared_keys(nodes: DataFrame) -> DataFrame:
+    """(node, key): the keys of the first collection that several classes have, of classes that share one of the second as well."""
+
+    def shared(side: str) -> DataFrame:
+        keys = nodes.select("node", F.explode_outer(side).alias("key"))
+        return keys.join(cut(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "near-keys"), "key")
+
+    return cut(shared("a").join(shared("b").select("node").distinct(), "node", "left_semi"), "near-shared")
+
+
+def marked_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text, bits) of one row of ``docs`` for each of ``nodes``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch["bits"] = [bitmap(shingle_set(text)).view(np.int64) for text in batch["text"]]
+            yield batch
+
+    text = whole_text()
+    rows = docs.select(*row_key(F.col("doc_id").cast("long"), text), text.alias("text")).join(nodes.select("node", "k1", "k2"), ["k1", "k2"])
+    return rows.dropDuplicates(["node"]).select("node", "text").mapInPandas(run, "node bigint, text string, bits array<bigint>")
+
 
+CLASS = ("node", "label", "n", "b", "bits")
 
-def diagonal_buckets(nodes: DataFrame) -> DataFrame:
-    """(bucket, node) for the tables that pair equal places of the two collections."""
-    return nodes.select("node", F.explode_outer(F.arrays_zip("a", "b")).alias("k")).select(F.xxhash64("k.a", "k.b").alias("bucket"), "node")
 
+def blocks(shared: DataFrame, marks: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """One row per block of the classes that share a key with a class of another component: key, block and an array per field."""
+    known = shared.withColumn("label", F.col("node")) if labels is None else shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    spread = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("c"))
+    spread = spread.where("low < high").select("key", F.ceil(F.col("c") / BLOCK).alias("blocks"))
+    rows = known.join(spread, "key").join(marks, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    rows = rows.groupBy("key", "block").agg(F.collect_list(F.struct(*CLASS)).alias("m"))
+    return rows.select("key", "block", *(F.flatten(f"m.{c}").alias(c) if c in ("b", "bits") else F.col(f"m.{c}").alias(c) for c in CLASS))
 
-def open_keys(nodes: DataFrame, side: str) -> DataFrame:
-    """The keys of one collection that classes of different components share, gathered per class."""
-    keys = nodes.select("node", "label", F.explode_outer(side).alias("key"))
-    mixed_ = cut(keys.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"), "near-keys")
-    return keys.join(mixed_, "key").groupBy("node").agg(F.collect_list("key").alias(side))
 
+class Classes:
+    """The classes of one block, with their bitmaps by length."""
 
-def all_buckets(nodes: DataFrame) -> DataFrame:
-    """(bucket, node) for every table, formed from pairs of open keys of the two collections."""
-    both = open_keys(nodes, "a").join(open_keys(nodes, "b"), "node")
-    pairs = both.select("node", "b", F.explode_outer("a").alias("x")).select("node", "x", F.explode_outer("b").alias("y"))
-    return pairs.select(F.xxhash64("x", "y").alias("bucket"), "node")
+    def __init__(self, node: np.ndarray, label: np.ndarray, n: np.ndarray, b: np.ndarray, bits: np.ndarray) -> None:
+        self.node, self.label, self.n, self.b = node, label, n, b.reshape(len(node), -1)
+        self.words = bitmap_words(n)
+        self.bits, self.starts = bits.view(np.uint64), np.cumsum(self.words) - self.words
 
+    def bitmaps(self, at: np.ndarray, words: int) -> np.ndarray:
+        """The bitmaps of the classes ``at``, folded to a length: the parity at places that fall together."""
+        out = np.zeros((len(at), words), dtype=np.uint64)
+        for k in np.unique(self.words[at] // words):
+            rows = np.flatnonzero(self.words[at] == k * words)
+            for fold in range(k):
+                out[rows] ^= self.bits[self.starts[at[rows], None] + fold * words + np.arange(words)]
+        return out
 
-def still_open(rows: DataFrame) -> DataFrame:
-    """The rows of buckets that hold more than one component."""
-    spread = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-    return rows.join(cut(spread, "near-open"), "bucket")
+
+def possible(left: Classes, right: Classes, same: bool, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the pairs that meet in a table and may be links, and how far apart their bitmaps are."""
+    fit = left.label[:, None] != right.label[None]
+    fit &= 100 * np.minimum(left.n[:, None], right.n[None]) >= percent * np.maximum(left.n[:, None], right.n[None])
+    if same:
+        fit = np.triu(fit, 1)
+    if fit.size >= 1024:
+        # Most pairs fail with short bitmaps already, which all pairs of large blocks are tested with at once.
+        words = max(8, int(min(left.words.min(), right.words.min())) // 4)
+        one, other = (c.bitmaps(np.arange(len(c.node)), words) for c in (left, right))
+        apart = np.zeros(fit.shape, dtype=np.int32)
+        for w in range(words):
+            apart += np.bitwise_count(one[:, w, None] ^ other[None, :, w])
+        fit &= (100 + percent) * apart <= (100 - percent) * (left.n[:, None] + right.n[None])
+    x, y = np.nonzero(fit)
+    meet = np.zeros(len(x), dtype=bool)
+    for k in range(left.b.shape[1]):
+        meet |= left.b[x, k] == right.b[y, k]
+    x, y = x[meet], y[meet]
+    if not len(x):
+        return x, y, np.zeros(0)
+    apart = np.zeros(len(x), dtype=np.int64)
+    words = np.minimum(left.words[x], right.words[y])
+    for w in np.unique(words):
+        rows = np.flatnonzero(words == w)
+        xs, to_x = np.unique(x[rows], return_inverse=True)
+        ys, to_y = np.unique(y[rows], return_inverse=True)
+        one, other = left.bitmaps(xs, int(w)), right.bitmaps(ys, int(w))
+        step = max(1, (1 << 20) // int(w))
+        for k in range(0, len(rows), step):
+            part = slice(k, k + step)
+            apart[rows[part]] = np.bitwise_count(one[to_x[part]] ^ other[to_y[part]]).sum(axis=1, dtype=np.int64)
+    both = left.n[x] + right.n[y]
+    fit = (100 + percent) * apart <= (100 - percent) * both
+    return x[fit], y[fit], apart[fit] / both[fit]
+
+
+def pairs_of(found: DataFrame, nearest: bool, percent: int = PERCENT) -> DataFrame:
+    """The distinct pairs (x, y) of classes that meet in a table and may be links; with ``nearest`` only each class's nearest one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            for r in range(batch.num_rows):
+                left, right = (Classes(*(at[f"{side}_{c}"][r].values.to_numpy() for c in CLASS)) for side in "xy")
+                x, y, apart = possible(left, right, at["same"][r].as_py(), percent)
+                ends = left.node[x], right.node[y]
+                if nearest:  # the first of each class, the nearest and smallest first
+                    one, other, apart = np.concatenate(ends), np.concatenate(ends[::-1]), np.concatenate([apart, apart])
+                    order = np.lexsort((other, apart, one))
+                    order = order[np.diff(one[order], prepend=-1) != 0]
+                    ends, apart = (one[order], other[order]), apart[order]
+                yield pa.RecordBatch.from_arrays([pa.array(ends[0], pa.int64()), pa.array(ends[1], pa.int64()), pa.array(apart, pa.float64())], names=["x", "y", "apart"])
+
+    sides = (found.select("key", F.col("block").alias(f"{s}_block"), *(F.col(c).alias(f"{s}_{c}") for c in CLASS)) for s in "xy")
+    cells = next(sides).join(next(sides), "key").where("x_block <= y_block").withColumn("same", F.col("x_block") == F.col("y_block"))
+    out = cells.select("same", *(f"{s}_{c}" for s in "xy" for c in CLASS)).mapInArrow(run, "x bigint, y bigint, apart double")
+    if nearest:
+        out = out.groupBy("x").agg(F.min(F.struct("apart", "y")).alias("near")).select("x", F.col("near.y").alias("y"))
+    return out.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -213,55 +310,23 @@ def components(links: DataFrame) -> DataFrame:
         labels = labels.select("node", "label")
 
 
-MEMBER = ("node", "n", "label")
-
-
-def first_pivots(active: DataFrame) -> DataFrame:
-    """Two members of each bucket, found by partial minima: the one with the most key-mates, and one at random."""
-    hub, other = (F.struct(h.alias("h"), *MEMBER) for h in (F.struct(-F.col("mates"), F.col("node")), F.struct(F.xxhash64("node"), F.col("node"))))
-    return active.groupBy("bucket").agg(F.min(hub).alias("u"), F.min(other).alias("v")).select("bucket", F.array_distinct(F.array(*(F.struct(*(F.col(f"{x}.{m}") for m in MEMBER)) for x in "uv"))).alias("p"))
-
-
-def later_pivots(active: DataFrame, links: DataFrame, most: int) -> DataFrame:
-    """The member of each bucket with the most links, and up to ``most`` members outside the bucket's largest component.
-
-    When all of the latter have been pivots, what is left in the bucket is one component.
-    """
-    ends = links.select(F.explode_outer(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-    rated = active.join(ends, "node", "left").withColumn("rate", F.struct((-F.coalesce("degree", F.lit(0))).alias("d"), (-F.col("mates")).alias("m"), F.col("node").alias("i")))
-    rated = cut(rated.select("bucket", "rate", *MEMBER), "near-rated")
-    sizes = rated.groupBy("bucket", "label").agg(F.count("*").alias("c"), F.min(F.struct("rate", *MEMBER)).alias("hub"))
-    top = sizes.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("t"), F.min("hub").alias("hub"))
-    top = cut(top.select("bucket", F.col("t.label").alias("top"), *(F.col(f"hub.{m}").alias(f"hub_{m}") for m in MEMBER)), "near-top")
-    minor = rated.join(top.select("bucket", "top"), "bucket").where("label != top")
-    ranked = minor.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("rate"))).where(F.col("r") <= most).select("bucket", *MEMBER)
-    hubs = top.select("bucket", *(F.col(f"hub_{m}").alias(m) for m in MEMBER))
-    return ranked.union(hubs).groupBy("bucket").agg(F.collect_set(F.struct(*MEMBER)).alias("p"))
-
-
-def connect(active: DataFrame, texts: DataFrame, links: DataFrame | None, seen: DataFrame | None, percent: int, scratch: Scratch) -> tuple[DataFrame | None, DataFrame | None]:
-    """Compare until every bucket of ``active`` holds one component.  Returns all links and all pairs compared so far."""
-    most = 0
-    while not active.isEmpty():
-        before = scratch.made - 1
-        pivots = scratch.cut(later_pivots(active, links, most) if most and links is not None else first_pivots(active), "pivots")
-        most = most * GROWTH or PIVOTS
-        dealt = active.join(pivots, "bucket")
-        # Pairs that can't be links are left out before rows are made of them.
-        fit = F.filter("p", lambda q: (F.col("label") != q["label"]) & (100 * F.least(F.col("n"), q["n"]) >= percent * F.greatest(F.col("n"), q["n"])))
-        pairs = dealt.select("node", F.transform(fit, lambda q: q["node"]).alias("q")).where(F.size("q") > 0).select("node", F.explode_outer("q").alias("q"))
-        pairs = pairs.select(F.least("node", "q").alias("x"), F.greatest("node", "q").alias("y")).distinct()
+def connect(shared: DataFrame, marks: DataFrame, texts: DataFrame, percent: int, scratch: Scratch) -> DataFrame | None:
+    """(node, label) of all classes that are linked with another one, or None if there are no links."""
+    links = seen = labels = None
+    for turn in range(NEAREST_ROUNDS + 1):
+        found = scratch.cut(blocks(shared, marks, labels), "blocks")
+        pairs = pairs_of(found, turn < NEAREST_ROUNDS, percent)
         pairs = scratch.cut(pairs if seen is None else pairs.join(seen, ["x", "y"], "left_anti"), "pairs")
+        scratch.drop("blocks", before=scratch.made)
+        if seen is None:
+            # The first round names every class that has a pair at all; later ones have no other pairs.
+            shared = scratch.cut(shared.join(pairs.select(F.explode_outer(F.array("x", "y")).alias("node")).distinct(), "node", "left_semi"), "shared")
         seen = pairs if seen is None else seen.union(pairs)
-        found = scratch.cut(confirmed(pairs, texts, percent), "found")
-        links = found if links is None else links.union(found)
-        labels = components(links)
-        rest = dealt.where(~F.exists("p", lambda q: q["node"] == F.col("node"))).select("bucket", "node", "n", "mates")
-        rest = scratch.cut(rest.join(labels, "node", "left").select("bucket", "node", "n", "mates", F.coalesce("label", "node").alias("label")), "rest")
-        active = scratch.cut(still_open(rest), "active")
-        scratch.drop("pivots", "rest", before=scratch.made)
-        scratch.drop("active", before=before + 1)
-    return links, seen
+        new = scratch.cut(confirmed(pairs, texts, percent), "found")
+        if not new.isEmpty():
+            links = new if links is None else links.union(new)
+            labels = components(links)
+    return labels
 
 
 def near_duplicates(docs: DataFrame, banding: Banding | None = None, percent: int = PERCENT) -> DataFrame:
@@ -277,23 +342,13 @@ def near_duplicates(docs: DataFrame, banding: Banding | None = None, percent: in
     nodes = filled.join(stands, ["d1", "d2", "k1", "k2"]).dropDuplicates(["d1", "d2"]).join(classes.drop("doc_id"), ["d1", "d2"])
     nodes = cut(nodes.select("node", "k1", "k2", "n_shingles", "a", "b"), "near-nodes")
 
+    # Only classes that share keys are compared, so no other text is looked at again.
     scratch = Scratch(docs.sparkSession)
-    rated = scratch.cut(nodes.join(key_counts(nodes), "node"), "rated")
-    text = whole_text()
-    texts = docs.select(*row_key(F.col("doc_id").cast("long"), text), text.alias("text")).join(rated.select("node", "k1", "k2"), ["k1", "k2"])
-    texts = cut(texts.dropDuplicates(["node"]).select("node", "text"), "near-texts")
-    member = rated.select("node", F.col("n_shingles").alias("n"), "mates")
-
-    links = seen = labels = None
-    for tables in (diagonal_buckets, all_buckets):
-        # No pair of the second step is left out by the labels of the first: those are connected already.
-        known = rated.withColumn("label", F.col("node")) if labels is None else rated.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        known = scratch.cut(known.select("node", "label", "a", "b"), "known")
-        rows_ = scratch.cut(tables(known).join(known.select("node", "label"), "node"), "buckets")
-        active = scratch.cut(still_open(rows_).join(member, "node"), "active")
-        scratch.drop("buckets", "known", before=scratch.made)
-        links, seen = connect(active, texts, links, seen, percent, scratch)
-        labels = None if links is None else components(links)
+    shared = shared_keys(nodes)
+    held = nodes.join(shared.select("node").distinct(), "node", "left_semi")
+    texts = cut(marked_texts(docs, held), "near-texts")
+    marks = cut(held.select("node", F.col("n_shingles").alias("n"), "b").join(texts.select("node", "bits"), "node"), "near-marks")
+    labels = connect(shared, marks, texts, percent, scratch)
 
     if labels is not None:
         ends = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

@@ -157,6 +157,34 @@ def test_near_dedup(spark, odd, empty):
     assert near_dedup.report(empty).collect() == [] and near_dedup.keep_one(empty).count() == 0
 
 
+def test_near_dedup_bitmaps():
+    rng = np.random.default_rng(3)
+    for n in (9, 70, 400, 900):
+        base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        sets = [np.unique(np.concatenate([base[rng.random(n) < keep], rng.integers(0, 1 << 63, n // 30, dtype=np.uint64)])) for keep in (0.99, 0.95, 0.9, 0.8, 0.7, 0.5)]
+        sizes = np.array([len(s) for s in sets])
+        block = near_dedup.Classes(np.arange(6), np.arange(6), sizes, np.zeros(6, dtype=np.int64), np.concatenate([near_dedup.bitmap(s) for s in sets]).view(np.int64))
+        found = set(zip(*(x.tolist() for x in near_dedup.possible(block, block, True, 75)[:2])))
+        links = {(i, j) for i in range(6) for j in range(i + 1, 6) if 4 * len(np.intersect1d(sets[i], sets[j])) >= 3 * len(np.union1d(sets[i], sets[j]))}
+        assert links <= found and (n < 70 or links and len(found) < 15)
+
+
+def test_near_dedup_of_texts_not_alike_enough(spark, monkeypatch):
+    """A group of texts that meet in tables but are no links: hardly any pair is compared, in whatever blocks they are."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    rng, base, rows = random.Random(8), prose(78, 150).split(), []
+    for i in range(120):
+        words = base[:]
+        for k in rng.sample(range(0, 150, 5), 2 if i < 20 else 7):
+            words[k] = f"new{i}"
+        rows.append((i, " ".join(words), "", "", 0, "", 0, 0))
+    compared, confirm = [], near_dedup.confirmed
+    monkeypatch.setattr(near_dedup, "confirmed", lambda pairs, *rest: compared.append(pairs.count()) or confirm(pairs, *rest))
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.report(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: 0 if i < 20 else i for i in range(120)}
+    assert sum(compared) < 600
+
+
 def test_warc(spark):
     rows = [(1, "http://a.example/x", "<p>é</p>"), (2, "http://b.example", "<p>é</p>"), (3, None, None), (4, "http://c.example/", ""), (5, "u\r\nX: y", "a\r\n\r\nWARC/1.1\r\n"), (5, "u\r\nX: y", "a\r\n\r\nWARC/1.1\r\n"), (None, "n", "only")]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id bigint, url string, html string, k1 string")
