@@ -8,7 +8,8 @@ which id two neighbours merge into.  That map, of fixed size, is a literal of th
 The words of a corpus repeat, so each distinct word is folded once as long as a dictionary of bounded size has room for
 it: at most ``DICTIONARY`` words, the most frequent by a count over the whole corpus, none longer than ``WORD_BYTES``.
 The dictionary decides only where a word's fold runs.  All other words occur too rarely for a fold by lambdas to pay
-(about 170 us a word): they are folded by a small Python helper with the same ranks, each once in a run of ``ROWS`` texts.
+(about 170 us a word): they are folded by a small Python helper with the same ranks, each once in a run of ``ROWS`` texts, or in
+a task as long as it holds the word.
 The ids are set in the places of the words on Arrow arrays, so no text is ever a list of Python strings.  No text is shuffled.
 
 Defined cases: a missing text is an empty one and has no ids; rows repeated in full are encoded alike; a long unbroken
@@ -18,6 +19,7 @@ piece is folded like any other, at a cost of its length times its logarithm.
 from __future__ import annotations
 
 import base64
+import functools
 import heapq
 import uuid
 from collections.abc import Callable, Iterator
@@ -36,6 +38,7 @@ PAIR_BUCKETS = 1 << 18
 NONE = (1 << 31) - 1  # ranks of pairs that don't merge
 WIDTH = 1 << 17       # a pair of ids is kept as left * WIDTH + right
 ROWS = 512            # texts whose words are looked up at a time
+HELD = 1 << 18        # folded words that a task holds, besides the dictionary
 
 # Unicode white space; Java's \s knows ASCII only.
 SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -214,9 +217,17 @@ class Tokenizer:
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             words, ranks = tables.value
 
+            folded: dict[str, bytes] = {}
+
             def ids_of(word: str) -> np.ndarray:
-                ids = words.get(word)
-                return np.array(fold_bytes(word.encode("utf-8"), ranks), dtype=np.int32) if ids is None else np.frombuffer(ids, dtype=np.int32)
+                ids = words.get(word) or folded.get(word)
+                if ids is None:
+                    ids = np.array(fold_bytes(word.encode("utf-8"), ranks), dtype=np.int32).tobytes()
+                    if len(word) <= WORD_BYTES:
+                        if len(folded) >= HELD:
+                            folded.clear()
+                        folded[word] = ids
+                return np.frombuffer(ids, dtype=np.int32)
 
             for batch in batches:
                 parts = [numbers(batch.slice(i, ROWS), ids_of) for i in range(0, len(batch), ROWS)]
@@ -233,9 +244,15 @@ class Tokenizer:
         return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.id_hex, i)), ""))
 
 
+@functools.lru_cache(maxsize=4)
+def tokenizer(spark: SparkSession, ranks_path: str, pattern: str) -> Tokenizer:
+    """The tokenizer of a session, made once: its constants are session variables, which stay in the driver's memory."""
+    return Tokenizer(spark, ranks_path, pattern)
+
+
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Encode every text, decode the ids again, and report the number and digest of ids and the digest of the bytes."""
-    t = Tokenizer(docs.sparkSession, ranks_path, pattern)
+    t = tokenizer(docs.sparkSession, ranks_path, pattern)
     ids = F.col("ids")
     return t.encode(docs).select(
         "doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(t.packed(ids), 256).alias("ids_sha256"), F.sha2(t.decode(ids), 256).alias("decoded_sha256"),

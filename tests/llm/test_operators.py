@@ -104,6 +104,23 @@ def test_byte_bpe(spark, odd, empty):
     assert bpe.round_trip(empty, path, P.PATTERN).collect() == []
 
 
+def test_byte_bpe_constants_and_folded_words(spark, monkeypatch):
+    """A session's constants are made once; a task folds a word again only when it no longer holds it, with the same ids."""
+    path = P.path("byte_bpe_50k.tiktoken")
+    t = bpe.tokenizer(spark, path, P.PATTERN)
+    assert bpe.tokenizer(spark, path, P.PATTERN) is t
+    docs = spark.createDataFrame([(i, f"zqxjv zqxjv{i % 3} wvvkq{i}" * 2) for i in range(40)], "doc_id long, text string").coalesce(1)
+    no_words = spark.createDataFrame([], "word string, ids array<int>")
+    monkeypatch.setattr(t, "dictionary", lambda docs: no_words)
+    monkeypatch.setattr(bpe, "ROWS", 1)
+    results = []
+    for held in (2, bpe.HELD):
+        monkeypatch.setattr(bpe, "HELD", held)
+        results.append(sorted((r["doc_id"], r["ids"]) for r in t.encode(docs).collect()))
+    monkeypatch.undo()
+    assert results[0] == results[1] == sorted((r["doc_id"], r["ids"]) for r in t.encode(docs).collect())
+
+
 def test_licenses(spark, odd, empty):
     texts = ["Under the MIT License. under THE mit-license!", "Apache License, Version 2.0", "CC BY-NC 4.0 cc by nc", "apache license version 3", "under the mit",
              "x Permission is hereby granted free of charge kindly to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "GNU General Public License"]
