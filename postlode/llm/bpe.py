@@ -9,7 +9,7 @@ The words of a corpus repeat, so each distinct word is folded once as long as a
 it: at most ``DICTIONARY`` words, the most frequent by a count over the whole corpus, none longer than ``WORD_BYTES``.
 The dictionary decides only where a word's fold runs.  All other words occur too rarely for a fold by lambdas to pay
 (about 170 us a word): they are folded by a small Python helper with the same ranks, each once in a run of ``ROWS`` texts, or in
-a task as long as it holds the word.
+a task as long as it holds the word.  A task keeps all ids it holds in one array, so that a run's ids are copied at once.
 The ids are set in the places of the words on Arrow arrays, so no text is ever a list of Python strings.  No text is shuffled.
 
 Defined cases: a missing text is an empty one and has no ids; rows repeated in full are encoded alike; a long unbroken
@@ -22,7 +22,8 @@ import base64
 import functools
 import heapq
 import uuid
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ PAIR_BUCKETS = 1 << 18
 NONE = (1 << 31) - 1  # ranks of pairs that don't merge
 WIDTH = 1 << 17       # a pair of ids is kept as left * WIDTH + right
 ROWS = 512            # texts whose words are looked up at a time
-HELD = 1 << 18        # folded words that a task holds, besides the dictionary
+HELD = 1 << 18        # words that a task holds with their ids, at most 16 ids each on average
 
 # Unicode white space; Java's \s knows ASCII only.
 SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -119,16 +120,47 @@ def buckets(rows: DataFrame, bucket: Column, n: int, key: str, value: str) -> Co
     return literal(filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "e"))), lambda x: F.map_from_entries(x["e"])).alias("maps")))
 
 
-def numbers(pieces: pa.ListArray, ids_of: Callable[[str], np.ndarray]) -> pa.ListArray:
+class Held:
+    """The ids of words that a task has met, one after another in one array; a word has a place in it."""
+
+    def __init__(self, words: dict[str, bytes], ranks: dict[bytes, int]) -> None:
+        self.words, self.ranks = words, ranks
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids, self.ends, self.used = np.zeros(1 << 16, dtype=np.int32), array("q", [0]), 0
+
+    def numbers_of(self, words: list[str]) -> np.ndarray:
+        """The numbers of the words; those that are not held are folded first, or taken from the dictionary."""
+        if len(self.number) + len(words) > HELD or self.used > HELD * 16:
+            self.clear()
+        get, found, new = self.number.get, [], []
+        for word in words:
+            n = get(word)
+            if n is None:
+                n = self.number[word] = len(self.number)
+                ids = self.words.get(word)
+                new.append(ids if ids is not None else array("i", fold_bytes(word.encode("utf-8"), self.ranks)).tobytes())
+                self.ends.append(self.ends[-1] + len(new[-1]) // 4)
+            found.append(n)
+        more = np.frombuffer(b"".join(new), dtype=np.int32)
+        if self.used + len(more) > len(self.ids):
+            self.ids = np.concatenate([self.ids[:self.used], np.zeros(self.used + 2 * len(more), dtype=np.int32)])
+        self.ids[self.used:self.used + len(more)] = more
+        self.used += len(more)
+        return np.array(found, dtype=np.int64)
+
+
+def numbers(pieces: pa.ListArray, held: Held) -> pa.ListArray:
     """The ids of each list of words: every distinct word is looked up once, its ids are copied to all its places."""
     flat = pieces.flatten().dictionary_encode()
-    known = [ids_of(word) for word in flat.dictionary.to_pylist()]
-    sizes = np.array([len(ids) for ids in known], dtype=np.int64)
-    starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    word = flat.indices.to_numpy(zero_copy_only=False)
-    ends = np.concatenate([[0], np.cumsum(sizes[word])]).astype(np.int64)
-    at = np.arange(ends[-1]) + np.repeat(starts[word] - ends[:-1], sizes[word])
-    ids = np.concatenate([*known, np.zeros(0, dtype=np.int32)])[at]
+    word = held.numbers_of(flat.dictionary.to_numpy(zero_copy_only=False).tolist())[flat.indices.to_numpy(zero_copy_only=False)]
+    # A copy, as an array whose memory is lent can't grow.
+    edges = np.array(held.ends, dtype=np.int64)
+    starts, sizes = edges[word], edges[word + 1] - edges[word]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    ids = held.ids[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], sizes)]
     edges = pieces.offsets.to_numpy()
     return pa.ListArray.from_arrays(pa.array(ends[edges - edges[0]], pa.int32()), pa.array(ids, pa.int32()))
 
@@ -215,22 +247,9 @@ class Tokenizer:
 
         @F.arrow_udf("array<int>")
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            words, ranks = tables.value
-
-            folded: dict[str, bytes] = {}
-
-            def ids_of(word: str) -> np.ndarray:
-                ids = words.get(word) or folded.get(word)
-                if ids is None:
-                    ids = np.array(fold_bytes(word.encode("utf-8"), ranks), dtype=np.int32).tobytes()
-                    if len(word) <= WORD_BYTES:
-                        if len(folded) >= HELD:
-                            folded.clear()
-                        folded[word] = ids
-                return np.frombuffer(ids, dtype=np.int32)
-
+            held = Held(*tables.value)
             for batch in batches:
-                parts = [numbers(batch.slice(i, ROWS), ids_of) for i in range(0, len(batch), ROWS)]
+                parts = [numbers(batch.slice(i, ROWS), held) for i in range(0, len(batch), ROWS)]
                 yield pa.concat_arrays(parts or [pa.array([], pa.list_(pa.int32()))])
 
         return run

@@ -121,6 +121,28 @@ def test_byte_bpe_constants_and_folded_words(spark, monkeypatch):
     assert results[0] == results[1] == sorted((r["doc_id"], r["ids"]) for r in t.encode(docs).collect())
 
 
+def test_byte_bpe_held_ids():
+    """A task folds a word it holds only once, keeps all ids in one array, and forgets them when they are too many."""
+    import pyarrow as pa
+
+    folds, ranks = [], {bytes([b]): b for b in range(256)} | {b"ab": 256, b"abab": 257}
+
+    class Counted(dict):
+        def get(self, key, default=None):
+            folds.append(key)
+            return super().get(key, default)
+
+    lists = [["abab", "x", "given", ""], None, [], ["x", "abab", "y" * 100]]
+    held = bpe.Held(Counted(given=np.array([7, 8, 9], dtype=np.int32).tobytes()), ranks)
+    want = [[257, 120, 7, 8, 9], [], [], [120, 257] + [121] * 100]
+    for _ in range(2):
+        got = bpe.numbers(pa.array([x or [] for x in lists], pa.list_(pa.string())), held)
+        assert got.to_pylist() == want and bpe.numbers(got_slice := pa.array(lists[:1] * 3 + lists[3:]).slice(2), held).to_pylist() == [want[0], want[3]] and len(got_slice) == 2
+    assert sorted(folds) == ["", "abab", "given", "x", "y" * 100] and held.used == len(held.ids[:held.used]) == 1 + 1 + 3 + 100
+    held.used = 16 * bpe.HELD + 1
+    assert held.numbers_of(["x"]).tolist() == [0] and held.used == 1
+
+
 def test_licenses(spark, odd, empty):
     texts = ["Under the MIT License. under THE mit-license!", "Apache License, Version 2.0", "CC BY-NC 4.0 cc by nc", "apache license version 3", "under the mit",
              "x Permission is hereby granted free of charge kindly to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "GNU General Public License"]
