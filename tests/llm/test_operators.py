@@ -384,6 +384,55 @@ def test_masked_lm_trains_on_every_position(spark):
         assert (net.log_prob(masked_lm.contexts(ids, at), ids) > start.log_prob(masked_lm.contexts(ids, at), ids) + 0.5).all()
 
 
+def test_masked_lm_on_arrays(spark, monkeypatch):
+    """Words, ids and examples made on arrays are those of single texts, in the same steps; told shares spare the join only."""
+    import pyarrow as pa
+
+    texts = ["", "  a B\tc\n", "\x1c x\x1dy \x85z", "É À　b\xa0c", "\x0b\x0cq", " ", "日本 🎉Ab", "a\x00b \x1f c", "seldom a", prose(1, 300), prose(2, 50) + " a a"]
+    known = {b"a": 0, b"c": 1}
+    for some in (pa.array(texts), pa.array(texts).slice(3, 6), pa.array([], pa.string())):
+        sizes, words = masked_lm.split_words(some)
+        plain = [masked_lm.words_of(t) for t in some.to_pylist()]
+        assert sizes.tolist() == [len(p) for p in plain] and words.to_pylist() == [w for p in plain for w in p]
+        assert masked_lm.chunk_ids(some, known)[1].tolist() == [i for p in plain for i in masked_lm.ids_of(p, known)]
+    monkeypatch.setattr(masked_lm, "BATCH", 16)
+    monkeypatch.setattr(masked_lm, "AT_ONCE", 4)
+    for turn in (0, 1):
+        got = list(masked_lm.examples(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])] * 2), known, turn, 2))
+        around, word, steps, waiting = [], [], [], 0
+        for text in texts * 2:
+            ids = masked_lm.ids_of(masked_lm.words_of(text), known)
+            at = masked_lm.targets(text, len(ids), turn, 2)
+            around += masked_lm.contexts(ids, at).tolist()
+            word += ids[at].tolist()
+            waiting += len(at)
+            if waiting >= 16:
+                steps += [min(16, waiting - k) for k in range(0, waiting, 16)]
+                waiting = 0
+        assert np.concatenate([a for a, _ in got]).tolist() == around and np.concatenate([w for _, w in got]).tolist() == word
+        assert [len(w) for _, w in got] == steps + [waiting] * (waiting > 0)
+    docs = spark.createDataFrame([(i, t, "", "", 0, "", 0, 0) for i, t in enumerate([*texts, None])], SCHEMA)
+    counts = masked_lm.word_counts(docs)
+    known = masked_lm.vocabulary(counts, 5)
+    model = known, masked_lm.Network().flat(), masked_lm.hashed_words(counts, known)
+    assert len(masked_lm.frequent_shares(model[2], 3)) == 3
+    scores = []
+    for told in ({}, masked_lm.frequent_shares(model[2], 20), masked_lm.frequent_shares(model[2])):
+        monkeypatch.setattr(masked_lm, "frequent_shares", lambda hashed: told)
+        scores.append(sorted((r.doc_id, r.n_words, r.log_prob) for r in masked_lm.score_documents(docs, model).collect()))
+    assert scores[0] == scores[1] == scores[2] and len(scores[0]) == docs.count()
+
+
+def test_masked_lm_far_apart():
+    """Weights whose exponentials don't fit into 32 bits still give probabilities."""
+    net = masked_lm.Network()
+    net.w["class_b"][:2] = 500, -500
+    net.w["word_b"][0, :2] = 300, 100
+    got = net.log_prob(np.zeros((3, 4), dtype=int), np.array([0, 1, 64]))
+    assert np.isfinite(got).all() and abs(got[0]) < 1e-3 and got[1] < -60 and got[2] < -60
+    assert all(np.isfinite(g).all() for g in net.gradient(np.zeros((3, 4), dtype=int), np.array([0, 1, 64])).values())
+
+
 def test_masked_lm_gradient():
     net, rng = masked_lm.Network(), np.random.default_rng(0)
     around, word = rng.integers(0, masked_lm.SIZE, (6, 4)), rng.integers(0, masked_lm.SIZE, 6)
