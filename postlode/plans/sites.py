@@ -8,7 +8,7 @@ postings across all sources without numbering them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from .. import rules
 from ..functions import urls as U
@@ -26,6 +26,9 @@ PLACE = {"site_pos": "bigint", "page_no": "bigint", "board_no": "int", "request_
 _DETAIL = "_detail"
 # Requests of a board lie between these; a missing number counts as the first.
 _FIRST, _NO_END = -(1 << 63), (1 << 63) - 1
+# Places multiply the text of postings by so much at least before it is dealt out, in pieces of so many bytes: a task's share
+# differs from that, and a Parquet dictionary ends at a megabyte.
+SHARED, TEXT_BYTES = 4, 600_000
 
 
 def route_sites(sites: DataFrame) -> DataFrame:
@@ -47,36 +50,53 @@ def _place(df: DataFrame, **parts: Column) -> DataFrame:
     return df.withColumn("seq", place).drop("site_pos", "page_no", "board_no")
 
 
-def first_places(places: DataFrame, failed: DataFrame) -> DataFrame:
-    """``source, since, until`` and the place where the requests ``since <= request_no < until`` of that source are met first.
-
-    A place counts up to where its site failed.  A source has one row for every request at which one of its sites failed on
-    it, and one for all that goes on: a few rows, however many sites link to it.
-    """
+def lasting_places(places: DataFrame, failed: DataFrame) -> DataFrame:
+    """``places`` with ``until``: a place counts for the requests before that one.  Places behind the failure of their site are left out."""
     here, end = F.struct("page_no", "board_no"), F.struct("failed_at.page_no", "failed_at.board_no")
     until = F.when(F.col("failed_at").isNull() | (here < end), F.lit(_NO_END)).when(
         here == end, F.coalesce("failed_at.request_no", F.lit(_FIRST)))
-    ends = places.join(failed, "site_pos", "left").withColumn("until", until).where("until IS NOT NULL")
+    return places.join(failed, "site_pos", "left").withColumn("until", until).where("until IS NOT NULL").drop("failed_at")
+
+
+def first_places(lasting: DataFrame) -> DataFrame:
+    """``source, since, until`` and the place where the requests ``since <= request_no < until`` of that source are met first.
+
+    A source has one row for every request at which one of its sites failed on it, and one for all that goes on: a few
+    rows, however many sites link to it.
+    """
     at = F.struct("site_pos", "page_no", "board_no")
-    firsts = ends.groupBy("source", "until").agg(F.min(at).alias("at"))
+    firsts = lasting.groupBy("source", "until").agg(F.min(at).alias("at"))
     # Requests before a limit are also met at the places of all later limits.
     later = Window.partitionBy("source").orderBy(F.desc("until"))
     since = F.coalesce(F.lead("until").over(later), F.lit(_FIRST))
     return firsts.select("source", since.alias("since"), "until", F.min("at").over(later).alias("at")).select("source", "since", "until", "at.*")
 
 
+def deal_texts(rows: DataFrame, held: int, placed: int) -> DataFrame:
+    """``rows``, whose texts take ``held`` bytes and ``placed`` with all their places, dealt out for the copies to be stored once.
+
+    A file of a columnar format keeps a text once, however many of its rows have it, as long as its texts fit a dictionary;
+    past that it spells out every copy.  So where postings get many places, a task takes no more texts than a dictionary does.
+    """
+    if not held or placed < SHARED * held:
+        return rows
+    return rows.repartition(-(-held // TEXT_BYTES), "source", "seq", "url", "title")
+
+
 def board_postings(raw: DataFrame, places: DataFrame, as_of: Column, once: bool = False) -> tuple[DataFrame, DataFrame]:
     """Postings of the landed payloads behind ``places``, and per site the first place where a payload was broken.
 
     ``places`` has ``site_pos, page_no, board_no, source, provider, board``.  Payloads are read and normalised once, however
-    many sites link to their board; the places are joined to the postings.  With ``once``, a posting with an address stands
-    at the first place alone where no failure hides it.
+    many sites link to their board; the places are joined to the postings, each up to where its site failed.  With ``once``,
+    a posting with an address stands at the first place alone where no failure hides it.
     """
-    listed = places.select("provider", "board").distinct()
-    details = listed.where("provider = 'workday'").select(F.concat("provider", F.lit(_DETAIL)).alias("provider"), "board")
+    listed = places.groupBy("provider", "board").agg(F.count("*").alias("_places"))
+    details = listed.where("provider = 'workday'").select(F.concat("provider", F.lit(_DETAIL)).alias("provider"), "board", "_places")
     wanted = cut(listed.unionByName(details), "wanted-boards")
-    landed = raw.withColumn("board", text_or_empty(F.col("board"))).join(wanted, ["provider", "board"], "left_semi")
-    usable, lost = split_broken(landed)
+    landed = raw.withColumn("board", text_or_empty(F.col("board"))).join(wanted, ["provider", "board"])
+    sizes, size = Observation(), F.octet_length("payload").cast("bigint")
+    sized = landed.observe(sizes, F.sum(size).alias("held"), F.sum(size * F.col("_places")).alias("placed"))
+    usable, lost = split_broken(landed, read=sized)
     # Kinds of provider that no site leads to need no reading.
     rows = normalize(usable.withColumn("source_rank", F.lit(0)), as_of, providers_in(wanted) or None)
     ended = F.col("fault").isin("unreadable", "kind") & ~F.col("provider").endswith(_DETAIL)
@@ -86,14 +106,16 @@ def board_postings(raw: DataFrame, places: DataFrame, as_of: Column, once: bool
     # Stored for its size: there is one row per site that failed.
     failed = cut(failed, "failed-sites")
     where = ["site_pos", "page_no", "board_no"]
+    lasting = cut(lasting_places(places, failed), "lasting-places")
     if once:
-        every = places.select("source", *where, F.lit(_FIRST).alias("since"), F.lit(_NO_END).alias("until"), F.lit(False).alias("_addressed"))
-        firsts = first_places(places, failed).select("source", *where, "since", "until", F.lit(True).alias("_addressed"))
+        every = lasting.select("source", *where, F.lit(_FIRST).alias("since"), "until", F.lit(False).alias("_addressed"))
+        firsts = first_places(lasting).select("source", *where, "since", "until", F.lit(True).alias("_addressed"))
         placed = rows.withColumn("_addressed", U.url_key(F.col("url")).isNotNull()).join(cut(every.unionByName(firsts), "first-places"), ["source", "_addressed"])
-        request_no = F.coalesce("seq.request_no", F.lit(_FIRST))
-        placed = placed.where((request_no >= F.col("since")) & (request_no < F.col("until"))).drop("_addressed", "since", "until")
     else:
-        placed = rows.join(places.select(*where, "source"), "source")
+        rows = deal_texts(rows, sizes.get["held"] or 0, sizes.get["placed"] or 0)
+        placed = rows.join(lasting.select("source", *where, F.lit(_FIRST).alias("since"), "until"), "source")
+    request_no = F.coalesce("seq.request_no", F.lit(_FIRST))
+    placed = placed.where((request_no >= F.col("since")) & (request_no < F.col("until"))).drop("_addressed", "since", "until")
     postings = _place(
         placed, site_pos=F.col("site_pos"), page_no=F.col("page_no"), board_no=F.col("board_no"),
         request_no=F.col("seq.request_no"), item_pos=F.col("seq.item_pos"),
@@ -123,8 +145,7 @@ def site_postings(pages: DataFrame, raw: DataFrame, robots: DataFrame | None, si
     hosted, failed = board_postings(raw, cut(direct.unionByName(linked), "board-places"), spec.today, once)
 
     found = crawl_postings(pages, visits).join(crawled.select("source", "site_pos"), "source")
-    out = hosted.unionByName(_place(
-        found, site_pos=F.col("site_pos"), page_no=F.col("seq.request_no"), board_no=F.lit(-1), item_pos=F.col("seq.item_pos")))
+    out = _place(found, site_pos=F.col("site_pos"), page_no=F.col("seq.request_no"), board_no=F.lit(-1), item_pos=F.col("seq.item_pos"))
 
     linkedin = routes.where("provider = 'linkedin'").select("source", "site_pos")
     if not linkedin.isEmpty():
@@ -135,7 +156,7 @@ def site_postings(pages: DataFrame, raw: DataFrame, robots: DataFrame | None, si
     failed = failed.withColumnRenamed("site_pos", "_site")
     marked = out.join(failed, out["seq.site_pos"] == F.col("_site"), "left")
     before = F.struct("seq.page_no", "seq.board_no", "seq.request_no") < F.col("failed_at")
-    return marked.where(F.col("failed_at").isNull() | before).drop("_site", "failed_at")
+    return hosted.unionByName(marked.where(F.col("failed_at").isNull() | before).drop("_site", "failed_at"))
 
 
 def search_sites(pages: DataFrame, raw: DataFrame, robots: DataFrame | None, sites: DataFrame, spec: SearchSpec,

@@ -75,15 +75,16 @@ def _same(left: DataFrame, right: DataFrame, names: list[str]) -> list[Column]:
     return [left[k].eqNullSafe(right[k]) for k in names]
 
 
-def split_broken(raw: DataFrame, earlier: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def split_broken(raw: DataFrame, earlier: DataFrame | None = None, read: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``(usable, quarantined)``, the latter with its ``fault``.
 
     A source loses its first unreadable payload and everything requested after it (``after``); ``earlier`` has failures of
     earlier runs as ``provider, board, failed_at``.  A payload of the wrong shape is set aside by itself.  Other sources are
     not touched.  Faults are written out before they are joined back, so Spark knows their size: a short list is broadcast
-    and the payloads are not moved; a long one is shuffled.
+    and the payloads are not moved; a long one is shuffled.  ``read`` is ``raw`` with what is to be observed on the one pass
+    that reads the payloads.
     """
-    faults = payload_faults(raw)
+    faults = payload_faults(raw if read is None else read)
     failed = first_failures(faults)
     if earlier is not None:
         failed = failed.unionByName(earlier).groupBy("provider", "board").agg(F.min("failed_at").alias("failed_at"))

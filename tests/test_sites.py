@@ -2,6 +2,8 @@
 
 import glob
 import json
+import os
+import random
 from datetime import date
 
 import pytest
@@ -12,7 +14,7 @@ from postlode.functions import html as H, jsonld as J
 from postlode.operators import crawl as C
 from postlode.operators.dedupe import dedupe_postings
 from postlode.plans.search import SearchSpec
-from postlode.plans.sites import route_sites, search_sites, site_postings
+from postlode.plans.sites import deal_texts, route_sites, search_sites, site_postings
 from postlode.schema import RAW_DDL
 from postlode.session import shared_dir
 from postlode.sources.registry import select_sources
@@ -120,6 +122,41 @@ def test_a_search_stores_a_board_posting_once_however_many_sites_link_to_it(spar
     assert rows.count() == rows.select("source", "title", "url").distinct().count()
 
 
+@pytest.fixture(scope="module")
+def busy_board(spark):
+    """One board that thirty-two sites link to, its texts without any likeness and in one file, more than a dictionary holds."""
+    chance = random.Random(5)
+    texts = [f"{chance.getrandbits(16_000):x}" for _ in range(600)]
+    posted = [{"title": f"Stoker {n}", "absolute_url": f"https://boards.greenhouse.io/busy/{n}", "content": t} for n, t in enumerate(texts)]
+    raw = spark.createDataFrame([payload("greenhouse", "busy", r, {"jobs": posted[r * 10:r * 10 + 10]}) for r in range(60)], RAW_DDL).coalesce(1)
+    pages = pages_of(spark, {f"https://wharf{i}.test/": '<a href="https://boards.greenhouse.io/busy">b</a>' for i in range(32)})
+    return pages, raw, listed(spark, *(f"wharf{i}.test" for i in range(32))), texts
+
+
+def test_a_written_result_holds_the_text_of_a_shared_posting_once(spark, busy_board, tmp_path):
+    pages, raw, sites, texts = busy_board
+    out = f"{tmp_path}/places"
+    site_postings(pages, raw, None, sites, SPEC).select("seq.*", "title", "url", "description").write.parquet(out)
+    back = spark.read.parquet(out)
+    assert back.count() == back.select("site_pos", "url").distinct().count() == 32 * 600
+    assert {r["description"] for r in back.select("description").distinct().collect()} == set(texts)
+    assert sum(os.path.getsize(f) for f in glob.glob(f"{out}/*.parquet")) < 1.5 * sum(map(len, texts))
+
+
+def test_postings_are_dealt_out_for_many_places_alone(spark):
+    rows = spark.range(9).selectExpr("'s' AS source", "id AS seq", "'u' AS url", "'t' AS title")
+    assert deal_texts(rows, 0, 0) is rows and deal_texts(rows, 1_200_001, 4_800_003) is rows
+    dealt = deal_texts(rows, 1_200_001, 4_800_004)
+    assert dealt.rdd.getNumPartitions() == 3 and dealt.count() == 9
+
+
+def test_sites_without_payloads_or_boards(spark, coast):
+    pages, raw = coast
+    nothing = spark.createDataFrame([], RAW_DDL)
+    assert "Light keeper" in titles(site_postings(pages, nothing, None, listed(spark, "harbour.test", "boards.greenhouse.io/dock"), SPEC))
+    assert titles(site_postings(pages, raw, None, listed(spark, "https://harbour.test/jobs/keeper"), SPEC)) == ["Light keeper"]
+
+
 def test_robots_and_budget_hold_for_every_site(spark, coast):
     robots = spark.createDataFrame([("https://harbour.test", 200, "User-agent: *\nDisallow: /jobs/pilot")], "origin string, status int, body string")
     out = site_postings(*coast, robots, listed(spark, "harbour.test"), SPEC)
